@@ -42,21 +42,25 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     (writer.option("header", "true") if fmt == "csv" else writer).save(path)
 
 
-def load_sales_lines(spark: SparkSession, sources: Mapping[str, str], fmt: str | None = None) -> DataFrame:
+def load_sales_lines(spark: SparkSession, sources: Mapping[str, str], fmt: str = "parquet") -> DataFrame:
     """Union of the named sources, each tagged with its `source_sheet`.
 
-    `row_seq` keeps the rows of one timestamp in a fixed order: position within the file, by source.
-    Files must not change between reads; then the order is the same on every attempt of a task.
+    `row_seq` fixes the order of rows with one timestamp: source, file and position in the file,
+    so files must not change between reads.
     """
     lines = None
     for name, path in sources.items():
-        raw = read_table(spark, path, RAW_SCHEMA if fmt != "parquet" else None, fmt)
-        file = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
-        part = raw.select(*[F.col(f"`{o}`").alias(n) for o, n in _NAMES.items()], *file).withColumn(
-            "source_sheet", F.lit(name)
+        raw = read_table(spark, path, RAW_SCHEMA if fmt in ("csv", "json") else None, fmt)
+        row = F.col("_metadata.row_index") if fmt == "parquet" else F.monotonically_increasing_id()
+        seq = F.struct(
+            F.lit(name).alias("source"), F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block") if fmt != "parquet" else F.lit(0).alias("block"),
+            row.alias("row"),
+        )
+        part = raw.select(
+            *[F.col(f"`{o}`").cast(RAW_SCHEMA[o].dataType).alias(n) for o, n in _NAMES.items()],
+            F.lit(name).alias("source_sheet"), seq.alias("row_seq"),
         )
         lines = part if lines is None else lines.unionByName(part)
-    seq = F.struct("source_sheet", "file_path", "file_block_start", F.monotonically_increasing_id().alias("row"))
-    return lines.withColumn("row_seq", seq).drop("file_path", "file_block_start").withColumn(
-        "price", F.nanvl("price", F.lit(None).cast("double"))
-    ).withColumn("customer_id", F.nanvl("customer_id", F.lit(None).cast("double")))
+    missing = F.lit(None).cast("double")
+    return lines.withColumns({c: F.nanvl(c, missing) for c in ("price", "quantity", "customer_id")})
