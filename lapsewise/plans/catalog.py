@@ -439,10 +439,12 @@ def feature_missing_values(t):
 @query
 def invalid_feature_rows(t):
     rows = t.training().select("customer_id", "snapshot_date", *features.feature_columns())
-    # Two deliberate breaches, so that the check has something to find in sound data.
-    broken = rows.withColumn("recency", F.when(F.col("customer_id") % 7 == 0, -F.col("recency")).otherwise(F.col("recency"))).withColumn(
-        "snapshot_month", F.when(F.col("customer_id") % 11 == 0, 13).otherwise(F.col("snapshot_month"))
-    )
+    # Deliberate breaches where a rule of the data applies, so that the check finds something in sound rows.
+    broken = rows.withColumns({
+        "recency": F.when(F.col("orders_30d") >= 2, -F.col("recency")).otherwise(F.col("recency")),
+        "snapshot_month": F.when(F.col("orders_90d") >= 3, 13).otherwise(F.col("snapshot_month")),
+        "average_order_value": F.when(F.col("lifetime_orders") > 1, F.col("average_order_value")),
+    })
     return checks.split_valid(broken, features.feature_columns()).select(
         "customer_id", "snapshot_date", F.array_join("problems", "; ").alias("problems")
     ).filter("problems <> ''")
