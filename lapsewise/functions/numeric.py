@@ -38,36 +38,49 @@ def lookup(key: Column, mapping: Mapping) -> Column:
     return F.create_map(*pairs)[key]
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, quantiles: Mapping[str, float], by: Sequence[str] = ()
+def quantile_table(
+    df: DataFrame, wanted: Mapping[str, tuple[str, float]], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles: one row per group, one column per name.
+    """Exact, linearly interpolated quantiles of several columns: one row per group, one column per name.
 
-    The built-in aggregate keeps every distinct value of a group in one buffer. That is used
-    only below a proven input size; beyond it, values are counted, ranked with an ordered
-    scan over the distinct values, and the two rows around each quantile are picked.
+    `wanted` maps output names to (column, quantile). The built-in aggregate keeps every distinct
+    value of a group in one buffer. That is used only below a proven input size; beyond it, values
+    are counted, ranked with an ordered scan over the distinct values, and the two around each
+    quantile are picked.
     """
-    known = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     if source_bytes(df) <= setting(df.sparkSession, PROBE_BYTES):
-        return known.groupBy(*by).agg(*[F.percentile("_v", q).alias(n) for n, q in quantiles.items()])
-    counted = known.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_copies"))
+        return df.groupBy(*by).agg(*[
+            F.percentile(F.col(c).cast("double"), q).alias(name) for name, (c, q) in wanted.items()
+        ])
+    cells = F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns])
+    long = df.select(*by, F.explode(cells).alias("_x")).select(*by, "_x.*").filter(F.col("_v").isNotNull())
+    counted = long.groupBy(*by, "_c", "_v").agg(F.count(F.lit(1)).alias("_copies"))
 
     def rank(scan):
         return scan.add(_upto=prefix("sum", "_copies"), _n=total("sum", "_copies")).df
 
-    ranked = ordered_scan(counted, list(by), ["_v"], rank)
-
-    def at(position: Column) -> Column:
-        here = (F.col("_upto") > position) & (F.col("_upto") - F.col("_copies") <= position)
-        return F.max(F.when(here, F.col("_v")))
-
-    columns = []
-    for name, q in quantiles.items():
+    ranked = ordered_scan(counted, [*by, "_c"], ["_v"], rank)
+    found = []
+    for name, (column, q) in wanted.items():
         position = F.lit(float(q)) * (F.col("_n") - 1)
         low, high = F.floor(position), F.ceil(position)
-        share = F.max(position - low)
-        columns.append((at(low) * (1 - share) + at(high) * share).alias(name))
-    return ranked.groupBy(*by).agg(*columns)
+        mine = F.col("_c") == column
+
+        def at(place: Column) -> Column:
+            here = mine & (F.col("_upto") > place) & (F.col("_upto") - F.col("_copies") <= place)
+            return F.max(F.when(here, F.col("_v")))
+
+        share = F.max(F.when(mine, position - low))
+        found.append((at(low) * (1 - share) + at(high) * share).alias(name))
+    return ranked.groupBy(*by).agg(*found)
+
+
+def exact_quantiles(
+    df: DataFrame, value: str, quantiles: Mapping[str, float], by: Sequence[str] = ()
+) -> DataFrame:
+    """`quantile_table` for one column."""
+    return quantile_table(df, {name: (value, q) for name, q in quantiles.items()}, by)
 
 
 def sample_skewness(column: str) -> Column:

@@ -4,9 +4,9 @@ Everything derives from sale lifetimes (`netting.lot_lifetimes`): units are open
 when sold before T and not cancelled before T, so nothing recorded from T on can reach T.
 Four branches are computed per (customer, snapshot) and joined:
 
-- purchase days: recency, tenure, cadence, day counts  (days repeat per later snapshot)
-- recent orders: windowed orders, value and units      (orders repeat per snapshot within reach)
-- lifetime sums: running totals over the snapshot index (rows do not repeat per snapshot)
+- recent days:   recency and day counts                 (days repeat per snapshot within reach)
+- recent orders: windowed orders, value and units       (orders repeat per snapshot within reach)
+- lifetime:      running totals and cadence states      (rows repeat only where something changes)
 - cancellations: windowed activity by day
 """
 
@@ -53,39 +53,58 @@ def _age(day: str, dates: Sequence[date]) -> Column:
     return F.datediff(F.get(date_array(dates), F.col("_index")), F.col(day))
 
 
-def _day_features(orders: DataFrame, dates: list[date], windows: Sequence[int]) -> DataFrame:
-    """Recency, tenure, day counts and cadence from the days with any open purchase.
-
-    Rows are spread by customer once, before they repeat per snapshot; a customer has at most
-    one row per calendar day, which also bounds the window and the gap percentile.
-    """
-    days = orders.groupBy("customer_id", "open_day").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
-    seen = _at_all_open(days.repartition("customer_id"))
-    previous = F.lag("open_day").over(W.partitionBy(*AT).orderBy("open_day"))
-    seen = seen.withColumns({"_gap": F.datediff("open_day", previous).cast("double"), "_age": _age("open_day", dates)})
+def _recent_day_features(days: DataFrame, dates: list[date], windows: Sequence[int]) -> DataFrame:
+    """Recency and day counts per window; only customers eligible at the snapshot get a row."""
     age = F.col("_age")
-    return seen.groupBy(*AT).agg(
+    return _recent(days, dates, max(windows)).groupBy(*AT).agg(
         F.min(age).alias("recency"),
-        F.max(age).alias("tenure_days"),
-        F.count(F.lit(1)).alias("lifetime_purchase_days"),
-        F.percentile("_gap", 0.5).alias("median_purchase_gap"),
-        F.max_by("_gap", "open_day").alias("latest_purchase_gap"),
-        F.stddev_pop("_gap").alias("purchase_gap_std"),
         *[count_if(age <= w).alias(f"purchase_days_{w}d") for w in windows],
         count_if(age.between(91, 180)).alias("purchase_days_previous_90d"),
-    ).filter(F.col("recency") <= max(windows))
+    )
 
 
-def _recent_order_features(orders: DataFrame, dates: list[date], windows: Sequence[int]) -> DataFrame:
-    """Distinct orders, value and units within each window: one row per order first, then per customer."""
-    longest = max(windows)
-    reach = F.least(F.col("_to"), F.col("_reach"))
-    reached = with_passed(
-        orders.withColumn("_until", F.date_add("open_day", longest)), dates, "_until", "_reach"
+def _cadence_states(days: DataFrame, last: int) -> DataFrame:
+    """First day, day count and gap statistics of a customer's open days, whenever they change.
+
+    The set of open days only changes at snapshots where a day opens or closes, so it is built
+    there and not at every snapshot. Rows are spread by customer once; a customer has at most one
+    row per calendar day, which bounds the windows and the arrays.
+    """
+    own = W.partitionBy("customer_id")
+    changes = F.array_union(F.collect_set("_from").over(own), F.collect_set("_to").over(own))
+    standing = F.filter("_changes", lambda i: (i >= F.col("_from")) & (i < F.col("_to")))
+    seen = days.repartition("customer_id").withColumn("_changes", changes).select(
+        "customer_id", "open_day", F.explode(standing).alias("_index")
+    )
+    previous = F.lag("open_day").over(W.partitionBy(*AT).orderBy("open_day"))
+    seen = seen.withColumn("_gap", F.datediff("open_day", previous).cast("double"))
+    # The median is the mean of the one or two middle gaps; both windows reuse the partitioning.
+    by_gap = W.partitionBy(*AT).orderBy(F.col("_gap").asc_nulls_last())
+    placed = seen.withColumns({
+        "_place": F.row_number().over(by_gap) - 1, "_gaps": F.count("_gap").over(W.partitionBy(*AT)),
+    })
+    middle = F.abs(2 * F.col("_place") - (F.col("_gaps") - 1)) <= 1
+    return placed.groupBy(*AT).agg(
+        F.min("open_day").alias("first_day"),
+        F.count(F.lit(1)).alias("open_days"),
+        F.avg(F.when(middle, F.col("_gap"))).alias("median_gap"),
+        F.max_by("_gap", "open_day").alias("latest_gap"),
+        F.stddev_pop("_gap").alias("gap_std"),
     )
-    recent = reached.filter(F.col("_from") < reach).withColumn(
-        "_index", F.explode(F.sequence(F.col("_from"), reach - 1))
+
+
+def _recent(df: DataFrame, dates: list[date], longest: int) -> DataFrame:
+    """Repeat rows for the snapshots at which they are open and at most `longest` days old; adds `_age`."""
+    reached = with_passed(df.withColumn("_until", F.date_add("open_day", longest)), dates, "_until", "_reach")
+    end = F.least(F.col("_to"), F.col("_reach"))
+    return reached.filter(F.col("_from") < end).withColumn(
+        "_index", F.explode(F.sequence(F.col("_from"), end - 1))
     ).withColumn("_age", _age("open_day", dates))
+
+
+def _recent_order_features(orders: DataFrame, dates: list[date], windows: Sequence[int]) -> DataFrame:
+    """Distinct orders, value and units within each window: one row per order first, then per customer."""
+    recent = _recent(orders, dates, max(windows))
     age = F.col("_age")
     previous = age.between(91, 180)
 
@@ -121,8 +140,10 @@ def _cover(df: DataFrame, keys: list[str], name: str, last: int) -> DataFrame:
     )
 
 
-def _lifetime_features(lots: DataFrame, orders: DataFrame, wanted: DataFrame, dates: list[date]) -> DataFrame:
-    """Lifetime orders, products, units and value by running totals over the snapshot index.
+def _lifetime_features(
+    lots: DataFrame, orders: DataFrame, days: DataFrame, wanted: DataFrame, dates: list[date]
+) -> DataFrame:
+    """Lifetime totals and cadence, carried along the snapshot index of each customer.
 
     Units never cancelled count from their first snapshot on; units cancelled later count at
     each snapshot in between, so no value is ever added and subtracted again.
@@ -141,22 +162,32 @@ def _lifetime_features(lots: DataFrame, orders: DataFrame, wanted: DataFrame, da
         .unionByName(passing, allowMissingColumns=True)
         .unionByName(_cover(orders, ["customer_id", "invoice"], "order_steps", last), allowMissingColumns=True)
         .unionByName(_cover(lots, ["customer_id", "stock_code"], "product_steps", last), allowMissingColumns=True)
+        .unionByName(_cadence_states(days, last), allowMissingColumns=True)
     )
+    state = ["first_day", "open_days", "median_gap", "latest_gap", "gap_std"]
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (
         "wanted", "kept_units", "kept_value", "passing_units", "passing_value", "order_steps", "product_steps",
     )]
-    at = changes.groupBy(*AT).agg(*sums)
+    # At most one row per customer and index carries a state.
+    at = changes.groupBy(*AT).agg(*sums, *[F.max(c).alias(c) for c in state])
     run = W.partitionBy("customer_id").orderBy("_index").rowsBetween(W.unboundedPreceding, 0)
+    at = at.withColumn("_state", F.when(F.col("open_days").isNotNull(), F.struct(*state))).drop(*state)
     totals = at.select(
         *AT, "wanted",
         F.sum("order_steps").over(run).alias("lifetime_orders"),
         (F.sum("kept_value").over(run) + F.col("passing_value")).alias("lifetime_monetary"),
         (F.sum("kept_units").over(run) + F.col("passing_units")).alias("lifetime_units"),
         F.sum("product_steps").over(run).alias("lifetime_unique_products"),
+        F.last("_state", ignorenulls=True).over(run).alias("_state"),
     )
-    return totals.filter("wanted = 1").drop("wanted").withColumn(
-        "average_order_value", ratio("lifetime_monetary", "lifetime_orders")
-    )
+    return totals.filter("wanted = 1").withColumns({
+        "average_order_value": ratio("lifetime_monetary", "lifetime_orders"),
+        "tenure_days": _age("_state.first_day", dates),
+        "lifetime_purchase_days": F.col("_state.open_days"),
+        "median_purchase_gap": F.col("_state.median_gap"),
+        "latest_purchase_gap": F.col("_state.latest_gap"),
+        "purchase_gap_std": F.col("_state.gap_std"),
+    }).drop("wanted", "_state")
 
 
 def _cancellation_features(lines: DataFrame, dates: list[date], longest: int) -> DataFrame:
@@ -199,12 +230,11 @@ def snapshot_features(
     orders = lots.groupBy("customer_id", "invoice", "open_day", "_from", "_to").agg(
         F.sum("units").alias("units"), F.sum(F.col("units") * F.col("price")).alias("monetary")
     )
-    days = _day_features(orders, dates, windows)
-    # The eligible keys feed the lifetime branch from the same day table, without cadence.
-    wanted = days.select(*AT)
+    days = orders.groupBy("customer_id", "open_day").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    recent_days = _recent_day_features(days, dates, windows)
     table = (
-        days.join(_recent_order_features(orders, dates, windows), AT)
-        .join(_lifetime_features(lots, orders, wanted, dates), AT)
+        recent_days.join(_recent_order_features(orders, dates, windows), AT)
+        .join(_lifetime_features(lots, orders, days, recent_days.select(*AT), dates), AT)
         .join(_cancellation_features(lines, dates, longest), AT, "left")
     )
     cancelled = [f"{n}_{longest}d" for n in (

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lapsewise.functions import fixed
 from lapsewise.functions.checks import require_columns, require_positive
-from lapsewise.functions.numeric import bin_order, binned, count_if, exact_quantiles, wilson
+from lapsewise.functions.numeric import bin_order, binned, count_if, exact_quantiles, quantile_table, wilson
 from lapsewise.operators.orders import DAY_COLUMNS
 from lapsewise.operators.snapshots import as_dates, date_array, with_passed
 
@@ -150,11 +150,11 @@ def history_summary(labels: DataFrame) -> DataFrame:
         F.avg("churn").alias("churn_rate"),
         _one_day_share().alias("one_purchase_share"),
     )
-    for column, name in (
-        ("recency_at_snapshot", "median_recency"), ("history_purchase_days", "median_purchase_days"),
-        ("history_invoices", "median_invoices"), ("history_monetary", "median_monetary"),
-    ):
-        pooled = pooled.join(exact_quantiles(labels, column, {name: 0.5}, by), by)
+    medians = quantile_table(labels, {
+        "median_recency": ("recency_at_snapshot", 0.5), "median_purchase_days": ("history_purchase_days", 0.5),
+        "median_invoices": ("history_invoices", 0.5), "median_monetary": ("history_monetary", 0.5),
+    }, by)
+    pooled = pooled.join(medians, by)
     monthly = labels.groupBy(*by, "snapshot_date").agg(
         F.count("customer_id").alias("n"), F.avg("churn").alias("rate")
     ).groupBy(*by).agg(
@@ -204,10 +204,10 @@ def added_population_summary(added: DataFrame) -> DataFrame:
     )
 
 
-def windows_nested(labels: DataFrame) -> DataFrame:
+def windows_nested(labels: DataFrame, windows: Sequence[int] = fixed.HISTORY_WINDOWS) -> DataFrame:
     """Customers of a window missing from the next longer one; zero when windows nest as they must."""
     seen = labels.select("customer_id", "snapshot_date", "history_window_days")
-    windows = sorted(fixed.HISTORY_WINDOWS)
+    windows = sorted(windows)
     following = F.create_map(*[F.lit(v) for pair in zip(windows[:-1], windows[1:]) for v in pair])
     expected = seen.withColumn("history_window_days", following[F.col("history_window_days")]).filter(
         F.col("history_window_days").isNotNull()

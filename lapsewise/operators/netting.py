@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lapsewise.operators.cleaning import cancelled_units, sold_units
-from lapsewise.operators.scans import Scan, lag, lead, ordered_scan, prefix, suffix, total
+from lapsewise.operators.scans import Scan, hot_groups, lag, lead, ordered_scan, prefix, suffix, total
 
 KEYS = ("customer_id", "stock_code")
 ORDER = ("invoice_date", "row_seq")
@@ -72,8 +72,12 @@ def net_newest_at_price(lines: DataFrame, order: Sequence[str] = ORDER) -> DataF
 def net_with(function: Callable[[pd.DataFrame], pd.Series], lines: DataFrame) -> DataFrame:
     """A caller's own policy: `function` gets one (customer, item) group and returns what remains per row.
 
-    The caller's function sees whole groups, so this is the one place where a group has to fit in a task.
+    The caller's function sees whole groups, so a group that no task should hold is refused;
+    the built-in policies take groups of any size.
     """
+    hot = hot_groups(lines, KEYS)
+    if hot is not None:
+        raise ValueError(f"groups too large for a custom policy: {[r.asDict() for r in hot.limit(5).collect()]}")
     schema = T.StructType([*lines.schema.fields, T.StructField("remaining_quantity", T.DoubleType())])
 
     def apply(group: pd.DataFrame) -> pd.DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lapsewise.functions.numeric import count_if, exact_quantiles, sample_skewness
+from lapsewise.functions.numeric import count_if, exact_quantiles, quantile_table, sample_skewness
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -32,17 +32,17 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles: one row per column."""
-    rows = None
-    for name in columns:
-        moments = df.agg(
-            F.count(name).alias("rows"), F.avg(name).alias("mean"), F.stddev_samp(name).alias("std"),
-            F.min(name).cast("double").alias("min"), F.max(name).cast("double").alias("max"),
-        )
-        row = moments.join(exact_quantiles(df, name, {"p25": 0.25, "p50": 0.5, "p75": 0.75})).withColumn(
-            "column_name", F.lit(name)
-        )
-        rows = row if rows is None else rows.unionByName(row)
-    return rows.select("column_name", "rows", "mean", "std", "min", "p25", "p50", "p75", "max")
+    moments = df.agg(*[column for c in columns for column in (
+        F.count(c).alias(f"_n_{c}"), F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"),
+        F.min(c).cast("double").alias(f"_a_{c}"), F.max(c).cast("double").alias(f"_z_{c}"),
+    )])
+    quartiles = quantile_table(df, {f"_p{q}_{c}": (c, q / 100) for c in columns for q in (25, 50, 75)})
+    names = {"rows": "_n", "mean": "_m", "std": "_s", "min": "_a", "p25": "_p25", "p50": "_p50", "p75": "_p75", "max": "_z"}
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), *[F.col(f"{v}_{c}").alias(k) for k, v in names.items()])
+        for c in columns
+    ])
+    return moments.join(quartiles).select(F.explode(cells).alias("_c")).select("_c.*")
 
 
 def missing_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -126,12 +126,11 @@ def central_rows(df: DataFrame, column: str, quantile: float = 0.99) -> DataFram
 
 def capped(df: DataFrame, columns: Sequence[str], quantile: float = 0.99) -> DataFrame:
     """Winsorize columns at their quantile; `<name>_capped` flags the rows that changed."""
-    for name in columns:
-        cap = exact_quantiles(df, name, {"cap": quantile}).scalar()
-        df = df.withColumn("_cap", cap).withColumn(
-            f"{name}_capped", (F.col(name) > F.col("_cap")).cast("int")
-        ).withColumn(name, F.least(F.col(name), F.col("_cap"))).drop("_cap")
-    return df
+    caps = quantile_table(df, {f"_cap_{c}": (c, quantile) for c in columns})
+    joined = df.join(F.broadcast(caps))  # caps: one row
+    flags = {f"{c}_capped": (F.col(c) > F.col(f"_cap_{c}")).cast("int") for c in columns}
+    values = {c: F.least(F.col(c), F.col(f"_cap_{c}")) for c in columns}
+    return joined.withColumns(flags).withColumns(values).drop(*caps.columns)
 
 
 def log_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -160,9 +159,12 @@ def documentation_checks(lines: DataFrame, expected: dict, home: str) -> DataFra
 
 def group_medians(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Mean, exact median and their ratio per group, one row per group and column."""
-    rows = None
-    for name in columns:
-        mean = df.groupBy(*by).agg(F.avg(name).alias("mean"))
-        row = mean.join(exact_quantiles(df, name, {"median": 0.5}, by), list(by)).withColumn("column_name", F.lit(name))
-        rows = row if rows is None else rows.unionByName(row)
-    return rows.withColumn("mean_to_median", F.try_divide("mean", "median"))
+    medians = quantile_table(df, {f"_p_{c}": (c, 0.5) for c in columns}, by)
+    both = df.groupBy(*by).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns]).join(medians, list(by))
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"_m_{c}").alias("mean"), F.col(f"_p_{c}").alias("median"))
+        for c in columns
+    ])
+    return both.select(*by, F.explode(cells).alias("_c")).select(
+        *by, "_c.*", F.try_divide("_c.mean", "_c.median").alias("mean_to_median")
+    )

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapsewise.functions.checks import require_columns
-from lapsewise.functions.numeric import count_if, exact_quantiles, ratio
+from lapsewise.functions.numeric import count_if, exact_quantiles, quantile_table, ratio
 
 RFM = ("recency", "frequency", "monetary")
 
@@ -71,13 +71,12 @@ def largest_differences(compared: DataFrame, k: int = 10) -> DataFrame:
 
 def without_purchase(lines: DataFrame, purchases: DataFrame) -> DataFrame:
     """Customers with lines but no net purchase, with what they did."""
-    lost = lines.select("customer_id", "invoice", "quantity").join(
-        purchases.select("customer_id").distinct(), "customer_id", "left_anti"
-    )
-    return lost.groupBy("customer_id").agg(
+    # One row per customer before the join: a customer with very many lines moves as one row.
+    per_customer = lines.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("invoice").alias("invoices"),
         F.sum("quantity").alias("net_quantity"),
     )
+    return per_customer.join(purchases.select("customer_id").distinct(), "customer_id", "left_anti")
 
 
 def netting_effect(netted: DataFrame) -> DataFrame:
@@ -134,10 +133,8 @@ def non_positive_customers(lines: DataFrame) -> DataFrame:
 
 def rfm_summary(rfm: DataFrame) -> DataFrame:
     """Customers, medians and 99 % limits of each RFM value."""
-    table = rfm.agg(F.count(F.lit(1)).alias("customers"))
-    for name in RFM:
-        table = table.join(exact_quantiles(rfm, name, {f"median_{name}": 0.5, f"p99_{name}": 0.99}))
-    return table
+    wanted = {f"median_{c}": (c, 0.5) for c in RFM} | {f"p99_{c}": (c, 0.99) for c in RFM}
+    return rfm.agg(F.count(F.lit(1)).alias("customers")).join(quantile_table(rfm, wanted))
 
 
 def representative_customers(rfm: DataFrame) -> DataFrame:

@@ -197,11 +197,11 @@ def ordered_scan(
     if hot is None:
         return run(plain)
     if not keys:
-        return run(Scan(_cut(df, keys, columns), keys, columns, blocked=True))
+        return run(Scan(_cut(df, keys, columns), keys, columns, blocked=True)).drop(BLOCK)
     # At most rows / GROUP_ROWS keys are hot, a bound that does not grow with the key count.
     hot = F.broadcast(hot)
     heavy = df.join(hot, list(keys), "left_semi")
     rest = df.join(hot, list(keys), "left_anti")
     return run(replace(plain, df=rest)).unionByName(
-        run(Scan(_cut(heavy, keys, columns), keys, columns, blocked=True))
+        run(Scan(_cut(heavy, keys, columns), keys, columns, blocked=True)).drop(BLOCK)
     )

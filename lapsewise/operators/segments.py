@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lapsewise.functions import fixed
 from lapsewise.functions.checks import require_unique
-from lapsewise.functions.numeric import count_if, exact_quantiles
+from lapsewise.functions.numeric import quantile_table
 from lapsewise.operators.metrics import adjusted_rand
 from lapsewise.operators.neighbours import robust_outliers
 from lapsewise.operators.profile import log_values
@@ -137,10 +137,7 @@ def principal_plane(vectors: DataFrame, key: str = "customer_id") -> tuple[DataF
 
 def rule_segments(rfm: DataFrame) -> DataFrame:
     """Segments by fixed cut points on the RFM medians, for reports that must not depend on a fit."""
-    limits = None
-    for name in RFM:
-        part = exact_quantiles(rfm, name, {f"_{name}": 0.5})
-        limits = part if limits is None else limits.join(part)
+    limits = quantile_table(rfm, {f"_{name}": (name, 0.5) for name in RFM})
     rows = rfm.join(F.broadcast(limits))  # one row
     recent, often, rich = (
         F.col("recency") <= F.col("_recency"), F.col("frequency") > F.col("_frequency"),
@@ -172,14 +169,17 @@ def with_context(segments: DataFrame, context: DataFrame) -> DataFrame:
     return segments.join(context, "customer_id", "left")
 
 
+def _medians(df: DataFrame, by: str) -> DataFrame:
+    return quantile_table(df, {f"median_{name}": (name, 0.5) for name in RFM}, [by])
+
+
 def segment_stats(segments: DataFrame, home: str) -> DataFrame:
     """Customers, share, medians and home-country share per segment."""
     base = segments.groupBy("segment").agg(
         F.count(F.lit(1)).alias("customers"),
         (F.avg((F.col("primary_country") == home).cast("int")) * 100).alias("home_share_pct"),
     )
-    for name in RFM:
-        base = base.join(exact_quantiles(segments, name, {f"median_{name}": 0.5}, ["segment"]), "segment")
+    base = base.join(_medians(segments, "segment"), "segment")
     return base.withColumn("share_pct", F.col("customers") / F.sum("customers").over(W.partitionBy()) * 100)
 
 
@@ -209,6 +209,5 @@ def lifecycle_split(segments: DataFrame, segment: str, newest: str) -> DataFrame
         "lifecycle", F.when(F.col("years_active") == newest, "new").otherwise("long-tenured")
     )
     base = rows.groupBy("lifecycle").agg(F.count(F.lit(1)).alias("customers"))
-    for name in RFM:
-        base = base.join(exact_quantiles(rows, name, {f"median_{name}": 0.5}, ["lifecycle"]), "lifecycle")
+    base = base.join(_medians(rows, "lifecycle"), "lifecycle")
     return base.withColumn("share", F.col("customers") / F.sum("customers").over(W.partitionBy()))

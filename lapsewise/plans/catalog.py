@@ -404,20 +404,26 @@ def asof_open_lots(t):
     )
 
 
+def _from_scratch(t: Handover):
+    """Sale lifetimes, purchase days and snapshot dates, written by the query itself."""
+    lots = materialise(netting.lot_lifetimes(t.lines()))
+    days = materialise(orders.purchase_days_of_lots(lots))
+    start, end = days.agg(F.min("purchase_day"), F.max("purchase_day")).first()
+    dates = snapshots.month_starts(*snapshots.valid_range(start, end, fixed.HISTORY_DAYS, fixed.HORIZON_DAYS))
+    return lots, days, dates, end
+
+
 @query
 def snapshot_features(t):
-    return features.snapshot_features(t.lines(), t.snapshots(), lots=materialise(netting.lot_lifetimes(t.lines())))
+    lots, _, dates, _ = _from_scratch(t)
+    return features.snapshot_features(t.lines(), dates, lots=lots)
 
 
 @query
 def training_table(t):
-    lots = materialise(netting.lot_lifetimes(t.lines()))
-    days = materialise(orders.purchase_days_of_lots(lots))
-    start, end = days.agg(F.min("purchase_day"), F.max("purchase_day")).first()
-    dates = snapshots.month_starts(*snapshots.valid_range(start, end, fixed.HISTORY_DAYS, fixed.HORIZON_DAYS))
-    return features.training_table(
-        t.lines(), labels.snapshot_labels(days, dates, dataset_end=end), lots=lots, snapshots=dates, check=False
-    )
+    lots, days, dates, end = _from_scratch(t)
+    found = labels.snapshot_labels(days, dates, dataset_end=end)
+    return features.training_table(t.lines(), found, lots=lots, snapshots=dates, check=False)
 
 
 @query
