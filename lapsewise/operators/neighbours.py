@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lapsewise.session import GROUP_ROWS, materialise, setting
 
@@ -213,3 +213,74 @@ def cluster_summary(clusters: DataFrame) -> DataFrame:
     per = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     noise = F.coalesce(F.sum(F.when(F.col("cluster").isNull(), F.col("n"))), F.lit(0))
     return per.agg(F.count("cluster").alias("clusters"), noise.alias("noise_rows"), (noise / F.sum("n")).alias("noise_share"))
+
+
+def kth_neighbour_distance(
+    points: DataFrame, k: int, features: Sequence[str], levels: int = 16
+) -> DataFrame:
+    """The input rows with `distance` to the k-th nearest row, counting the row itself.
+
+    Grids of halving cell sides let every point search at its own scale. A cell of side s with k
+    points proves the answer is at most s * sqrt(3); the 27 cells of twice that side around the
+    point cover this radius, so comparing with them is exact. Points choose the finest grid that
+    works: crowded places are searched in small cells, and only few points per cell of any grid
+    fall back to it, so pairs grow linearly with the points.
+    """
+    weighted = materialise(_weighted(points, features))
+    facts = weighted.agg(
+        F.sum("_w").alias("n"), *[F.min(f"_{a}").alias(f"low_{a}") for a in "xyz"],
+        *[F.max(f"_{a}").alias(f"high_{a}") for a in "xyz"],
+    ).first()
+    if facts.n is None or facts.n < k:
+        raise ValueError(f"fewer than {k} points")
+    span = max(facts[f"high_{a}"] - facts[f"low_{a}"] for a in "xyz") or 1.0
+    top = span * (1 + 1e-9)
+
+    def side(level: Column) -> Column:
+        return F.lit(top) / F.pow(F.lit(2.0), level)
+
+    def at_level(df: DataFrame) -> DataFrame:
+        return df.withColumns({
+            f"_c{a}": F.floor((F.col(f"_{a}") - F.lit(facts[f"low_{a}"])) / side(F.col("_level"))) for a in "xyz"
+        })
+
+    key = ["_level", *CELL]
+    # Level -1 is twice the whole span: the search grid of points that need the full extent.
+    everywhere = materialise(at_level(weighted.withColumn("_level", F.explode(F.sequence(F.lit(-1), F.lit(levels - 1))))))
+    crowded = everywhere.groupBy(*key).agg(F.sum("_w").alias("_cell_w"), F.count(F.lit(1)).alias("_cell_rows"))
+    enough = crowded.filter(F.col("_cell_w") >= k).filter("_level >= 0").select(*key)
+    finest = everywhere.join(enough, key, "left_semi").groupBy("_x", "_y", "_z").agg(F.max("_level").alias("_level"))
+    bound = 3 * side(F.col("_level")) * side(F.col("_level")) * (1 + 1e-9)
+    queries = at_level(finest.withColumn("_bound", bound).withColumn("_level", F.col("_level") - 1)).select(
+        *key, "_bound", _point().alias("p")
+    )
+    wanted = _around(queries.select(*key).distinct(), 1)
+    limit = setting(points.sparkSession, GROUP_ROWS)
+    beside = ["_level", "_nx", "_ny", "_nz"]
+
+    def renamed(df: DataFrame, *more: str) -> DataFrame:
+        return df.select("_level", *[F.col(c).alias(c.replace("_c", "_n")) for c in CELL], *more)
+
+    parts = crowded.withColumn("_parts", F.ceil(F.col("_cell_rows") / limit))
+    pairs = wanted.join(renamed(parts, "_parts"), beside).withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    ).drop("_parts")
+    # Only very full cells have more than one part; there are at most rows / limit of them per level.
+    full = F.broadcast(parts.filter("_parts > 1").select(*key, "_parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("_x", "_y", "_z"), F.col("_parts")), F.lit(0))
+    targets = renamed(everywhere.join(full, key, "left").withColumn("_part", part).withColumn("q", _point()), "_part", "q", "_w")
+    near = queries.join(pairs, key).join(targets, [*beside, "_part"]).withColumn("_d", _squared("p", "q")).filter(
+        F.col("_d") <= F.col("_bound")
+    )
+
+    def closest(df: DataFrame, *by: str) -> DataFrame:
+        """Rows up to the one that completes k, per group."""
+        own = W.partitionBy(*by).orderBy("_d", "q").rowsBetween(W.unboundedPreceding, -1)
+        return df.withColumn("_before", F.coalesce(F.sum("_w").over(own), F.lit(0))).filter(F.col("_before") < k)
+
+    # Candidates are cut to k within salted shares first, so no task sorts all of a point's neighbours.
+    salted = near.select("p", "q", "_w", "_d", F.pmod(F.xxhash64("q"), F.lit(16)).alias("_salt"))
+    kept = closest(closest(salted, "p", "_salt").drop("_before"), "p")
+    found = kept.groupBy("p").agg(F.sqrt(F.max("_d")).alias("distance"))
+    flat = found.select(*[F.col(f"p.{a}").alias(f"_{a}") for a in "xyz"], "distance")
+    return _flag_rows(points, flat, features, ["distance"])

@@ -64,6 +64,11 @@ def invoice_type_counts(t):
     return profile.value_shares(cleaning.with_invoice_type(t.raw()), "invoice_type")
 
 
+@query
+def invoice_prefix_counts(t):
+    return profile.value_shares(t.raw().withColumn("prefix", F.regexp_extract("invoice", "^[A-Za-z]*", 0)), "prefix")
+
+
 @query
 def stock_category_summary(t):
     return profile.category_summary(cleaning.with_code_category(t.raw()))
@@ -680,6 +685,15 @@ def dbscan_cluster_summary(t):
     return rows
 
 
+@query
+def k_distance(t):
+    """Sorted distances to the tenth neighbour: the curve from which eps is chosen."""
+    distances = neighbours.kth_neighbour_distance(segments.scale(t.rfm_written()), fixed.MIN_SAMPLES, rfm.RFM)
+    return metrics.ranked(distances.withColumn("_low_first", -F.col("distance")), "_low_first").select(
+        "customer_id", "distance", F.col("rank").alias("position")
+    )
+
+
 @query
 def segment_context(t):
     return t.context()

@@ -95,6 +95,10 @@ block("model", "SELECT * FROM excluded WHERE exclusion_reason = 'kept'", "exclud
 twin("invoice_type_counts", """
 SELECT invoice_type, count(*) AS rows, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM tagged GROUP BY 1
 """, "tagged")
+twin("invoice_prefix_counts", """
+SELECT regexp_extract(invoice, '^[A-Za-z]*') AS prefix, count(*) AS rows, round(count(*) / sum(count(*)) OVER (), 6) AS share
+FROM raw GROUP BY 1
+""", "raw")
 twin("stock_category_summary", """
 SELECT stockcode_category, count(*) AS rows, count(DISTINCT stock_code) AS codes, sum(quantity) AS net_quantity,
   sum(quantity * price) AS net_revenue FROM tagged GROUP BY 1
@@ -939,6 +943,16 @@ SELECT customer_id, (customer_id IN (SELECT a FROM core_40))::BIGINT AS core,
 twin("robust_outliers", " INTERSECT ".join(
     f"SELECT customer_id FROM noise_{round(e * 100)}" for e in fixed.OUTLIER_EPS), *[
     f"noise_{round(e * 100)}" for e in fixed.OUTLIER_EPS])
+twin("k_distance", f"""
+SELECT customer_id, round(sqrt(d), 6) AS distance, row_number() OVER (ORDER BY sqrt(d), customer_id) AS position
+FROM (SELECT a.customer_id, (a.recency - b.recency) * (a.recency - b.recency)
+        + (a.frequency - b.frequency) * (a.frequency - b.frequency)
+        + (a.monetary - b.monetary) * (a.monetary - b.monetary) AS d,
+        row_number() OVER (PARTITION BY a.customer_id ORDER BY (a.recency - b.recency) * (a.recency - b.recency)
+        + (a.frequency - b.frequency) * (a.frequency - b.frequency)
+        + (a.monetary - b.monetary) * (a.monetary - b.monetary)) AS place FROM scaled a, scaled b)
+WHERE place = {fixed.MIN_SAMPLES}
+""", "scaled")
 block("context", """
   SELECT r.*, primary_country, years_active FROM rules r
   LEFT JOIN (SELECT customer_id, arg_min(country, place) AS primary_country FROM (SELECT customer_id, country,

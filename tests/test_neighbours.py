@@ -86,3 +86,22 @@ def test_robust_outliers(table, points):
     expected = set.intersection(*[brute(points, eps, 10)[1] for eps in (0.40, 0.45, 0.50)])
     found = {r.customer_id for r in neighbours.robust_outliers(table, (0.40, 0.45, 0.50), 10, FEATURES).collect()}
     assert found == expected
+
+
+@pytest.mark.parametrize("k", [1, 5, 10])
+def test_kth_neighbour(table, points, blocks, k):
+    expected = [
+        sorted(sum((x - y) ** 2 for x, y in zip(p, q)) for q in points)[k - 1] ** 0.5 for p in points
+    ]
+
+    def found():
+        rows = {r.customer_id: r.distance for r in neighbours.kth_neighbour_distance(table, k, FEATURES).collect()}
+        assert len(rows) == len(points)
+        return [rows[i] for i in range(len(points))]
+
+    assert found() == pytest.approx(expected)
+    if k == 5:
+        with blocks(10):
+            assert found() == pytest.approx(expected)
+    with pytest.raises(ValueError, match="fewer"):
+        neighbours.kth_neighbour_distance(table, 1000, FEATURES)
