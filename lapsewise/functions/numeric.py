@@ -15,6 +15,12 @@ def ratio(top, bottom) -> Column:
     return F.try_divide(_num(top), _num(bottom))
 
 
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row table (an aggregate without groups) as a scalar subquery, without a join."""
+    row = one_row.select(F.struct(*one_row.columns).alias("r")).scalar()
+    return df.withColumn("_one", row).select("*", "_one.*").drop("_one")
+
+
 def _num(value) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast("double")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lapsewise.functions import fixed
 from lapsewise.functions.checks import require_columns, require_fractions, require_rules
-from lapsewise.functions.numeric import exact_quantiles, lookup, ratio
+from lapsewise.functions.numeric import beside, exact_quantiles, lookup, ratio
 from lapsewise.operators.metrics import ranked, top_count
 
 DECISION_COLUMNS = (
@@ -120,8 +120,7 @@ def band_profile(scored: DataFrame, band: str, score: str) -> DataFrame:
         F.avg("churn").alias("observed_churn_rate"), F.sum("churn").alias("_churners"),
     )
     totals = rows.agg(F.sum("customers").alias("_n"), F.sum("_churners").alias("_all"))
-    # Totals: one row.
-    return rows.join(F.broadcast(totals)).withColumns({
+    return beside(rows, totals).withColumns({
         "customer_share": ratio("customers", "_n"),
         "observed_lift": F.col("observed_churn_rate") / ratio("_all", "_n"),
     }).drop("_churners", "_n", "_all")
@@ -158,8 +157,7 @@ def strategy_comparison(
         F.count(F.lit(1)).alias("customers"), F.sum("churn").alias("_reached"),
         F.sum(lost).alias("_value"), F.avg("customer_value").alias("average_customer_value"),
     )
-    # Totals: one row.
-    return chosen.join(F.broadcast(totals)).filter(
+    return beside(chosen, totals).filter(
         F.col("customers") >= top_count(F.col("_n"), capacity)
     ).select(
         "strategy", "customers",

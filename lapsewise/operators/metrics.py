@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lapsewise.functions import fixed
 from lapsewise.functions.checks import require_fractions, require_positive
-from lapsewise.functions.numeric import count_if, exact_quantiles, ratio
+from lapsewise.functions.numeric import beside, count_if, exact_quantiles, ratio
 from lapsewise.operators.scans import ordered_scan, position, prefix, total
 
 
@@ -106,7 +106,7 @@ def evaluate(
         parts.append(probability_errors(df, score, by))
     table = parts[0]
     for part in parts[1:]:
-        table = table.join(part, list(by)) if by else table.join(part)
+        table = table.join(part, list(by)) if by else beside(table, part)
     return table
 
 
@@ -196,7 +196,7 @@ def tune_probability(scored: DataFrame, thresholds: Sequence[float] = fixed.PROB
                      score: str = "probability", tie: Sequence[str] = ("customer_id",)) -> DataFrame:
     """Metrics of each probability threshold over out-of-fold scores, best first."""
     require_fractions(thresholds, "thresholds", closed_above=False)
-    table = by_threshold(scored, score, thresholds).join(ranking(scored, score)).join(lift_at(scored, score, tie=tie))
+    table = beside(beside(by_threshold(scored, score, thresholds), ranking(scored, score)), lift_at(scored, score, tie=tie))
     return table.orderBy(F.desc("balanced_accuracy"), F.desc("f1"), "threshold")
 
 
@@ -232,7 +232,7 @@ def adjusted_rand(df: DataFrame, first: str, second: str) -> DataFrame:
     inside = cells.agg(F.sum(pairs("n")).alias("_cells"), F.sum("n").alias("n")).withColumn("_all", pairs("n"))
     rows = cells.groupBy(first).agg(F.sum("n").alias("n")).agg(F.sum(pairs("n")).alias("_rows"))
     columns = cells.groupBy(second).agg(F.sum("n").alias("n")).agg(F.sum(pairs("n")).alias("_columns"))
-    table = inside.join(rows).join(columns)
+    table = beside(beside(inside, rows), columns)
     expected = F.col("_rows") * F.col("_columns") / F.nullif(F.col("_all"), F.lit(0.0))
     highest = (F.col("_rows") + F.col("_columns")) / 2
     return table.select(

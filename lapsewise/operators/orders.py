@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lapsewise.functions import fixed
 from lapsewise.functions.checks import require_columns
-from lapsewise.functions.numeric import bin_order, binned, count_if, exact_quantiles, lookup
+from lapsewise.functions.numeric import beside, bin_order, binned, count_if, exact_quantiles, lookup
 from lapsewise.operators.scans import lag, ordered_scan, position, prefix, total
 
 DAY_COLUMNS = ("customer_id", "purchase_day", "daily_value", "invoices")
@@ -210,7 +210,7 @@ def follow_up_summary(observed: DataFrame) -> DataFrame:
     quantiles = exact_quantiles(
         observed, "observed_days", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
     )
-    return moments.join(F.broadcast(quantiles))
+    return beside(moments, quantiles)
 
 
 def pareto_curve(values: DataFrame, value: str, key: str = "customer_id") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lapsewise.functions.numeric import count_if, exact_quantiles, quantile_table, sample_skewness
+from lapsewise.functions.numeric import beside, count_if, exact_quantiles, quantile_table, sample_skewness
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -42,7 +42,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.struct(F.lit(c).alias("column_name"), *[F.col(f"{v}_{c}").alias(k) for k, v in names.items()])
         for c in columns
     ])
-    return moments.join(quartiles).select(F.explode(cells).alias("_c")).select("_c.*")
+    return beside(moments, quartiles).select(F.explode(cells).alias("_c")).select("_c.*")
 
 
 def missing_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -113,7 +113,7 @@ def distribution_shape(df: DataFrame, column: str) -> DataFrame:
         "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99,
     })
     moments = df.agg(F.avg(column).alias("mean"), F.max(column).alias("max"), sample_skewness(column).alias("skewness"))
-    return quantiles.join(moments).withColumn("iqr", F.col("p75") - F.col("p25")).withColumn(
+    return beside(quantiles, moments).withColumn("iqr", F.col("p75") - F.col("p25")).withColumn(
         "nearly_symmetric", F.col("skewness").between(-0.5, 0.5).cast("int")
     )
 
@@ -127,7 +127,7 @@ def central_rows(df: DataFrame, column: str, quantile: float = 0.99) -> DataFram
 def capped(df: DataFrame, columns: Sequence[str], quantile: float = 0.99) -> DataFrame:
     """Winsorize columns at their quantile; `<name>_capped` flags the rows that changed."""
     caps = quantile_table(df, {f"_cap_{c}": (c, quantile) for c in columns})
-    joined = df.join(F.broadcast(caps))  # caps: one row
+    joined = beside(df, caps)
     flags = {f"{c}_capped": (F.col(c) > F.col(f"_cap_{c}")).cast("int") for c in columns}
     values = {c: F.least(F.col(c), F.col(f"_cap_{c}")) for c in columns}
     return joined.withColumns(flags).withColumns(values).drop(*caps.columns)

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapsewise.functions.checks import require_columns
-from lapsewise.functions.numeric import count_if, exact_quantiles, quantile_table, ratio
+from lapsewise.functions.numeric import beside, count_if, exact_quantiles, quantile_table, ratio
 
 RFM = ("recency", "frequency", "monetary")
 
@@ -134,7 +134,7 @@ def non_positive_customers(lines: DataFrame) -> DataFrame:
 def rfm_summary(rfm: DataFrame) -> DataFrame:
     """Customers, medians and 99 % limits of each RFM value."""
     wanted = {f"median_{c}": (c, 0.5) for c in RFM} | {f"p99_{c}": (c, 0.99) for c in RFM}
-    return rfm.agg(F.count(F.lit(1)).alias("customers")).join(quantile_table(rfm, wanted))
+    return beside(rfm.agg(F.count(F.lit(1)).alias("customers")), quantile_table(rfm, wanted))
 
 
 def representative_customers(rfm: DataFrame) -> DataFrame:

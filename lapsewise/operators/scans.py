@@ -166,7 +166,7 @@ def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFra
     rows = df.count()
     blocks = max(2, int(-(-rows // setting(spark, GROUP_ROWS))) * 2)
     ranged = df.repartitionByRange(blocks, *[F.col(k) for k in keys], *order)
-    # The checkpoint fixes the partition numbers: range bounds are sampled afresh by every job.
+    # Writing the rows fixes the partition numbers: range bounds are sampled afresh by every job.
     return materialise(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
 

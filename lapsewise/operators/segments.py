@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lapsewise.functions import fixed
 from lapsewise.functions.checks import require_unique
-from lapsewise.functions.numeric import quantile_table
+from lapsewise.functions.numeric import beside, quantile_table
 from lapsewise.operators.metrics import adjusted_rand
 from lapsewise.operators.neighbours import robust_outliers
 from lapsewise.operators.profile import log_values
@@ -27,7 +27,7 @@ def scale(df: DataFrame, features: Sequence[str] = RFM) -> DataFrame:
     moments = logged.agg(
         *[F.avg(c).alias(f"{c}_mean") for c in features], *[F.stddev_pop(c).alias(f"{c}_std") for c in features]
     )
-    joined = logged.join(F.broadcast(moments))  # moments: one row
+    joined = beside(logged, moments)
     deviation = {c: F.when(F.col(f"{c}_std") > 0, F.col(f"{c}_std")).otherwise(1.0) for c in features}
     return joined.select(
         *[(F.col(c) - F.col(f"{c}_mean")) / deviation[c] if c in features else F.col(c) for c in df.columns]
@@ -138,7 +138,7 @@ def principal_plane(vectors: DataFrame, key: str = "customer_id") -> tuple[DataF
 def rule_segments(rfm: DataFrame) -> DataFrame:
     """Segments by fixed cut points on the RFM medians, for reports that must not depend on a fit."""
     limits = quantile_table(rfm, {f"_{name}": (name, 0.5) for name in RFM})
-    rows = rfm.join(F.broadcast(limits))  # one row
+    rows = beside(rfm, limits)
     recent, often, rich = (
         F.col("recency") <= F.col("_recency"), F.col("frequency") > F.col("_frequency"),
         F.col("monetary") > F.col("_monetary"),

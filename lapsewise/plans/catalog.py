@@ -18,7 +18,7 @@ from lapsewise.operators import (
     snapshots, splits,
 )
 from lapsewise.plans.handover import Handover
-from lapsewise.session import materialise
+from lapsewise.session import materialise, shared_folder
 from lapsewise.sources import decision_store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -631,9 +631,7 @@ def upgraded_decisions(t):
 
 
 def _store(t: Handover) -> decision_store.DecisionStore:
-    materialise(t.spark.range(1))
-    root = t.spark.sparkContext.getCheckpointDir()
-    return decision_store.DecisionStore(t.spark, f"{root}/decision-store-{uuid4()}")
+    return decision_store.DecisionStore(t.spark, f"{shared_folder(t.spark)}/decision-store-{uuid4()}")
 
 
 @query

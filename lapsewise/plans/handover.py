@@ -1,7 +1,7 @@
 """Tables the batch jobs hand to each other, built from one folder of order tables.
 
 Cheap stages stay lazy. The four that several later jobs read (sale lifetimes, purchase days,
-labels, training table) are written once per session in the checkpoint folder, as a monthly run
+labels, training table) are written once per session in the shared folder, as a monthly run
 writes them once and reads them many times.
 """
 

@@ -1,5 +1,6 @@
 """The monthly batch jobs. Each reads tables, writes tables and can be rerun on its own.
 
+    <root>/lines             cleaned lines                    build_history
     <root>/lots              sale lifetimes                   build_history
     <root>/purchase_days     one row per customer and day     build_history
     <root>/labels            by snapshot_date                 build_history
@@ -24,8 +25,14 @@ from lapsewise.sources.tables import read_table, write_table
 
 
 def build_history(lines: DataFrame, root: str) -> DataFrame:
-    """Net the lines once; write sale lifetimes, purchase days and 180/90-day monthly labels."""
+    """Net the lines once; write sale lifetimes, purchase days and 180/90-day monthly labels.
+
+    `lines` is written first, so that neither the hot-group sample nor a later job repeats the
+    work behind it; pass `read_table(spark, f"{root}/lines")` to the other jobs.
+    """
     spark = lines.sparkSession
+    write_table(lines, f"{root}/lines")
+    lines = read_table(spark, f"{root}/lines")
     write_table(netting.lot_lifetimes(lines), f"{root}/lots")
     write_table(orders.purchase_days_of_lots(read_table(spark, f"{root}/lots")), f"{root}/purchase_days")
     days = read_table(spark, f"{root}/purchase_days")

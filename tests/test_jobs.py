@@ -6,12 +6,14 @@ from lapsewise.operators.cleaning import clean_lines
 from lapsewise.plans import jobs
 from lapsewise.sources.decision_store import DecisionStore
 from lapsewise.sources.retail import sales_lines
+from lapsewise.sources.tables import read_table
 
 
 def test_monthly_run(spark, tmp_path):
     root = str(tmp_path / "run")
     lines = clean_lines(sales_lines(spark, FOLDER, country=False))
     labels = jobs.build_history(lines, root)
+    lines = read_table(spark, f"{root}/lines")
     training = jobs.build_training(lines, root)
     assert training.count() == labels.count() > 1000
     segments = jobs.build_segments(lines, root, restarts=1)
