@@ -217,6 +217,15 @@ def snapshot_features(
 
     `lots` may pass sale lifetimes computed (and written) before; they must come from `lines`.
     """
+    return _indexed_features(lines, snapshots, windows, lots, order).select(
+        "customer_id", "snapshot_date", *feature_columns(windows), "snapshot_quarter", "is_holiday_season"
+    )
+
+
+def _indexed_features(
+    lines: DataFrame, snapshots: Sequence, windows: Sequence[int], lots: DataFrame | None, order: Sequence[str]
+) -> DataFrame:
+    """The features, still partitioned by customer and snapshot index."""
     require_columns(lines, LINE_COLUMNS, "sales lines")
     require_positive(windows=list(windows))
     if not {90, 180} <= set(windows):
@@ -256,7 +265,7 @@ def snapshot_features(
         "is_holiday_season": F.month("snapshot_date").isin(10, 11, 12).cast("int"),
     })
     return table.select(
-        "customer_id", "snapshot_date", *feature_columns(windows), "snapshot_quarter", "is_holiday_season"
+        *AT, "snapshot_date", *feature_columns(windows), "snapshot_quarter", "is_holiday_season"
     )
 
 
@@ -278,8 +287,12 @@ def training_table(
     target = labels.select(*keys, "churn")
     if snapshots is None:
         snapshots = [r.snapshot_date for r in target.select("snapshot_date").distinct().collect()]
-    features = snapshot_features(lines, snapshots, windows, lots, order)
+    dates = as_dates(snapshots)
+    features = _indexed_features(lines, dates, windows, lots, order)
     if check:
         require_unique(target, keys, "labels")
         require_covered(target, features, keys, "labelled rows without features")
-    return target.join(features, keys)
+    # Joining on the snapshot index keeps the wide rows where they are; only the labels move.
+    indexed = with_passed(target, dates, "snapshot_date", "_passed").withColumn("_index", F.col("_passed") - 1)
+    joined = indexed.drop("_passed").join(features.drop("snapshot_date"), AT)
+    return joined.select(*keys, "churn", *features.columns[3:])
