@@ -163,6 +163,8 @@ class Scan:
 def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Number contiguous blocks of at most about GROUP_ROWS rows."""
     spark = df.sparkSession
+    # Written first: counting, sampling the range bounds and the shuffle then read a plain table.
+    df = materialise(df)
     rows = df.count()
     blocks = max(2, int(-(-rows // setting(spark, GROUP_ROWS))) * 2)
     ranged = df.repartitionByRange(blocks, *[F.col(k) for k in keys], *order)
