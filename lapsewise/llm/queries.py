@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lapsewise.llm import chat, decontam, mixing
+from lapsewise.llm import chat, decontam, mixing, neardup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op3_near_duplicates(spark, folder):
+    return neardup.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op4_mix_sources(spark, folder):
     mixed = mixing.mix(_table(spark, folder, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -31,7 +35,7 @@ def op9_format_chats(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_mix_sources, op8_decontaminate, op9_format_chats,
+    op3_near_duplicates, op4_mix_sources, op8_decontaminate, op9_format_chats,
 )}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -115,4 +119,29 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM ordered GROUP BY conv_id
 """
 
-TWINS = {"op4_mix_sources": MIX_SQL, "op8_decontaminate": DECONTAMINATE_SQL, "op9_format_chats": CHAT_SQL}
+NEAR_DUPLICATES_SQL = rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '{_SPACED}'), []) AS w FROM documents
+), sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM docs
+), sized AS (SELECT r, doc_id, len(s)::BIGINT AS n FROM sets), items AS (
+  SELECT r, unnest(s) AS item FROM sets
+), common AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS c FROM items a JOIN items b ON a.item = b.item AND a.r < b.r GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sized x ON x.r = a JOIN sized y ON y.r = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (
+  SELECT r AS a, r AS b FROM sized UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a
+), smallest AS (
+  SELECT reach.a AS r, min(sized.doc_id) AS component_id FROM reach JOIN sized ON sized.r = reach.b GROUP BY reach.a
+)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sized JOIN smallest USING (r)
+"""
+
+TWINS = {
+    "op3_near_duplicates": NEAR_DUPLICATES_SQL,
+    "op4_mix_sources": MIX_SQL,
+    "op8_decontaminate": DECONTAMINATE_SQL,
+    "op9_format_chats": CHAT_SQL,
+}
