@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lapsewise.llm import chat, decontam, mixing, neardup
+from lapsewise.llm import chat, decontam, mixing, neardup, quality, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_quality(spark, folder):
+    return quality.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op3_near_duplicates(spark, folder):
     return neardup.near_duplicates(_table(spark, folder, "documents"))
 
@@ -20,6 +24,10 @@ def op4_mix_sources(spark, folder):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark, folder):
+    return toxicity.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op8_decontaminate(spark, folder):
     return decontam.digests(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -35,7 +43,7 @@ def op9_format_chats(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_near_duplicates, op4_mix_sources, op8_decontaminate, op9_format_chats,
+    op1_quality, op3_near_duplicates, op4_mix_sources, op7_toxicity, op8_decontaminate, op9_format_chats,
 )}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
