@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lapsewise.llm import chat, decontam, mixing, neardup, quality, toxicity
+from lapsewise.llm import chat, decontam, licenses, mixing, neardup, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_quality(spark, folder):
     return quality.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op2_pseudonyms(spark, folder):
+    masked = pii.mask(_table(spark, folder, "documents").select("doc_id", "text"), kinds="kinds")
+    return masked.withColumn("n_values", F.size("kinds").cast("bigint")).withColumn("kinds", F.concat_ws(",", "kinds"))
+
+
 def op3_near_duplicates(spark, folder):
     return neardup.near_duplicates(_table(spark, folder, "documents"))
 
@@ -24,6 +29,11 @@ def op4_mix_sources(spark, folder):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_licenses(spark, folder):
+    found = licenses.scan(_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.drop("text", "detections")
+
+
 def op7_toxicity(spark, folder):
     return toxicity.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -43,7 +53,7 @@ def op9_format_chats(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op3_near_duplicates, op4_mix_sources, op7_toxicity, op8_decontaminate, op9_format_chats,
+    op1_quality, op2_pseudonyms, op3_near_duplicates, op4_mix_sources, op6_licenses, op7_toxicity, op8_decontaminate, op9_format_chats,
 )}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
