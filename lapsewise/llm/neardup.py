@@ -115,7 +115,7 @@ def set_name(items: np.ndarray) -> bytes | None:
 
 def _sign(batches):
     for batch in batches:
-        ids, texts, begin = batch.column(0), batch.column(1), 0
+        texts, begin = batch.column(batch.num_columns - 1), 0
         while begin < len(texts):
             sets, held = [], 0
             while begin + len(sets) < len(texts) and held < CHUNK:
@@ -126,19 +126,19 @@ def _sign(batches):
             sketch = T.mix(signed).astype(np.uint8)
             full = np.array([len(s) > 0 for s in sets])
             yield pa.RecordBatch.from_arrays([
-                ids.slice(begin, len(sets)), pa.array([set_name(s) for s in sets], pa.binary()),
+                *[c.slice(begin, len(sets)) for c in batch.columns[:-1]], pa.array([set_name(s) for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([list(b) if f else [] for b, f in zip(bands, full)], pa.list_(pa.int64())),
                 pa.array([s.tobytes() for s in sketch], pa.binary()),
-            ], names=["doc_id", "class", "n", "bands", "sketch"])
+            ], names=[*batch.schema.names[:-1], "class", "n", "bands", "sketch"])
             begin += len(sets)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, class (name of the set, null when empty), n, bands, sketch."""
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    """doc_id, key (hash of the text as it is), class (name of the set, null when empty), n, bands, sketch."""
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(_sign, f"doc_id {kind}, class binary, n bigint, bands array<bigint>, sketch binary")
+    return narrow.mapInArrow(_sign, f"doc_id {kind}, key bigint, class binary, n bigint, bands array<bigint>, sketch binary")
 
 
 def _similar_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -337,3 +337,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One document of every group, the one with the smallest doc_id, and all documents without words."""
+    signed = materialise(signatures(docs))
+    rooted = _with_root(signed.filter("n > 0").select("class").distinct(), find_groups(signed, docs))
+    rows = materialise(signed.filter("n > 0").join(rooted, "class").select("root", "doc_id", "key"))
+    named = F.struct("doc_id", "key")
+    kept = rows.groupBy("root").agg(F.min(named).alias("best"))
+    lost = materialise(
+        rows.join(kept, "root").filter(named != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    )
+    match = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
+    rest = docs.join(lost, match, "left_anti")
+    # Rows that equal each other in id and text are one document that stands there several times.
+    twice = materialise(rows.groupBy("doc_id", "key").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
+    if twice.isEmpty():
+        return rest
+    match = rest["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(rest["text"]) == F.col("_key"))
+    once = rest.join(twice, match, "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(twice, match, "left_anti").unionByName(once)

@@ -214,7 +214,7 @@ KINDS: dict[str, tuple[str, Callable]] = {
     "date": (r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])", date),
     "address": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", address),
     "social": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", social),
-    "card": (r"(?<![A-Za-z0-9])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9])", card),
+    "card": (r"(?<![A-Za-z0-9])(?:\d{13,19}|\d{4}(?P<_gap>[ -])\d{4}(?P=_gap)\d{4}(?P=_gap)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![A-Za-z0-9])", card),
     "phone": (
         r"(?<![A-Za-z0-9+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![A-Za-z0-9])",
         phone,
@@ -222,7 +222,7 @@ KINDS: dict[str, tuple[str, Callable]] = {
 }
 _PATTERN = re.compile("|".join(f"(?P<{name}>{shape})" for name, (shape, _) in KINDS.items()))
 # Every value holds one of these; only their surroundings are searched for values.
-_HINT = re.compile(r"[0-9@=:]")
+_HINT = re.compile(r"[0-9@=:]|A(?:KI|SI)A")
 # Hints nearer to each other than NEAR share a window, which reaches MARGIN beyond them to the next white space.
 NEAR, MARGIN = 32, 48
 
@@ -270,7 +270,7 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[s
             if fresh is None:  # the shape of several kinds: later ones may still fit
                 later = list(KINDS)[list(KINDS).index(name) + 1 :]
                 for other in later:
-                    if re.fullmatch(KINDS[other][0].replace("(?P<_value>", "("), match[0]) and other != "secret":
+                    if other != "secret" and re.fullmatch(KINDS[other][0], match[0]):
                         fresh = KINDS[other][1](network, match[0], back)
                         name = other
                         if fresh is not None:

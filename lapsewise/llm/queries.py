@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lapsewise.llm import chat, decontam, licenses, mixing, neardup, pii, quality, toxicity
+from lapsewise.llm import ann, chat, decontam, licenses, mixing, neardup, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_mix_sources(spark, folder):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_neighbours(spark, folder):
+    return ann.neighbours(_table(spark, folder, "embeddings"))
+
+
 def op6_licenses(spark, folder):
     found = licenses.scan(_table(spark, folder, "documents").select("doc_id", "text"))
     return found.drop("text", "detections")
@@ -53,7 +57,7 @@ def op9_format_chats(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_pseudonyms, op3_near_duplicates, op4_mix_sources, op6_licenses, op7_toxicity, op8_decontaminate, op9_format_chats,
+    op1_quality, op2_pseudonyms, op3_near_duplicates, op4_mix_sources, op5_neighbours, op6_licenses, op7_toxicity, op8_decontaminate, op9_format_chats,
 )}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
