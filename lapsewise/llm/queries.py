@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lapsewise.llm import ann, chat, decontam, licenses, mixing, neardup, pii, quality, toxicity
+from lapsewise.llm import ann, chat, decontam, html, licenses, mixing, neardup, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,8 +56,13 @@ def op9_format_chats(spark, folder):
     return chat.digests(chat.format_turns(turns.unionByName(extra)))
 
 
+def op10_main_text(spark, folder):
+    return html.main_text(_table(spark, folder, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_pseudonyms, op3_near_duplicates, op4_mix_sources, op5_neighbours, op6_licenses, op7_toxicity, op8_decontaminate, op9_format_chats,
+    op10_main_text,
 )}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
