@@ -74,7 +74,8 @@ def fit(vectors: DataFrame, total: int, k: int = K, seed: int = 5) -> Index:
     chosen = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = chosen.orderBy(F.xxhash64("vec_id"), "embedding").limit(SAMPLE).collect()
     rows = rows or vectors.limit(SAMPLE).collect()
-    x = np.array([r.embedding for r in rows], np.float64)
+    # Copies of one vector count once, or they would hide how many lists the others need.
+    x = np.unique(np.array([r.embedding for r in rows], np.float64), axis=0)
     random = np.random.default_rng(seed)
     rotation, _ = np.linalg.qr(random.normal(size=(x.shape[1], x.shape[1])))
     lists = min(lists, len(x))

@@ -205,8 +205,8 @@ def scan(docs: DataFrame, known: list[Rule] | None = None) -> DataFrame:
     for stem in stems(known):
         gate = gate | F.contains(low, F.lit(stem))
     phrases = _whole("|".join(BASE))
-    base = F.transform("_base", lambda p: p["first"])
-    names = F.array_sort(F.array_distinct(F.transform("_base", lambda p: F.element_at(
+    base = F.transform("_license_base", lambda p: p["first"])
+    names = F.array_sort(F.array_distinct(F.transform("_license_base", lambda p: F.element_at(
         F.create_map(*[F.lit(x) for pair in BASE.items() for x in pair]), p["words"]
     ))))
     added = F.transform("detections", lambda d: d["label"])
@@ -216,16 +216,16 @@ def scan(docs: DataFrame, known: list[Rule] | None = None) -> DataFrame:
     blank = F.array().cast("array<struct<first:int,last:int,priority:int,label:string>>")
     return (
         docs.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("bigint"))
-        .withColumn("_words", F.when(gate, normalised(F.col("text"))))
-        .withColumn("_base", F.coalesce(F.when(F.col("_words").isNotNull(), places(F.col("_words"), F.lit(phrases))), none))
-        .withColumn("_all", F.coalesce(F.when(F.col("_words").isNotNull(), _detections(F.col("_words"), known)), blank))
-        .withColumn("detections", _unbeaten(F.col("_all")))
+        .withColumn("_license_words", F.when(gate, normalised(F.col("text"))))
+        .withColumn("_license_base", F.coalesce(F.when(F.col("_license_words").isNotNull(), places(F.col("_license_words"), F.lit(phrases))), none))
+        .withColumn("_license_all", F.coalesce(F.when(F.col("_license_words").isNotNull(), _detections(F.col("_license_words"), known)), blank))
+        .withColumn("detections", _unbeaten(F.col("_license_all")))
         .select(
-            *docs.columns, "n_words", F.size("_base").cast("bigint").alias("n_base"),
+            *docs.columns, "n_words", F.size("_license_base").cast("bigint").alias("n_base"),
             F.array_min(base).cast("bigint").alias("first_word"), F.array_max(base).cast("bigint").alias("last_word"),
             F.concat_ws(",", names).alias("base_labels"),
             F.concat_ws(",", F.array_sort(F.array_distinct(F.concat(names, added)))).alias("labels"),
-            F.coalesce(F.greatest(best, F.when(F.size("_base") > 0, F.lit(STRENGTH[2]))), F.lit(0.0)).alias("score"),
+            F.coalesce(F.greatest(best, F.when(F.size("_license_base") > 0, F.lit(STRENGTH[2]))), F.lit(0.0)).alias("score"),
             "detections",
         )
     )

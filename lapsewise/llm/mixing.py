@@ -21,6 +21,7 @@ from lapsewise.llm.text import SPACED, without
 from lapsewise.operators.scans import ordered_scan, position
 from lapsewise.session import materialise
 
+COPIES = "_mix_copies"
 OUTPUT = ("size", "source_size", "target", "taken")
 # Hex digits of the seeded key that name a bucket; a source's cut-off is searched bucket by bucket.
 BUCKET_DIGITS = 3
@@ -108,24 +109,18 @@ def source_plan(
 
 def mix(docs: DataFrame, seed: str = "mix-1", **shares) -> DataFrame:
     """The documents with size, source_size, target and taken (words the mix takes, repeats counted)."""
-    plan = materialise(source_plan(docs, seed=seed, **shares)).select(
-        F.col("source").alias("_source"), "source_size", "target", "repeats", "cutoff"
-    )
-    kept = without(docs, OUTPUT)
-    again = (seeded_key(F.col("doc_id"), seed) <= F.col("cutoff")).cast("bigint")
-    return (
-        kept.withColumn("size", words(F.col("text")))
-        .join(plan, kept["source"].eqNullSafe(F.col("_source")))
-        .select(
-            *[kept[f"`{c}`"] for c in kept.columns], "size", "source_size", "target",
-            (F.col("size") * (F.col("repeats") + again)).alias("taken"),
-            (F.col("repeats") + again).alias("_copies"),
-        )
+    plan = materialise(source_plan(docs, seed=seed, **shares))
+    kept = without(docs, (*OUTPUT, COPIES))
+    again = (seeded_key(kept["doc_id"], seed) <= plan["cutoff"]).cast("bigint")
+    size = words(kept["text"])
+    copies = plan["repeats"] + again
+    return kept.join(plan, kept["source"].eqNullSafe(plan["source"])).select(
+        *[kept[f"`{c}`"] for c in kept.columns], size.alias("size"), plan["source_size"], plan["target"],
+        (size * copies).alias("taken"), copies.alias(COPIES),
     )
 
 
 def repeated(docs: DataFrame, **shares) -> DataFrame:
     """The mixed corpus itself: every document as often as the mix takes it, numbered by `copy` from 1."""
-    mixed = mix(without(docs, ("copy",)), **shares)
-    copies = F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies").cast("int"))).otherwise(F.array().cast("array<int>"))
-    return mixed.withColumn("copy", F.explode(copies)).drop("_copies")
+    mixed = mix(without(docs, ("copy",)), **shares).filter(F.col(COPIES) > 0)
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(COPIES).cast("int")))).drop(COPIES)

@@ -349,12 +349,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     lost = materialise(
         rows.join(kept, "root").filter(named != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     )
-    match = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
-    rest = docs.join(lost, match, "left_anti")
+    same = lambda df, named: df["doc_id"].eqNullSafe(named["_id"]) & (F.xxhash64(df["text"]) == named["_key"])
+    rest = docs.join(lost, same(docs, lost), "left_anti")
     # Rows that equal each other in id and text are one document that stands there several times.
     twice = materialise(rows.groupBy("doc_id", "key").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
     if twice.isEmpty():
         return rest
-    match = rest["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(rest["text"]) == F.col("_key"))
-    once = rest.join(twice, match, "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(twice, match, "left_anti").unionByName(once)
+    once = rest.join(twice, same(rest, twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(twice, same(rest, twice), "left_anti").unionByName(once)
