@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapsewise.operators.scans import ordered_scan, prefix, total
-from lapsewise.session import PROBE_BYTES, setting, source_bytes
+from lapsewise.session import GROUP_ROWS, setting, written
 
 
 def ratio(top, bottom) -> Column:
@@ -21,6 +21,16 @@ def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn("_one", row).select("*", "_one.*").drop("_one")
 
 
+def whole_days(start: Column, end: Column) -> Column:
+    """Whole 24-hour periods between two instants, exact to the microsecond."""
+    return F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(86_400_000_000)).cast("int")
+
+
+def at_most(value: Column, limit: Column) -> Column:
+    """The smaller of the two; missing where the value is missing (`least` would take the limit)."""
+    return F.when(value > limit, limit).otherwise(value)
+
+
 def _num(value) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast("double")
 
@@ -50,12 +60,13 @@ def quantile_table(
     """Exact, linearly interpolated quantiles of several columns: one row per group, one column per name.
 
     `wanted` maps output names to (column, quantile). The built-in aggregate keeps every distinct
-    value of a group in one buffer. That is used only below a proven input size; beyond it, values
-    are counted, ranked with an ordered scan over the distinct values, and the two around each
-    quantile are picked.
+    value of a group in one buffer. That is used only where the counted rows of the (written) input
+    are no more than one task may hold; beyond it, values are counted, ranked with an ordered scan
+    over the distinct values, and the two around each quantile are picked.
     """
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
-    if source_bytes(df) <= setting(df.sparkSession, PROBE_BYTES):
+    df = written(df.select(*dict.fromkeys([*by, *columns])))
+    if df.count() <= setting(df.sparkSession, GROUP_ROWS):
         return df.groupBy(*by).agg(*[
             F.percentile(F.col(c).cast("double"), q).alias(name) for name, (c, q) in wanted.items()
         ])

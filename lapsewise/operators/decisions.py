@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lapsewise.functions import fixed
 from lapsewise.functions.checks import require_columns, require_fractions, require_rules
-from lapsewise.functions.numeric import beside, exact_quantiles, lookup, ratio
+from lapsewise.functions.numeric import at_most, beside, exact_quantiles, lookup, ratio
 from lapsewise.operators.metrics import ranked, top_count
 
 DECISION_COLUMNS = (
@@ -40,8 +40,9 @@ def check_cutoffs(cutoffs: Mapping[str, float]) -> None:
 
 
 def risk_band(score: Column, medium, high, very_high) -> Column:
+    """The band of a score; a missing score has none."""
     low, *upper = fixed.RISK_BANDS
-    band = F.lit(low)
+    band = F.when(score.isNotNull(), low)
     for name, cutoff in zip(upper, (medium, high, very_high)):
         band = F.when(score >= cutoff, name).otherwise(band)
     return band
@@ -66,21 +67,25 @@ def priority_band(rank: Column, rows: Column) -> Column:
     return band
 
 
-def campaign_priorities(scored: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+def campaign_priorities(
+    scored: DataFrame, score: str, by: Sequence[str] = (), actions: Mapping[str, str] | None = None
+) -> DataFrame:
     """Rank by score (ties by customer) and attach the campaign band and its action."""
     rows = ranked(scored, score, by)
     return rows.withColumn("campaign_priority_band", priority_band(F.col("rank"), F.col("group_rows"))).withColumn(
-        "campaign_recommended_action", lookup(F.col("campaign_priority_band"), fixed.CAMPAIGN_ACTIONS)
+        "campaign_recommended_action", lookup(F.col("campaign_priority_band"), actions or fixed.CAMPAIGN_ACTIONS)
     ).withColumnRenamed("rank", "probability_rank").drop("group_rows")
 
 
 def value_at_risk(
     decisions: DataFrame, probability: str = "churn_probability", value: str = "customer_value",
-    cap_quantile: float = 0.99, value_cap: float | None = None, by: Sequence[str] = (), check: bool = False,
+    cap_quantile: float = 0.99, value_cap: float | None = None, by: Sequence[str] = (), check: bool = True,
+    actions: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Rank by probability and by probability x capped value; the value itself stays uncapped.
 
-    `check` verifies, with one extra job, that probabilities lie in [0, 1] and values are not negative.
+    `check` refuses, with one extra job, missing or out-of-range probabilities and missing or negative
+    values. Without it, a row that misses either has no score and ranks last.
     """
     require_columns(decisions, [probability, value], "decisions")
     require_fractions([cap_quantile], "cap_quantile")
@@ -99,7 +104,7 @@ def value_at_risk(
         cap = exact_quantiles(decisions, value, {"cap": cap_quantile}).scalar()
         capped = decisions.withColumn("customer_value_cap", cap)
     scored = capped.withColumn(
-        "value_at_risk_score", F.col(probability) * F.least(F.col(value), F.col("customer_value_cap"))
+        "value_at_risk_score", F.col(probability) * at_most(F.col(value), F.col("customer_value_cap"))
     )
     # The probability rank may already come with the campaign bands.
     if "probability_rank" not in scored.columns:
@@ -109,7 +114,7 @@ def value_at_risk(
         "value_protection_priority_band", priority_band(F.col("value_at_risk_rank"), F.col("group_rows"))
     ).withColumn(
         "value_protection_recommended_action",
-        lookup(F.col("value_protection_priority_band"), fixed.VALUE_ACTIONS),
+        lookup(F.col("value_protection_priority_band"), actions or fixed.VALUE_ACTIONS),
     ).drop("group_rows")
 
 
@@ -182,7 +187,8 @@ def strategy_overlap(decisions: DataFrame, capacity: float = 0.20) -> DataFrame:
 
 def decision_table(
     scores: DataFrame, segments: DataFrame, model_version: str = fixed.MODEL_VERSION,
-    threshold: float = fixed.PROBABILITY_THRESHOLD, value_cap: float | None = None,
+    threshold: float = fixed.PROBABILITY_THRESHOLD, value_cap: float | None = None, check: bool = True,
+    campaign_actions: Mapping[str, str] | None = None, value_actions: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Scores of one snapshot joined with segments, ranked both ways, with bands and actions.
 
@@ -199,12 +205,17 @@ def decision_table(
         "model_version": F.lit(model_version),
     })
     joined = flagged.join(context, "customer_id", "left")
-    return value_at_risk(campaign_priorities(joined, "churn_probability"), value_cap=value_cap).select(
-        *DECISION_COLUMNS
+    ranked_both = value_at_risk(
+        campaign_priorities(joined, "churn_probability", actions=campaign_actions), value_cap=value_cap, check=check,
+        actions=value_actions,
     )
+    return ranked_both.select(*DECISION_COLUMNS)
 
 
-def refresh_decisions(decisions: DataFrame, threshold: float = fixed.PROBABILITY_THRESHOLD) -> DataFrame:
+def refresh_decisions(
+    decisions: DataFrame, threshold: float = fixed.PROBABILITY_THRESHOLD, check: bool = True,
+    campaign_actions: Mapping[str, str] | None = None, value_actions: Mapping[str, str] | None = None,
+) -> DataFrame:
     """Recompute every derived column from the stored probabilities; retired columns go."""
     kept = decisions.drop(*RETIRED_COLUMNS).select(
         "customer_id", "snapshot_date", "segment", "customer_value", "segment_frequency", "churn_probability",
@@ -213,4 +224,7 @@ def refresh_decisions(decisions: DataFrame, threshold: float = fixed.PROBABILITY
         "probability_threshold": F.lit(float(threshold)),
         "above_model_threshold": (F.col("churn_probability") >= threshold).cast("int"),
     })
-    return value_at_risk(campaign_priorities(kept, "churn_probability")).select(*DECISION_COLUMNS)
+    ranked_both = value_at_risk(
+        campaign_priorities(kept, "churn_probability", actions=campaign_actions), check=check, actions=value_actions
+    )
+    return ranked_both.select(*DECISION_COLUMNS)

@@ -88,7 +88,9 @@ def lift_at(df: DataFrame, score: str, fraction: float = 0.20, by: Sequence[str]
 def probability_errors(df: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Brier score and log loss; probabilities are clipped as double precision allows."""
     eps = 2.220446049250313e-16
-    p = F.least(F.greatest(F.col(score), F.lit(eps)), F.lit(1 - eps))
+    given = F.col(score)
+    # A missing score is left out of both means; `least` and `greatest` alone would turn it into a bound.
+    p = F.when(given.isNotNull(), F.least(F.greatest(given, F.lit(eps)), F.lit(1 - eps)))
     y = F.col("churn")
     return df.groupBy(*by).agg(
         F.avg(F.pow(y - F.col(score), F.lit(2.0))).alias("brier_score"),

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lapsewise.operators.cleaning import cancelled_units, sold_units
-from lapsewise.operators.scans import Scan, hot_groups, lag, lead, ordered_scan, prefix, suffix, total
+from lapsewise.operators.scans import Scan, lag, lead, ordered_scan, prefix, suffix, total
 
 KEYS = ("customer_id", "stock_code")
 ORDER = ("invoice_date", "row_seq")
@@ -70,14 +70,11 @@ def net_newest_at_price(lines: DataFrame, order: Sequence[str] = ORDER) -> DataF
 
 
 def net_with(function: Callable[[pd.DataFrame], pd.Series], lines: DataFrame) -> DataFrame:
-    """A caller's own policy: `function` gets one (customer, item) group and returns what remains per row.
+    """A caller's own policy: `function` gets one whole (customer, item) group and returns what remains per row.
 
-    The caller's function sees whole groups, so a group that no task should hold is refused;
-    the built-in policies take groups of any size.
+    A group is one pandas frame in one task, whatever its size; a policy that can be written as
+    ordered scans should go through `net_by_scan`, which cuts large groups into blocks.
     """
-    hot = hot_groups(lines, KEYS)
-    if hot is not None:
-        raise ValueError(f"groups too large for a custom policy: {[r.asDict() for r in hot.limit(5).collect()]}")
     schema = T.StructType([*lines.schema.fields, T.StructField("remaining_quantity", T.DoubleType())])
 
     def apply(group: pd.DataFrame) -> pd.DataFrame:
@@ -86,6 +83,18 @@ def net_with(function: Callable[[pd.DataFrame], pd.Series], lines: DataFrame) ->
     return lines.groupBy(*KEYS).applyInPandas(apply, schema)
 
 
+def net_by_scan(
+    remaining: Callable[[Scan], Scan], lines: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER
+) -> DataFrame:
+    """A caller's own policy as steps of an ordered scan, for groups of any size.
+
+    `remaining` adds columns to the scan it gets, among them `remaining_quantity`.
+    """
+    return ordered_scan(
+        lines, keys, order, lambda scan: remaining(scan).df.select(*lines.columns, "remaining_quantity")
+    )
+
+
 POLICIES = {"fifo": net_oldest_first, "price_compatible": net_newest_at_price}
 
 

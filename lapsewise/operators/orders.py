@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lapsewise.functions import fixed
 from lapsewise.functions.checks import require_columns
-from lapsewise.functions.numeric import beside, bin_order, binned, count_if, exact_quantiles, lookup
+from lapsewise.functions.numeric import beside, bin_order, binned, count_if, exact_quantiles, lookup, whole_days
 from lapsewise.operators.scans import lag, ordered_scan, position, prefix, total
 
 DAY_COLUMNS = ("customer_id", "purchase_day", "daily_value", "invoices")
@@ -195,9 +195,8 @@ def follow_up(orders: DataFrame, purchases: DataFrame) -> DataFrame:
     last = orders.groupBy("customer_id").agg(
         F.max("purchase_date").alias("last_purchase"), F.count("invoice").alias("orders")
     )
-    seconds = F.unix_timestamp("dataset_end") - F.unix_timestamp("last_purchase")
     return last.withColumn("dataset_end", end.scalar()).withColumn(
-        "observed_days", F.floor(seconds / 86400).cast("int")
+        "observed_days", whole_days(F.col("last_purchase"), F.col("dataset_end"))
     ).drop("dataset_end")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lapsewise.functions.numeric import beside, count_if, exact_quantiles, quantile_table, sample_skewness
+from lapsewise.functions.numeric import at_most, beside, count_if, exact_quantiles, quantile_table, sample_skewness
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -128,8 +128,8 @@ def capped(df: DataFrame, columns: Sequence[str], quantile: float = 0.99) -> Dat
     """Winsorize columns at their quantile; `<name>_capped` flags the rows that changed."""
     caps = quantile_table(df, {f"_cap_{c}": (c, quantile) for c in columns})
     joined = beside(df, caps)
-    flags = {f"{c}_capped": (F.col(c) > F.col(f"_cap_{c}")).cast("int") for c in columns}
-    values = {c: F.least(F.col(c), F.col(f"_cap_{c}")) for c in columns}
+    flags = {f"{c}_capped": F.coalesce(F.col(c) > F.col(f"_cap_{c}"), F.lit(False)).cast("int") for c in columns}
+    values = {c: at_most(F.col(c), F.col(f"_cap_{c}")) for c in columns}
     return joined.withColumns(flags).withColumns(values).drop(*caps.columns)
 
 

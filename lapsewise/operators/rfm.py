@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lapsewise.functions.checks import require_columns
-from lapsewise.functions.numeric import beside, count_if, exact_quantiles, quantile_table, ratio
+from lapsewise.functions.numeric import beside, count_if, exact_quantiles, quantile_table, ratio, whole_days
 
 RFM = ("recency", "frequency", "monetary")
 
@@ -27,9 +27,8 @@ def rfm_table(purchases: DataFrame, snapshot: Column | datetime) -> DataFrame:
     per_customer = per_order.groupBy("customer_id").agg(
         F.max("_last").alias("_last"), F.count("invoice").alias("frequency"), F.sum("_value").alias("monetary")
     )
-    seconds = F.unix_timestamp(snapshot) - F.unix_timestamp("_last")
     return per_customer.select(
-        "customer_id", F.floor(seconds / 86400).cast("int").alias("recency"), "frequency", "monetary"
+        "customer_id", whole_days(F.col("_last"), snapshot).alias("recency"), "frequency", "monetary"
     )
 
 

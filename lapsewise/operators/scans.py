@@ -19,7 +19,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lapsewise.session import GROUP_ROWS, PROBE_BYTES, PROBE_RATE, materialise, setting, source_bytes
+from lapsewise.session import GROUP_ROWS, materialise, setting, written
 
 BLOCK = "_block"
 POS = "_pos"
@@ -140,8 +140,12 @@ class Scan:
         carried = blocks.select(
             *inside, "_block_rows", *[s.carry(keys, f"_of_{n}").alias(f"_carry_{n}") for n, s in steps.items()]
         )
-        # One row per (hot key, block): bounded by the number of range partitions.
-        joined = df.join(F.broadcast(carried), inside)
+        # One row per (hot key, block); keys may be null.
+        carried = carried.withColumnsRenamed({c: f"_of_{c}" for c in inside})
+        same = F.lit(True)
+        for c in inside:
+            same &= df[c].eqNullSafe(carried[f"_of_{c}"])
+        joined = df.join(carried, same).drop(*[f"_of_{c}" for c in inside])
         combined = {
             n: s.join(F.col(f"_in_{n}") if s.kind != "total" else F.lit(None), F.col(f"_carry_{n}"))
             for n, s in steps.items()
@@ -173,15 +177,17 @@ def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFra
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Keys whose group is larger than one task should sort; None when there are none."""
-    spark = df.sparkSession
-    if source_bytes(df) <= setting(spark, PROBE_BYTES):
+    """Keys whose group is larger than one task should sort; None when there are none.
+
+    `df` is a written table: its rows are counted from the file footers, and a table of no more
+    rows than one task may sort has no such group. Otherwise the groups are counted.
+    """
+    most = setting(df.sparkSession, GROUP_ROWS)
+    if df.count() <= most:
         return None
-    rate = min(1.0, setting(spark, PROBE_RATE))
-    probe = df.select(*keys) if keys else df.select(F.lit(1).alias("_all"))
-    probe = probe if rate == 1.0 else probe.sample(rate, seed=7)
-    groups = probe.groupBy(*probe.columns).count().filter(F.col("count") > setting(spark, GROUP_ROWS) * rate)
-    found = materialise(groups.drop("count"))
+    if not keys:
+        return df.sparkSession.range(1)
+    found = materialise(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > most).drop("_rows"))
     return None if found.isEmpty() else found
 
 
@@ -190,8 +196,11 @@ def ordered_scan(
 ) -> DataFrame:
     """Apply `run` to every group of `keys` in `order`, cutting hot groups into blocks.
 
-    `keys` must not be null; an empty `keys` treats the whole table as one group.
+    An empty `keys` treats the whole table as one group; a null key is a key like others. The input
+    is written once, unless it is a written table, so that it is neither computed again for the
+    count nor for the parts.
     """
+    df = written(df)
     columns = tuple(_col(c) for c in order)
     keys = tuple(keys)
     hot = hot_groups(df, keys)
@@ -200,10 +209,11 @@ def ordered_scan(
         return run(plain)
     if not keys:
         return run(Scan(_cut(df, keys, columns), keys, columns, blocked=True)).drop(BLOCK)
-    # At most rows / GROUP_ROWS keys are hot, a bound that does not grow with the key count.
-    hot = F.broadcast(hot)
-    heavy = df.join(hot, list(keys), "left_semi")
-    rest = df.join(hot, list(keys), "left_anti")
+    # At most rows / GROUP_ROWS keys are hot; Spark measures the table and chooses the join.
+    same = F.lit(True)
+    for key in keys:
+        same &= df[key].eqNullSafe(hot[key])
+    heavy, rest = df.join(hot, same, "left_semi"), df.join(hot, same, "left_anti")
     return run(replace(plain, df=rest)).unionByName(
         run(Scan(_cut(heavy, keys, columns), keys, columns, blocked=True)).drop(BLOCK)
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lapsewise.functions import fixed
 from lapsewise.functions.checks import require_unique
-from lapsewise.functions.numeric import beside, quantile_table
+from lapsewise.functions.numeric import beside, quantile_table, ratio
 from lapsewise.operators.metrics import adjusted_rand
 from lapsewise.operators.neighbours import robust_outliers
 from lapsewise.operators.profile import log_values
@@ -191,23 +191,33 @@ def top_foreign_countries(segments: DataFrame, home: str, k: int = 3) -> DataFra
     return counts.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def activity_crosstab(segments: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Customers per segment and activity label, with the share of the segment."""
-    counts = segments.groupBy("segment").pivot("years_active", list(labels)).agg(F.count(F.lit(1)))
-    counts = counts.fillna(0)
-    total = sum((F.col(f"`{c}`") for c in labels), F.lit(0))
-    return counts.select(
-        "segment",
-        *[F.col(f"`{c}`").alias(f"n_{i}") for i, c in enumerate(labels)],
-        *[F.try_divide(F.col(f"`{c}`") * 100.0, total).alias(f"pct_{i}") for i, c in enumerate(labels)],
+def activity_crosstab(segments: DataFrame) -> DataFrame:
+    """Customers per segment and whole activity label, with the share of the segment.
+
+    One row per cell, zero cells included, as the labels are whatever occurs: every segment is
+    paired with the list of labels, which is one row.
+    """
+    counts = segments.groupBy("segment", "years_active").agg(F.count(F.lit(1)).alias("customers"))
+    labels = counts.agg(F.collect_set("years_active").alias("labels")).scalar()
+    cells = counts.groupBy("segment").agg(F.sum("customers").alias("_n")).withColumn("_labels", labels).select(
+        "segment", "_n", F.explode("_labels").alias("years_active")
+    )
+    return cells.join(counts, ["segment", "years_active"], "left").select(
+        "segment", "years_active", F.coalesce("customers", F.lit(0)).cast("bigint").alias("customers"),
+        ratio(F.coalesce("customers", F.lit(0)) * 100.0, "_n").alias("segment_share_pct"),
     )
 
 
-def lifecycle_split(segments: DataFrame, segment: str, newest: str) -> DataFrame:
-    """Customers of one segment seen only in the newest source against those seen before."""
-    rows = segments.filter(F.col("segment") == segment).withColumn(
-        "lifecycle", F.when(F.col("years_active") == newest, "new").otherwise("long-tenured")
-    )
+def lifecycle_split(segments: DataFrame, segment: str, newest: str | None = None) -> DataFrame:
+    """Customers of one segment seen only in the newest source against those seen before.
+
+    The newest source is the last one that any customer was seen in, unless given.
+    """
+    last = F.element_at(F.split("years_active", " & "), -1)
+    newest = F.lit(newest) if newest else segments.agg(F.max(last).alias("newest")).scalar()
+    rows = segments.withColumn("_newest", newest).filter(F.col("segment") == segment).withColumn(
+        "lifecycle", F.when(F.col("years_active") == F.col("_newest"), "new").otherwise("long-tenured")
+    ).drop("_newest")
     base = rows.groupBy("lifecycle").agg(F.count(F.lit(1)).alias("customers"))
     base = base.join(_medians(rows, "lifecycle"), "lifecycle")
     return base.withColumn("share", F.col("customers") / F.sum("customers").over(W.partitionBy()))

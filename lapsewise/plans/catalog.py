@@ -547,7 +547,7 @@ def segment_label_agreement(t):
 
 @query
 def risk_bands(t):
-    validation = t.scored().filter(F.col("snapshot_date") == F.lit(t.snapshots()[-4]))
+    validation = t.scored().filter(F.col("snapshot_date") == F.lit(_validation_dates(t)[-1]))
     cutoffs = decisions.risk_cutoffs(validation, "churn_probability")
     banded = decisions.assign_risk_bands(t.holdout(), "churn_probability", cutoffs)
     return banded.select("customer_id", "churn_probability", "risk_band", "risk_band_order")
@@ -709,15 +709,12 @@ def segment_foreign_countries(t):
 
 @query
 def years_active_crosstab(t):
-    years = [f"Y{y}" for y in range(1995, 2002)]
-    first = t.context().withColumn("years_active", F.substring_index("years_active", " & ", 1))
-    return segments.activity_crosstab(first, years)
+    return segments.activity_crosstab(t.context())
 
 
 @query
 def lifecycle_split(t):
-    newest = t.context().withColumn("years_active", F.substring_index("years_active", " & ", 1))
-    return segments.lifecycle_split(newest, fixed.SEGMENT_RECENT, "Y1995")
+    return segments.lifecycle_split(t.context(), fixed.SEGMENT_RECENT)
 
 
 @query

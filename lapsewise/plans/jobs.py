@@ -90,12 +90,13 @@ def score_latest(lines: DataFrame, root: str) -> str:
         raise ValueError(f"segments are of {days}, scores of {day}: rebuild the segments first")
     latest = features.snapshot_features(lines, [day]).drop("snapshot_quarter", "is_holiday_season")
     scores = bundle.score(latest).select("customer_id", "snapshot_date", "churn_probability")
-    write_table(decisions.decision_table(scores, table, bundle.version, bundle.threshold), f"{root}/decisions")
+    # Incomplete rows are refused before anything is written.
+    checks.require_covered(scores, table, ["customer_id"], "scored customers without a segment")
+    decided = decisions.decision_table(
+        scores, table, bundle.version, bundle.threshold, campaign_actions=bundle.campaign_actions, value_actions=bundle.value_actions
+    )
+    write_table(decided, f"{root}/decisions")
     decided = read_table(spark, f"{root}/decisions")
-    checks.require_rules(decided, {
-        "no_segment": F.col("segment").isNotNull(), "probability": F.col("churn_probability").between(0, 1),
-        "value": F.col("customer_value") >= 0,
-    }, "decisions")
     return DecisionStore(spark, f"{root}/store").publish(decided)
 
 
@@ -103,7 +104,9 @@ def refresh_published(spark: SparkSession, root: str) -> str:
     """Recompute every derived column of the latest published snapshot from its probabilities and publish it."""
     store = DecisionStore(spark, f"{root}/store")
     bundle = ModelBundle.load(f"{root}/model")
-    return store.publish(decisions.refresh_decisions(store.snapshot(), bundle.threshold))
+    return store.publish(decisions.refresh_decisions(
+        store.snapshot(), bundle.threshold, campaign_actions=bundle.campaign_actions, value_actions=bundle.value_actions
+    ))
 
 
 def publish_file(spark: SparkSession, root: str, path: str, schema=None, fmt: str | None = None) -> str:

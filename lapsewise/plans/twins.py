@@ -809,7 +809,7 @@ SELECT customer_id, round(churn_probability, 6) AS churn_probability,
 FROM holdout, (SELECT quantile_cont(churn_probability, 0.5) AS m, quantile_cont(churn_probability, 0.8) AS h,
     quantile_cont(churn_probability, 0.9) AS v FROM scored WHERE snapshot_date = (
       SELECT snapshot_date FROM (SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date DESC) AS back FROM snaps)
-      WHERE back = 4))
+      WHERE back = 5))
 """, "holdout")
 _BAND = "CASE WHEN {0} / {1} <= 0.1::DOUBLE THEN 'Priority 1 - Immediate' WHEN {0} / {1} <= 0.2::DOUBLE THEN " \
         "'Priority 2 - Targeted' WHEN {0} / {1} <= 0.5::DOUBLE THEN 'Priority 3 - Nurture' ELSE 'Standard monitoring' END"
@@ -972,12 +972,15 @@ SELECT * FROM (SELECT segment, primary_country, count(*) AS customers,
     row_number() OVER (PARTITION BY segment ORDER BY count(*) DESC, primary_country) AS place
   FROM context WHERE primary_country <> 'NATION_1' GROUP BY 1, 2) WHERE place <= 3
 """, "context")
-twin("years_active_crosstab", "SELECT segment, " + ", ".join(
-    f"count(*) FILTER (split_part(years_active, ' & ', 1) = 'Y{1995 + i}') AS n_{i}, "
-    f"round(count(*) FILTER (split_part(years_active, ' & ', 1) = 'Y{1995 + i}') * 100.0::DOUBLE / count(*), 6) AS pct_{i}"
-    for i in range(7)) + " FROM context GROUP BY 1", "context")
+twin("years_active_crosstab", """
+SELECT segment, years_active, count(c.customer_id) AS customers,
+  round(count(c.customer_id) * 100.0::DOUBLE / any_value(n), 6) AS segment_share_pct
+FROM (SELECT * FROM (SELECT segment, count(*) AS n FROM context GROUP BY 1),
+    (SELECT DISTINCT years_active FROM context WHERE years_active IS NOT NULL))
+LEFT JOIN context c USING (segment, years_active) GROUP BY 1, 2
+""", "context")
 twin("lifecycle_split", f"""
-SELECT CASE WHEN split_part(years_active, ' & ', 1) = 'Y1995' THEN 'new' ELSE 'long-tenured' END AS lifecycle,
+SELECT CASE WHEN years_active = (SELECT max(source_sheet) FROM bought) THEN 'new' ELSE 'long-tenured' END AS lifecycle,
   count(*) AS customers, {_MEDIANS}, round(count(*) / sum(count(*)) OVER (), 6) AS share
 FROM context WHERE segment = '{fixed.SEGMENT_RECENT}' GROUP BY 1
-""", "context")
+""", "context", "bought")

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Rows one task may hold for a single group before the group is split into blocks.
 GROUP_ROWS = "spark.lapsewise.groupRows"
-# Inputs below this many source bytes cannot hold a group worth splitting.
-PROBE_BYTES = "spark.lapsewise.probeBytes"
-# Share of the rows the hot-group probe looks at.
-PROBE_RATE = "spark.lapsewise.probeRate"
 
-_DEFAULTS = {GROUP_ROWS: "4000000", PROBE_BYTES: str(256 << 20), PROBE_RATE: "0.001"}
+_DEFAULTS = {GROUP_ROWS: "4000000"}
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "lapsewise") -> SparkSession:
@@ -42,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables, which every executor must reach."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = os.path.join(tempfile.gettempdir(), "lapsewise-checkpoints")
     return folder.rstrip("/")
@@ -57,10 +55,47 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid4()}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def source_bytes(df: DataFrame) -> int:
-    """Bytes of the tables under a plan, as Spark's own statistics report them."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    for paths in _scratches:
+        paths.append(path)
+    return table
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table itself if `materialise` made it, else a written copy."""
+    return df if getattr(df, "_written_at", None) else materialise(df)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def replace_folder(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put a complete folder in the place of another one by renaming."""
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target):
+        files.delete(target, True)
+    if not files.rename(source, target):
+        raise OSError(f"cannot move {fresh} to {path}")
+
+
+_scratches: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete the intermediate tables written inside the block when it ends; results must be stored before."""
+    paths: list[str] = []
+    _scratches.append(paths)
+    try:
+        yield
+    finally:
+        _scratches.remove(paths)
+        for path in paths:
+            delete_folder(spark, path)

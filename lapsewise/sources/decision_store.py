@@ -15,7 +15,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lapsewise.functions.checks import require_columns, require_unique
+from lapsewise.functions.checks import require_columns, require_rules, require_unique
 from lapsewise.operators.decisions import DECISION_COLUMNS
 
 RUN_SCHEMA = (
@@ -25,8 +25,8 @@ RUN_SCHEMA = (
 SCORE_SCHEMA = (
     "customer_id string, segment string, customer_value double, segment_frequency double, churn_probability double, "
     "above_model_threshold int, probability_threshold double, campaign_priority_band string, "
-    "campaign_recommended_action string, customer_value_cap double, value_at_risk_score double, probability_rank int, "
-    "value_at_risk_rank int, value_protection_priority_band string, value_protection_recommended_action string, "
+    "campaign_recommended_action string, customer_value_cap double, value_at_risk_score double, probability_rank bigint, "
+    "value_at_risk_rank bigint, value_protection_priority_band string, value_protection_recommended_action string, "
     "model_version string, scored_at timestamp, snapshot_date date, run_id string"
 )
 ORDERINGS = {"churn_probability": "churn_probability", "value_at_risk": "value_at_risk_score"}
@@ -73,9 +73,13 @@ class DecisionStore:
         names = [part.strip().split() for part in SCORE_SCHEMA.split(",")]
         typed = stamped.select(*[F.col(n).cast(t).alias(n) for n, t in names])
         try:
+            require_rules(decisions, {
+                "segment": F.col("segment").isNotNull(), "value": F.col("customer_value") >= 0,
+                "probability": F.col("churn_probability").between(0, 1),
+            }, "decisions")
             typed.write.mode("append").partitionBy("snapshot_date", "run_id").parquet(self._scores)
         except Exception as error:
-            self._log(**base, status="failed", row_count=0, error_message=str(error)[:500])
+            self._log(**base, status="failed", row_count=0, error_message=str(error))
             raise
         done = datetime.now(timezone.utc).replace(tzinfo=None)
         self._log(**base, status="completed", row_count=facts["rows"], completed_at=done)

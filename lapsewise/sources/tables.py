@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from lapsewise.session import delete_folder, replace_folder
+
 RAW_SCHEMA = T.StructType([
     T.StructField("Invoice", T.StringType()),
     T.StructField("StockCode", T.StringType()),
@@ -37,9 +41,19 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
-    """Write a table, replacing what is there."""
-    writer = df.write.mode("overwrite").format(fmt).partitionBy(*partition_by)
-    (writer.option("header", "true") if fmt == "csv" else writer).save(path)
+    """Write a table, replacing what is there once the new one is complete.
+
+    The rows go to a folder beside the table first, so a table may be computed from its own old
+    rows, and a failed write leaves the old table as it was.
+    """
+    spark, fresh = df.sparkSession, f"{path.rstrip('/')}.{uuid4()}"
+    writer = df.write.format(fmt).partitionBy(*partition_by)
+    try:
+        (writer.option("header", "true") if fmt == "csv" else writer).save(fresh)
+    except Exception:
+        delete_folder(spark, fresh)
+        raise
+    replace_folder(spark, fresh, path)
 
 
 def load_sales_lines(spark: SparkSession, sources: Mapping[str, str], fmt: str = "parquet") -> DataFrame:

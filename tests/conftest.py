@@ -9,7 +9,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from lapsewise.session import GROUP_ROWS, PROBE_BYTES, PROBE_RATE, local_session  # noqa: E402
+from lapsewise.session import GROUP_ROWS, local_session  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -27,13 +27,11 @@ def blocks(spark):
 
     @contextmanager
     def forced(rows: int = 5):
-        for key, value in ((GROUP_ROWS, rows), (PROBE_BYTES, 0), (PROBE_RATE, 1.0)):
-            spark.conf.set(key, str(value))
+        spark.conf.set(GROUP_ROWS, str(rows))
         try:
             yield
         finally:
-            for key in (GROUP_ROWS, PROBE_BYTES, PROBE_RATE):
-                spark.conf.unset(key)
+            spark.conf.unset(GROUP_ROWS)
 
     return forced
 

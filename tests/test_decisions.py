@@ -66,6 +66,33 @@ def test_value_at_risk(spark):
         decisions.value_at_risk(df, value_cap=-1.0)
 
 
+def test_missing_values_never_rank_high(spark):
+    """A missing value or score is refused; unchecked, it has no score, no band and the last rank."""
+    rows = [(1, .9, None), (2, .1, 100.0), (3, None, 5000.0)]
+    df = spark.createDataFrame(rows, "customer_id bigint, churn_probability double, customer_value double")
+    for bad in (df, df.filter("customer_id <> 3"), df.filter("customer_id <> 1")):
+        with pytest.raises(ValueError, match="contract"):
+            decisions.value_at_risk(bad)
+    ranked = {r.customer_id: r for r in decisions.value_at_risk(df, value_cap=4900.0, check=False).collect()}
+    assert ranked[1].value_at_risk_score is None and ranked[2].value_at_risk_rank == 1 and ranked[2].value_at_risk_score == 10.0
+    cutoffs = {"Medium": .3, "High": .6, "Very High": .8}
+    bands = {r.customer_id: r.risk_band for r in decisions.assign_risk_bands(df, "churn_probability", cutoffs).collect()}
+    assert bands == {1: "Very High", 2: "Low", 3: None}
+    scores = df.select("customer_id", F.current_date().alias("snapshot_date"), F.lit(.5).alias("churn_probability"))
+    segments = spark.createDataFrame([(2, "s", 1, 10.0)], "customer_id bigint, segment string, frequency bigint, monetary double")
+    with pytest.raises(ValueError, match="contract"):
+        decisions.decision_table(scores, segments)
+
+
+def test_publish_refuses_incomplete_decisions(spark, table, tmp_path):
+    store = DecisionStore(spark, str(tmp_path / "store"))
+    for column in ("segment", "customer_value", "churn_probability"):
+        missing = F.when(F.col("customer_id") == "1", F.lit(None)).otherwise(F.col(column))
+        with pytest.raises(ValueError, match="contract"):
+            store.publish(table.withColumn(column, missing))
+    assert store.latest_snapshot_date() is None
+
+
 def test_listing(table):
     def ids(**options):
         return [r.customer_id for r in list_decisions(table, **options).collect()]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapsewise.functions.numeric import exact_quantiles
-from lapsewise.operators import metrics, orders, profile, splits
+from lapsewise.operators import metrics, orders, profile, rfm, splits
 
 SCORES = "customer_id bigint, churn int, score double"
 
@@ -147,3 +147,19 @@ def test_rand_index(spark):
     assert metrics.adjusted_rand(same, "a", "b").first()[0] == 1.0
     mixed = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (1, 1)], "a int, b int")
     assert metrics.adjusted_rand(mixed, "a", "b").first()[0] == pytest.approx(-0.5)
+
+
+def test_missing_scores_are_left_out(spark):
+    rows = spark.createDataFrame([(1, 1, .8), (2, 0, None), (3, 0, .4)], "customer_id bigint, churn int, p double")
+    found, known = (metrics.probability_errors(r, "p").first() for r in (rows, rows.filter("p IS NOT NULL")))
+    assert found == known
+    capped = {r.customer_id: (r.p, r.p_capped) for r in profile.capped(rows, ["p"], 0.5).collect()}
+    assert capped == {1: (pytest.approx(.6), 1), 2: (None, 0), 3: (.4, 0)}
+
+
+def test_whole_days_count_fractions_of_seconds(spark):
+    rows = spark.createDataFrame(
+        [(1, "I", dt.datetime(2020, 1, 1, 10, 0, 0, 700000), 1.0)], "customer_id bigint, invoice string, invoice_date timestamp, net_revenue double"
+    )
+    for end, days in ((dt.datetime(2020, 1, 2, 10, 0, 0, 200000), 0), (dt.datetime(2020, 1, 2, 10, 0, 0, 700000), 1)):
+        assert rfm.rfm_table(rows, end).first().recency == days

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapsewise.operators import netting
+from lapsewise.operators.scans import prefix
 from replay import random_lines, remaining, remaining_before
 
 # (rows as item, quantity, price, date), what stays of the sales under each policy
@@ -82,8 +83,30 @@ def test_custom_policy(lines, blocks):
     assert {r.row_seq: (r.remaining_quantity, r.net_revenue) for r in halves.collect()} == {0: (2.5, 5.0), 1: (1.5, 3.0)}
     with pytest.raises(ValueError, match="policy"):
         netting.net_purchases(lines(rows), "newest")
-    with blocks(1), pytest.raises(ValueError, match="too large"):
-        netting.net_purchases(lines(rows), lambda group: group.quantity)
+    # Groups beyond the row limit change nothing for whole-group policies ...
+    with blocks(1):
+        again = netting.net_purchases(lines(rows), lambda group: group.quantity / 2)
+        assert {r.row_seq: r.remaining_quantity for r in again.collect()} == {0: 2.5, 1: 1.5}
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_custom_policy_as_scan(lines, blocks, hot):
+    """... and policies written as scans run in blocks: here every sale keeps what its group sold before it."""
+    rows = [(1, "A", f"I{i}", float(i + 1), 2.0, f"2020-01-{i + 1:02d}") for i in range(20)]
+
+    def before(scan):
+        return scan.add(_run=prefix("sum", "quantity")).with_columns(remaining_quantity=F.col("_run") - F.col("quantity"))
+
+    def run():
+        return {r.row_seq: r.remaining_quantity for r in netting.net_by_scan(before, lines(rows)).collect()}
+
+    if hot:
+        with blocks(3):
+            found = run()
+    else:
+        found = run()
+    assert found == {i: i * (i + 1) / 2 for i in range(20)}
+
 
 
 def test_one_shuffle_and_no_python(spark, lines):

@@ -1,8 +1,13 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from lapsewise.session import materialise, scratch, written
 from lapsewise.sources import tables
+from lapsewise.sources.tables import read_table, write_table
 
 ROWS = [
     ("536365", "85123A", "HOLDER", 6.0, dt.datetime(2010, 12, 1, 8, 26), 2.55, 17850.0, "United Kingdom"),
@@ -33,3 +38,21 @@ def test_reading_rules(spark, tmp_path):
     df = spark.range(5).withColumnRenamed("id", "a")
     tables.write_table(df, str(tmp_path / "t.parquet"))
     assert tables.read_table(spark, str(tmp_path / "t.parquet")).count() == 5
+
+
+def test_a_table_may_be_computed_from_itself(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_table(spark.range(5), path)
+    write_table(read_table(spark, path).filter("id > 1"), path)
+    assert sorted(r.id for r in read_table(spark, path).collect()) == [2, 3, 4]
+    with pytest.raises(Exception, match="lost"):
+        write_table(spark.range(3).select(F.raise_error(F.lit("lost")).cast("bigint").alias("id")), path)
+    assert read_table(spark, path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_scratch_tables_go(spark):
+    with scratch(spark):
+        table = materialise(spark.range(3))
+        place = Path(table._written_at)
+        assert table.count() == 3 and place.exists() and written(table) is table
+    assert not place.exists()
