@@ -169,7 +169,11 @@ def netting_largest_differences(t):
 
 @query
 def customers_without_purchase(t):
-    return rfm.without_purchase(t.lines(), t.purchases())
+    """Customers of the newest source whose purchases in it were all cancelled, or who only cancelled."""
+    lines = materialise(t.lines())
+    newest = lines.agg(F.max("source_sheet").alias("newest")).scalar()
+    recent = lines.withColumn("_newest", newest).filter("source_sheet = _newest").drop("_newest")
+    return rfm.without_purchase(recent, netting.net_purchases(recent))
 
 
 @query

@@ -29,7 +29,8 @@ def twin(name: str, sql: str, *reads: str) -> None:
     for r in reads:
         collect(r)
     blocks = ",\n".join(f"{n} AS ({_BLOCKS[n][1]})" for n in wanted)
-    TWINS[name] = (f"WITH {blocks}\n" if blocks else "") + sql.strip()
+    recursive = "RECURSIVE " if any(n.endswith("replay") for n in wanted) else ""
+    TWINS[name] = (f"WITH {recursive}{blocks}\n" if blocks else "") + sql.strip()
 
 
 def _quoted(values) -> str:
@@ -193,7 +194,40 @@ block("lifo", f"""
 """, "lifo_stock")
 block("bought", "SELECT *, remaining_quantity * price AS net_revenue FROM fifo WHERE remaining_quantity > 0", "fifo")
 block("bought_lifo", "SELECT *, remaining_quantity * price AS net_revenue FROM lifo WHERE remaining_quantity > 0", "lifo")
-for _name, _source in (("fifo_purchases", "bought"), ("price_matched_purchases", "bought_lifo")):
+
+
+def _replay(name: str, source: str, keys: tuple[str, ...], newest_first: bool) -> None:
+    """Netting line by line, without the running sums above: a group's open sales are a list, a cancellation eats from one end.
+
+    <name>_replay holds the list after every line (open units and the places of their sales), <name>_kept what is left.
+    """
+    listed, same = ", ".join(keys), " AND ".join(f"n.{k} = r.{k}" for k in keys)
+    reach = "r.open[i : len(r.open)]" if newest_first else "r.open[1 : i]"
+    block(f"{name}_places", f"""
+  SELECT *, row_number() OVER (PARTITION BY {listed} ORDER BY invoice_date, invoice, line, part, supplier, quantity, ext) AS place
+  FROM {source}
+""", source)
+    block(f"{name}_replay", f"""
+  SELECT {listed}, place, invoice_date, CASE WHEN quantity > 0 THEN [quantity] ELSE [] END AS open,
+    CASE WHEN quantity > 0 THEN [place] ELSE [] END AS sales FROM {name}_places WHERE place = 1
+  UNION ALL
+  SELECT {', '.join(f'n.{k}' for k in keys)}, n.place, n.invoice_date,
+    CASE WHEN n.quantity > 0 THEN list_append(r.open, n.quantity)
+      ELSE [greatest(0, least(r.open[i], list_sum({reach}) + n.quantity)) FOR i IN range(1, len(r.open) + 1)] END,
+    CASE WHEN n.quantity > 0 THEN list_append(r.sales, n.place) ELSE r.sales END
+  FROM {name}_replay r JOIN {name}_places n ON {same} AND n.place = r.place + 1
+""", f"{name}_places")
+    block(f"{name}_kept", f"""
+  SELECT n.*, remaining_quantity, remaining_quantity * n.price AS net_revenue
+  FROM (SELECT {listed}, unnest(open) AS remaining_quantity, unnest(sales) AS place FROM (
+      SELECT {listed}, max_by(open, place) AS open, max_by(sales, place) AS sales FROM {name}_replay GROUP BY ALL)) r
+  JOIN {name}_places n ON {same} AND n.place = r.place WHERE remaining_quantity > 0
+""", f"{name}_replay", f"{name}_places")
+
+
+_replay("oldest", "model", ("customer_id", "stock_code"), newest_first=False)
+_replay("newest", "model", ("customer_id", "stock_code", "price"), newest_first=True)
+for _name, _source in (("fifo_purchases", "oldest_kept"), ("price_matched_purchases", "newest_kept")):
     twin(_name, f"""
 SELECT customer_id, stock_code, invoice, line::BIGINT AS line, part, supplier, quantity, price,
   remaining_quantity, net_revenue FROM {_source}
@@ -233,10 +267,12 @@ FROM (SELECT count(*) FILTER (recency_b IS NULL) AS only_in_first, count(*) FILT
 """, "compared")
 twin("netting_largest_differences",
      "SELECT * FROM compared WHERE differs = 1 ORDER BY abs(monetary_diff) DESC, customer_id LIMIT 10", "compared")
+block("last_source", "SELECT * FROM model WHERE source_sheet = (SELECT max(source_sheet) FROM model)", "model")
+_replay("recent", "last_source", ("customer_id", "stock_code"), newest_first=False)
 twin("customers_without_purchase", """
-SELECT customer_id, count(*) AS rows, count(DISTINCT invoice) AS invoices, sum(quantity) AS net_quantity FROM model
-WHERE customer_id NOT IN (SELECT customer_id FROM bought) GROUP BY 1
-""", "bought")
+SELECT customer_id, count(*) AS rows, count(DISTINCT invoice) AS invoices, sum(quantity) AS net_quantity FROM last_source
+WHERE customer_id NOT IN (SELECT customer_id FROM recent_kept) GROUP BY 1
+""", "last_source", "recent_kept")
 twin("self_cancelled_orders", """
 SELECT t.customer_id, t.stock_code AS top_code, t.invoice AS top_invoice, t.quantity AS top_quantity,
   sum(m.quantity) AS net_quantity, count(DISTINCT m.invoice) AS invoices, count(*) AS lines,
@@ -566,12 +602,20 @@ block("open_lots", """
     ON l.customer_id = s.customer_id AND l.stock_code = s.stock_code
   WHERE l.quantity > 0 AND l.invoice_date < s.snapshot_date AND l.sold > s.used
 """, "moves", "snaps")
+# From the replay: the open list after the last line before the snapshot.
+block("replayed", """
+  SELECT r.customer_id, r.stock_code, s.snapshot_date, unnest(open) AS units, unnest(sales) AS place
+  FROM (SELECT *, lead(invoice_date) OVER (PARTITION BY customer_id, stock_code ORDER BY place) AS next_date FROM oldest_replay) r
+  JOIN snaps s ON s.snapshot_date > r.invoice_date AND (next_date IS NULL OR s.snapshot_date <= next_date)
+""", "oldest_replay", "snaps")
 twin("asof_open_lots", """
 SELECT snapshot_date::VARCHAR AS snapshot_date, customer_id, stock_code, count(*) AS lots, sum(units) AS units,
   sum(value) AS value
-FROM (SELECT snapshot_date, customer_id, stock_code, invoice, day, price, sum(units) AS units, sum(value) AS value
-      FROM open_lots GROUP BY ALL) GROUP BY 1, 2, 3
-""", "open_lots")
+FROM (SELECT r.snapshot_date, r.customer_id, r.stock_code, n.invoice, n.invoice_date::DATE AS day, n.price,
+        sum(r.units) AS units, sum(r.units * n.price) AS value
+      FROM replayed r JOIN oldest_places n USING (customer_id, stock_code, place) WHERE r.units > 0 GROUP BY ALL)
+GROUP BY 1, 2, 3
+""", "replayed", "oldest_places")
 _W = fixed.FEATURE_WINDOWS
 block("seen", "SELECT * FROM open_lots WHERE (customer_id, snapshot_date) IN "
       "(SELECT (customer_id, snapshot_date) FROM open_lots WHERE age BETWEEN 1 AND 180)", "open_lots")
