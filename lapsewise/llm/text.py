@@ -102,6 +102,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def learnable(labels: DataFrame, label: str, most: int) -> DataFrame:
+    """(doc_id, label) of about `most` labelled documents, chosen by a hash of doc_id, small enough to be broadcast.
+
+    Held-out documents are no part of it; one with several labels has the largest.
+    """
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
+    known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
+    share = min(1.0, most / max(known.count(), 1))
+    return F.broadcast(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drop input columns whose names an operator's output takes."""
     taken = {n.lower() for n in names}

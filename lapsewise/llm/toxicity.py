@@ -2,13 +2,14 @@
 
 Texts are lower-cased, everything but letters and digits becomes one space, and the runs of 3 to 5
 bytes are hashed into 2**20 cells. Per cell the labelled documents are counted in which it occurs,
-by class, over all labelled rows. The log-count ratio of a cell is the log of its smoothed share of
+by class. The log-count ratio of a cell is the log of its smoothed share of
 the toxic class over that of the other. The cells that tell the classes apart best become
 features: presence times ratio, with weights fitted by logistic regression with a squared penalty.
 
-Counting covers every labelled row. The fit takes a bounded sample of them, at most about
-`fit_rows`, chosen by a hash of doc_id; what reaches the driver is bounded by cells x 2 counters
-and fit_rows x features bits. No input but the text enters a score.
+Counting takes a bounded sample of the labelled documents, about `count_rows` chosen by a hash of
+doc_id, and the fit about `fit_rows` of those; the sample's ids are what is broadcast to the scan of
+the texts, and features x fit_rows bits are what reaches the driver. Nothing but the text enters a
+score, and every text is scored whole.
 
 Defined results: null and empty texts get the score of a text without n-grams; rows without label
 are scored, not learnt from; without labels of both classes every score is the share of toxic labels
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lapsewise.llm import text as T
+from lapsewise.session import materialise
 
 SIZES = (3, 4, 5)
 CELLS = 1 << 20
 FEATURES = 1024
-FIT_ROWS = 12_000
+COUNT_ROWS, FIT_ROWS = 50_000, 12_000
 TOXIC = 0.5
 
 
@@ -60,12 +62,6 @@ def _distinct(cells: np.ndarray, scratch: np.ndarray) -> np.ndarray:
     return cells[scratch[cells] == place]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, label) of the rows that may be learnt from."""
-    known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
-    return docs.select("doc_id", "text").join(known, "doc_id").filter(~T.held_out(F.col("doc_id")))
-
-
 def count_cells(rows: DataFrame) -> DataFrame:
     """(cell, toxic, other): documents that hold a cell; cell -1 counts the documents themselves."""
 
@@ -144,8 +140,12 @@ def fit(present: np.ndarray, labels: np.ndarray, ratio: np.ndarray, penalty: flo
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", features: int = FEATURES, fit_rows: int = FIT_ROWS) -> Model:
-    rows = labelled(docs, labels, label)
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", features: int = FEATURES,
+    count_rows: int = COUNT_ROWS, fit_rows: int = FIT_ROWS,
+) -> Model:
+    # The sample's texts are written once, as counting and fitting both read them.
+    rows = materialise(docs.select("doc_id", "text").join(T.learnable(labels, label, count_rows), "doc_id"))
     counts = count_cells(rows).persist()
     try:
         total = counts.filter("cell = -1").first()
