@@ -6,7 +6,8 @@ a root to a node is a rule, a conjunction of comparisons on statistics. A logist
 an absolute-value penalty (lasso) on the rules keeps few of them, and the kept ones are compiled
 into one Spark column expression, so scoring needs no model code.
 
-Forest and regression are Spark ML fits over all labelled rows that are not held out.
+Forest and regression are Spark ML fits over a bounded sample of about `most` labelled documents that
+are not held out, chosen by a hash of doc_id; every document is scored.
 
 Defined results: null and empty texts have all statistics 0 and are scored like any other;
 without labels of both classes every score is the share of good labels (0.5 without any); rows
@@ -31,6 +32,7 @@ from lapsewise.session import materialise
 
 GOOD = 0.3
 TREES, DEPTH, PENALTY = 24, 3, 0.002
+FIT_ROWS = 50_000
 
 STATISTICS = (
     "log_words", "mean_word", "longest_word", "upper", "digits", "symbols", "marks", "pipes", "non_ascii", "spaces",
@@ -145,9 +147,9 @@ def _tight(conditions: list[tuple[str, bool, float]]) -> tuple[tuple[str, bool,
     return tuple(sorted((s, above, t) for (s, above), t in kept.items()))
 
 
-def train(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Ensemble:
-    known = labels.select("doc_id", F.col(label).cast("double").alias("label")).filter("label IN (0, 1)")
-    rows = materialise(stats.join(known, "doc_id").filter(~T.held_out(F.col("doc_id"))).select("label", *STATISTICS))
+def train(stats: DataFrame, labels: DataFrame, label: str = "quality", most: int = FIT_ROWS) -> Ensemble:
+    known = T.learnable(labels, label, most)
+    rows = materialise(stats.join(known, "doc_id").select(F.col("label").cast("double").alias("label"), *STATISTICS))
     n, good = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or good in (0, n):
         return Ensemble((), 0.0 if not n else 30.0 if good else -30.0)
