@@ -176,15 +176,20 @@ def by_threshold(df: DataFrame, score: str, thresholds: Sequence[float], by: Seq
     }).drop("_p", "_n")
 
 
-def tune_recency(folds: DataFrame, thresholds: Sequence[int]) -> DataFrame:
-    """Mean metrics of each recency threshold over validation folds, best first.
+def recency_by_fold(folds: DataFrame, thresholds: Sequence[int]) -> DataFrame:
+    """Metrics of each recency threshold in every validation fold.
 
     Rank metrics depend on the fold only, so they are computed once per fold.
     """
     rows = folds.filter("role = 'validation'")
-    per_fold = by_threshold(rows, "recency", thresholds, ["fold"])
+    per_fold = by_threshold(rows, "recency", thresholds, ["fold", "validation_date"])
     ranks = ranking(rows, "recency", ["fold"]).join(lift_at(rows, "recency", 0.20, ["fold"]), "fold")
-    table = per_fold.join(ranks, "fold").groupBy("threshold").agg(
+    return per_fold.join(ranks, "fold")
+
+
+def tune_recency(folds: DataFrame, thresholds: Sequence[int]) -> DataFrame:
+    """Mean metrics of each recency threshold over validation folds, best first."""
+    table = recency_by_fold(folds, thresholds).groupBy("threshold").agg(
         F.avg("balanced_accuracy").alias("mean_balanced_accuracy"),
         F.stddev_samp("balanced_accuracy").alias("std_balanced_accuracy"),
         F.avg("precision").alias("mean_precision"), F.avg("recall").alias("mean_recall"), F.avg("f1").alias("mean_f1"),
@@ -202,6 +207,11 @@ def tune_probability(scored: DataFrame, thresholds: Sequence[float] = fixed.PROB
     return table.orderBy(F.desc("balanced_accuracy"), F.desc("f1"), "threshold")
 
 
+def choose_recency(folds: DataFrame, thresholds: Sequence[int]) -> int:
+    """The threshold with the best mean balanced accuracy, then F1, then the smallest."""
+    return best(tune_recency(folds, thresholds))["threshold"]
+
+
 def best(table: DataFrame, *order) -> dict:
     """First row of a small summary."""
     row = (table.orderBy(*order) if order else table).first()

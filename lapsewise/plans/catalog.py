@@ -502,6 +502,17 @@ def recency_threshold_tuning(t):
     return metrics.tune_recency(_folds(t), [30, 60, 90, 120, 150])
 
 
+@query
+def recency_tuning_by_fold(t):
+    return metrics.recency_by_fold(_folds(t), [30, 60, 90, 120, 150]).drop("predicted_share")
+
+
+@query
+def chosen_recency_threshold(t):
+    chosen = metrics.choose_recency(_folds(t), [30, 60, 90, 120, 150])
+    return t.spark.createDataFrame([(chosen,)], "threshold int")
+
+
 @query
 def probability_threshold_tuning(t):
     rows = _folds(t).filter("role = 'validation'")
@@ -575,12 +586,15 @@ def value_at_risk(t):
 
 
 def _ranked_holdout(t: Handover) -> DataFrame:
-    """The last snapshot ranked with the value cap of the latest safe development snapshot."""
-    split = splits.temporal_holdout(t.scored(), t.snapshots()[-1], check=False).filter("role = 'development'")
+    """The last snapshot ranked by lifetime value, with the value cap of the latest safe development snapshot."""
+    value = t.training().select("customer_id", "snapshot_date", F.col("lifetime_monetary").alias("customer_value"))
+    scored = t.scored().drop("customer_value").join(value, ["customer_id", "snapshot_date"])
+    split = splits.temporal_holdout(scored, t.snapshots()[-1], check=False).filter("role = 'development'")
     last = split.agg(F.max("snapshot_date").alias("d")).scalar()
     latest = split.withColumn("_last", last).filter(F.col("snapshot_date") == F.col("_last"))
     cap = exact_quantiles(latest, "customer_value", {"cap": 0.99}).first().cap
-    return decisions.value_at_risk(t.holdout(), value_cap=cap)
+    holdout = scored.filter(F.col("snapshot_date") == F.lit(t.snapshots()[-1]))
+    return decisions.value_at_risk(holdout, value_cap=cap)
 
 
 @query
@@ -723,19 +737,19 @@ def lifecycle_split(t):
 
 @query
 def kmeans_segments(t):
-    return segments.segment_table(t.rfm_written(), rfm.day_after_last(t.lines()), restarts=3)
+    return segments.segment_table(t.rfm_written(), rfm.day_after_last(t.lines()))
 
 
 @query
 def kmeans_elbow(t):
     vectors = materialise(segments.as_vectors(segments.scale(t.rfm_written())).select("customer_id", "features"))
-    return segments.elbow(vectors, range(2, 11), restarts=1)
+    return segments.elbow(vectors, range(2, 11))
 
 
 @query
 def kmeans_stability(t):
     vectors = materialise(segments.as_vectors(segments.scale(t.rfm_written())).select("customer_id", "features"))
-    return segments.stability(vectors, fixed.SEGMENT_COUNT, restarts=1)
+    return segments.stability(vectors, fixed.SEGMENT_COUNT)
 
 
 @query
@@ -745,14 +759,14 @@ def rfm_plane(t):
 
 # Models ----------------------------------------------------------------------------------
 
-def _model_folds(t: Handover, count: int = 2) -> DataFrame:
-    return splits.rolling_folds(t.training(), _validation_dates(t)[-count:])
+def _model_folds(t: Handover) -> DataFrame:
+    return splits.rolling_folds(t.training(), _validation_dates(t))
 
 
 @query
 def logistic_validation(t):
     data = t.training()
-    return models.validate_logistic(_model_folds(t), models.feature_contract(data), (0.01, 1.0))[1]
+    return models.validate_logistic(_model_folds(t), models.feature_contract(data)).summary
 
 
 @query
@@ -775,11 +789,7 @@ def logistic_coefficients(t):
 @query
 def tree_validation(t):
     data = t.training()
-    candidates = {
-        "forest": ("forest", {"numTrees": 20, "maxDepth": 8, "minInstancesPerNode": 15}),
-        "boosting": ("boosting", {"maxIter": 10, "stepSize": 0.1, "maxDepth": 4, "minInstancesPerNode": 50}),
-    }
-    return models.validate_trees(_model_folds(t, 1), models.feature_contract(data), candidates)[1]
+    return models.validate_trees(_model_folds(t), models.feature_contract(data), models.tree_candidates()).summary
 
 
 @query
@@ -788,7 +798,7 @@ def permutation_importance(t):
     split = splits.temporal_holdout(data, t.snapshots()[-1])
     contract = models.feature_contract(data)
     model = models.fit_logistic(materialise(split.filter("role = 'development'")), contract, fixed.SELECTED_C)
-    return models.permutation_importance(model, split.filter("role = 'test'"), list(contract.numeric), repeats=2)
+    return models.permutation_importance(model, split.filter("role = 'test'"), list(contract.numeric))
 
 
 @query
@@ -803,6 +813,14 @@ def scored_decisions(t):
     )
 
 
+@query
+def batch_scores(t):
+    """Prepared feature rows of several snapshots scored in one call."""
+    bundle = models.package_model(t.training())
+    rows = t.training().filter(F.col("snapshot_date") >= F.lit(t.snapshots()[-3]))
+    return bundle.score_rows(rows)
+
+
 @query
 def model_information(t):
     return models.package_model(t.training()).info(t.spark)

@@ -770,6 +770,17 @@ FROM (SELECT *, {_SCORES} FROM ({_confusion(
     '(SELECT * FROM valid, (SELECT unnest([30, 60, 90, 120, 150]) AS threshold))', 'fold, threshold', '(recency >= threshold)'
 )})) c JOIN ({_ranks('valid', 'recency', 'fold')}) r USING (fold) GROUP BY 1
 """, "valid")
+_BY_FOLD = f"""(SELECT *, {_SCORES} FROM ({_confusion(
+    '(SELECT * FROM valid, (SELECT unnest([30, 60, 90, 120, 150]) AS threshold))', 'fold, threshold', '(recency >= threshold)'
+)})) c JOIN ({_ranks('valid', 'recency', 'fold')}) r USING (fold)"""
+twin("recency_tuning_by_fold", f"""
+SELECT fold, validation_date::VARCHAR AS validation_date, threshold::BIGINT AS threshold, tp, fp, {_ROUND_RATES}, {_RANKED}
+FROM {_BY_FOLD} JOIN fold_dates USING (fold)
+""", "valid", "fold_dates")
+twin("chosen_recency_threshold", f"""
+SELECT threshold::BIGINT AS threshold FROM (SELECT threshold, avg(balanced_accuracy) AS a, avg(f1) AS b FROM {_BY_FOLD} GROUP BY 1)
+ORDER BY a DESC, b DESC, threshold LIMIT 1
+""", "valid")
 _GRID = list(fixed.PROBABILITY_GRID)
 twin("probability_threshold_tuning", f"""
 SELECT threshold, tp, fp, round((tp + fp) / (tp + fp + fn + tn), 6) AS predicted_share, {_ROUND_RATES}, {_RANKED}
@@ -884,11 +895,17 @@ SELECT customer_id, snapshot_date::VARCHAR AS snapshot_date, round(customer_valu
   round(value_at_risk_score, 6) AS value_at_risk_score, probability_rank, value_at_risk_rank,
   value_protection_priority_band FROM ranked_all
 """, "ranked_all")
+block("valued", """
+  SELECT s.* EXCLUDE (customer_value), l.customer_value FROM scored s
+  JOIN (SELECT customer_id, snapshot_date, sum(value) AS customer_value FROM open_lots GROUP BY 1, 2) l
+    USING (customer_id, snapshot_date)
+""", "scored", "open_lots")
+block("valued_last", "SELECT * FROM valued WHERE snapshot_date = (SELECT d FROM last_snap)", "valued", "last_snap")
 block("safe_cap", """
-  SELECT quantile_cont(customer_value, 0.99) AS cap FROM scored WHERE snapshot_date = (
-    SELECT max(snapshot_date) FROM scored WHERE snapshot_date + 90 <= (SELECT d FROM last_snap))
-""", "scored", "last_snap")
-_ranking("ranked_last", "holdout", "(SELECT cap FROM safe_cap)", "", "holdout", "safe_cap")
+  SELECT quantile_cont(customer_value, 0.99) AS cap FROM valued WHERE snapshot_date = (
+    SELECT max(snapshot_date) FROM valued WHERE snapshot_date + 90 <= (SELECT d FROM last_snap))
+""", "valued", "last_snap")
+_ranking("ranked_last", "valued_last", "(SELECT cap FROM safe_cap)", "", "valued_last", "safe_cap")
 _CONTACTS = "greatest(1, ceil(n * 0.2::DOUBLE))"
 twin("strategy_comparison", f"""
 SELECT strategy, count(*) AS customers, round(sum(churn) / count(*), 6) AS churn_precision,
@@ -1028,3 +1045,9 @@ SELECT CASE WHEN years_active = (SELECT max(source_sheet) FROM bought) THEN 'new
   count(*) AS customers, {_MEDIANS}, round(count(*) / sum(count(*)) OVER (), 6) AS share
 FROM context WHERE segment = '{fixed.SEGMENT_RECENT}' GROUP BY 1
 """, "context", "bought")
+twin("model_information", f"""
+SELECT '{fixed.MODEL_VERSION}' AS model_version, {fixed.HISTORY_DAYS}::BIGINT AS observation_window_days,
+  {fixed.HORIZON_DAYS}::BIGINT AS prediction_horizon_days, {fixed.PROBABILITY_THRESHOLD}::DOUBLE AS probability_threshold,
+  41::BIGINT AS feature_count, min(snapshot_date)::VARCHAR AS training_snapshot_start, max(snapshot_date)::VARCHAR AS training_snapshot_end
+FROM lab
+""", "lab")
