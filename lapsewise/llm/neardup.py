@@ -4,19 +4,18 @@ A document's set holds its distinct runs of five words (one run of all words whe
 fewer), as 64-bit hashes; documents with 100 x intersection >= 75 x union are linked, and groups
 are what links reach. The steps:
 
-1. One pass over the texts gives per document the set size, a 128-bit name of the set, a
-   SuperMinHash signature cut into bands, and one byte of every signature value as a sketch.
+1. One pass over the texts gives per document the set size, a 128-bit name of the set and a
+   SuperMinHash signature cut into bands.
 2. Documents with one set are one class from here on, however many they are.
-3. Classes sharing a band are candidates. Every class meets one centre per bucket, so candidates
-   stay linear in the classes, whatever a bucket holds; sketches far below the threshold are
-   dropped, the rest is confirmed on full sets recomputed from the texts.
+3. Classes sharing a band are candidates; their full sets are made from the texts again. Every class
+   meets the centre of each of its buckets, so these pairs stay linear in the classes, whatever a
+   bucket holds.
 4. Links become groups by union-find inside partitions and star contraction between them.
-5. Buckets that still hold several groups get a second centre, then their members of different
-   groups are compared by sketch in blocks of bounded size, so that no bucket is too large to be
-   compared in full; what passes is confirmed like before.
+5. Buckets that still hold several groups are compared in full, in blocks of bounded size, by
+   products of presence matrices; a task returns only the links that join groups. Step 4 again.
 
-A pair at exactly the threshold is missed by all bands with a chance of 5e-6, and dropped by its
-sketch with one of 3e-7. Nothing is capped.
+Every link is confirmed on full sets. A pair at exactly the threshold shares no band with a chance
+of 5e-6; nothing is capped.
 
 Defined results: a text without words has an empty set and is linked with nothing; equal rows are
 copies of each other; a null doc_id never names a group that has other ids; input columns called
@@ -37,10 +36,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 PERCENT = 75
-# Equal sketch bytes that a pair needs: five standard deviations below those of a pair at the threshold.
-SKETCH_LEAST = int(SLOTS * 0.751 - 5 * (SLOTS * 0.751 * 0.249) ** 0.5)
-# Shingles hashed at a time, and members of a bucket compared at a time.
-CHUNK, BLOCK = 300_000, 2048
+# Shingles hashed at a time; rows and set elements of a block; cells of a presence matrix.
+CHUNK, BLOCK, ELEMENTS, CELLS = 300_000, 2048, 2_000_000, 1 << 23
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -123,38 +120,20 @@ def _sign(batches):
                 held += len(sets[-1])
             signed = super_minhash(sets)
             bands = band_hashes(signed).view(np.int64)
-            sketch = T.mix(signed).astype(np.uint8)
             full = np.array([len(s) > 0 for s in sets])
             yield pa.RecordBatch.from_arrays([
                 *[c.slice(begin, len(sets)) for c in batch.columns[:-1]], pa.array([set_name(s) for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([list(b) if f else [] for b, f in zip(bands, full)], pa.list_(pa.int64())),
-                pa.array([s.tobytes() for s in sketch], pa.binary()),
-            ], names=[*batch.schema.names[:-1], "class", "n", "bands", "sketch"])
+            ], names=[*batch.schema.names[:-1], "class", "n", "bands"])
             begin += len(sets)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text as it is), class (name of the set, null when empty), n, bands, sketch."""
+    """doc_id, key (hash of the text as it is), class (name of the set, null when empty), n, bands."""
     narrow = docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(_sign, f"doc_id {kind}, key bigint, class binary, n bigint, bands array<bigint>, sketch binary")
-
-
-def _similar_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and sketches allow a link."""
-    side = lambda p: classes.select(F.col("class").alias(p), F.col("n").alias(f"n{p}"), F.col("sketch").alias(f"s{p}"))
-
-    def near(batches):
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS) for c in ("sa", "sb"))
-                keep = (a == b).sum(axis=1) >= SKETCH_LEAST
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    fits = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits)
-    return both.select("a", "b", "sa", "sb").mapInArrow(near, "a binary, b binary")
+    return narrow.mapInArrow(_sign, f"doc_id {kind}, key bigint, class binary, n bigint, bands array<bigint>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -191,14 +170,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "ia", "ib").mapInArrow(check, "a binary, b binary")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Confirmed links among candidate pairs (a < b), written."""
-    near = materialise(_similar_sketches(pairs, classes))
-    named = near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).distinct()
-    wanted = classes.join(named, "class", "left_semi").select("class", F.col("rep").alias("doc_id"))
-    return materialise(_confirmed(near, materialise(_full_sets(docs, wanted))))
-
-
 def _forest(batches):
     """Union-find over the edges of a partition: one edge from every node to the smallest it reaches."""
     parent: dict[bytes, bytes] = {}
@@ -252,77 +223,102 @@ def _with_root(df: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _centre_pairs(buckets: DataFrame) -> DataFrame:
-    """Every member of a bucket with the bucket's centre, unless both are in one group."""
-    centres = buckets.groupBy("band").agg(
-        F.min("class").alias("centre"), F.min_by("root", "class").alias("at"), F.count(F.lit(1)).alias("members")
-    ).filter("members > 1")
-    met = buckets.join(centres, "band").filter("class != centre AND root != at")
+    """Every member of a bucket with the bucket's centre."""
+    centres = buckets.groupBy("band").agg(F.min("class").alias("centre"))
+    met = buckets.join(centres, "band").filter("class != centre")
     return met.select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
 
 
 def _without_centres(buckets: DataFrame) -> DataFrame:
-    """Buckets of several groups, without their centres, which have met every member."""
-    left = buckets.groupBy("band").agg(
-        F.min("class").alias("centre"), F.min("root").alias("low"), F.max("root").alias("high")
-    ).filter("low != high")
-    rest = buckets.join(left, "band").filter("class != centre").select("band", "class", "root")
-    several = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
-    return rest.join(several.filter("low != high").select("band", "members"), "band")
-
-
-def _block_pairs(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of different groups with similar sketches, each bucket compared block against block."""
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("class"), blocks).cast("int")
-    rows = buckets.withColumns({"blocks": blocks, "mine": mine}).withColumn(
+    """Members of buckets that still hold several groups, without the centres, which have met every member."""
+    ends = [F.min("root").alias("low"), F.max("root").alias("high")]
+    left = buckets.groupBy("band").agg(F.min("class").alias("centre"), *ends).filter("low != high")
+    rest = buckets.join(left.select("band", "centre"), "band").filter("class != centre").select("band", "class", "root")
+    several = rest.groupBy("band").agg(*ends).filter("low != high")
+    return rest.join(several.select("band"), "band")
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections between two lists of sets, as products of presence matrices."""
+    common = np.zeros((len(a), len(b)), np.float32)
+    items, place = np.unique(np.concatenate(a + b), return_inverse=True)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in a + b])
+    shared = np.bincount(place, minlength=len(items)) > 1
+    at = (np.cumsum(shared) - 1)[place]
+    keep = shared[place]
+    at, row = at[keep], row[keep]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    width = max(64, CELLS // (len(a) + len(b)))
+    for begin in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(at, (begin, begin + width))
+        present = np.zeros((len(a) + len(b), width), np.float32)
+        present[row[lo:hi], at[lo:hi] - begin] = 1
+        common += present[: len(a)] @ present[len(a) :].T
+    return common
+
+
+def _between(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+    """Links between rows of different groups, only as many as join what they reach."""
+    a, b = ([np.frombuffer(x, np.uint64) for x in side["items"]] for side in (left, right))
+    na, nb = (np.array([len(x) for x in side]) for side in (a, b))
+    linked = (100 + PERCENT) * _common(a, b) >= PERCENT * (na[:, None] + nb[None, :])
+    codes, _ = pd.factorize(pd.concat((left["root"], right["root"])))
+    codes, out = codes.copy(), []
+    for k in range(len(a)):
+        others = np.flatnonzero(linked[k] & (codes[len(a) :] != codes[k]))
+        reached, first = np.unique(codes[len(a) + others], return_index=True)
+        out += [(left["class"].iat[k], right["class"].iat[others[f]]) for f in first]
+        codes[np.isin(codes, reached)] = codes[k]
+    return out
+
+
+def _block_links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different groups of a bucket; large buckets are compared block against block.
+
+    A task holds two blocks, each of at most BLOCK rows and about ELEMENTS set elements. What it
+    returns joins groups, so there are fewer links than rows.
+    """
+    rows = buckets.join(sets, "class")
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("items") / 8).alias("elements"))
+    blocks = F.ceil(F.greatest(F.col("m") / F.lit(BLOCK), F.col("elements") / F.lit(ELEMENTS))).cast("int")
+    rows = rows.join(sizes.select("band", blocks.alias("blocks")), "band")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    ).select("band", "class", "root", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    rows = rows.join(classes.select("class", "n", "sketch"), "class")
-
-    def compare(key, pdf):
-        names, roots = pdf["class"].to_numpy(), pdf["root"].astype("category").cat.codes.to_numpy()
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SLOTS)
-        n, mine, split = pdf["n"].to_numpy(), pdf["mine"].to_numpy(), key[1] != key[2]
-        out = []
-        for k in range(len(pdf)):
-            fits = (roots != roots[k]) & (100 * np.minimum(n, n[k]) >= PERCENT * np.maximum(n, n[k]))
-            fits[: k + 1] = False
-            if split:
-                fits &= mine != mine[k]
-            at = np.flatnonzero(fits)
-            at = at[(sketch[at] == sketch[k]).sum(axis=1) >= SKETCH_LEAST]
-            out += [(min(names[k], names[x]), max(names[k], names[x])) for x in at]
-        return pd.DataFrame(out, columns=["a", "b"])
+    )
+    rows = rows.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class", "root", "items")
+
+    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["root"].nunique() < 2:
+            return pd.DataFrame({"a": [], "b": []})
+        left, right = (pdf, pdf) if key[1] == key[2] else (pdf[pdf["mine"] == key[1]], pdf[pdf["mine"] == key[2]])
+        found = _between(left, right) if len(left) and len(right) else []
+        return pd.DataFrame([(min(p), max(p)) for p in found], columns=["a", "b"])
 
     return rows.groupBy("band", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
 
 
 def classes_of(signed: DataFrame) -> DataFrame:
-    """One row per distinct set: class, rep (smallest doc_id), n, bands, sketch."""
+    """One row per distinct set: class, rep (smallest doc_id), n, bands."""
     full = signed.filter("n > 0")
-    return full.groupBy("class").agg(
-        F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"),
-        F.any_value("sketch").alias("sketch"),
-    )
+    return full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
 
 
 def find_groups(signed: DataFrame, docs: DataFrame) -> DataFrame:
     """(class, root) of all linked classes, from the written signatures."""
     classes = materialise(classes_of(signed))
     banded = classes.select(F.explode("bands").alias("band"), "class")
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
-    buckets = materialise(banded.join(shared.select("band"), "band"))
-    links = _links(_centre_pairs(buckets.withColumn("root", F.col("class"))), docs, classes)
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("band")
+    buckets = materialise(banded.join(shared, "band"))
+    wanted = classes.join(buckets, "class", "left_semi").select("class", F.col("rep").alias("doc_id"))
+    sets = materialise(_full_sets(docs, wanted))
+    links = materialise(_confirmed(_centre_pairs(buckets), sets))
     found = groups(links)
     left = materialise(_without_centres(_with_root(buckets, found)))
-    if not left.isEmpty():
-        links = links.union(_links(_centre_pairs(left.drop("members")), docs, classes))
-        found = groups(links)
-        left = materialise(_without_centres(_with_root(left.select("band", "class"), found)))
-    if not left.isEmpty():
-        links = links.union(_links(_block_pairs(left, classes), docs, classes))
-        found = groups(links)
-    return found
+    if left.isEmpty():
+        return found
+    # The groups so far are stars, to which the further links are added.
+    return groups(found.select(F.col("class").alias("a"), F.col("root").alias("b")).union(_block_links(left, sets)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
