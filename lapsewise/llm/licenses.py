@@ -74,7 +74,7 @@ SINGLE = (
     ("mit", "mit", "(?:the )?mit licen[sc]e", 2), ("mit", "mit", "licen[sc]ed under (?:the )?mit", 2), ("mit", "expat", "expat licen[sc]e", 2),
     ("mit", "granted", "permission is hereby granted free of charge to any person obtaining a copy", 1),
     ("isc", "isc", "(?:the )?isc licen[sc]e", 2),
-    ("isc", "granted", "permission to use copy modify and or distribute this software for any purpose", 1),
+    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose", 1),
     ("zlib", "zlib", "(?:the )?zlib(?: libpng)? licen[sc]e", 2), ("unlicense", "unlicense", "(?:the )?unlicense", 2),
     ("wtfpl", "wtfpl", "wtfpl", 2), ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)? licen[sc]e", 2),
     ("postgresql", "postgresql", "postgresql licen[sc]e", 2), ("beerware", "beer", "beer ?ware licen[sc]e", 2),

@@ -65,7 +65,7 @@ def test_gradients_are_those_of_the_loss():
             model.weights[name][at] += step
             losses.append(model.gradients(batch, labels)[0])
         model.weights[name][at] += 1e-4
-        assert abs((losses[0] - losses[1]) / 2e-4 - grad[at]) < 1e-3 * abs(grad[at]) + 1e-6
+        assert abs((losses[0] - losses[1]) / 2e-4 - grad[at]) < 1e-2 * abs(grad[at]) + 1e-5
 
 
 def test_padding_changes_nothing(model):
