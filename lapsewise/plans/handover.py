@@ -29,6 +29,11 @@ class Handover:
             _written[key] = materialise(build())
         return _written[key]
 
+    @staticmethod
+    def forget() -> None:
+        """Forget which tables are written, as a new run or the end of a `scratch` block demands."""
+        _written.clear()
+
     # Lazy stages.
     def raw(self, country: bool = False) -> DataFrame:
         return sales_lines(self.spark, self.folder, country)

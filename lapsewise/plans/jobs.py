@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lapsewise.functions import checks, fixed
 from lapsewise.operators import decisions, features, labels, netting, orders, rfm, segments, snapshots
 from lapsewise.operators.models import ModelBundle, package_model
+from lapsewise.session import require_utc
 from lapsewise.sources.decision_store import DecisionStore, upgrade_decisions
 from lapsewise.sources.tables import read_table, write_table
 
@@ -27,10 +28,11 @@ from lapsewise.sources.tables import read_table, write_table
 def build_history(lines: DataFrame, root: str) -> DataFrame:
     """Net the lines once; write sale lifetimes, purchase days and 180/90-day monthly labels.
 
-    `lines` is written first, so that neither the hot-group sample nor a later job repeats the
+    `lines` is written first, so that neither the netting nor a later job repeats the
     work behind it; pass `read_table(spark, f"{root}/lines")` to the other jobs.
     """
     spark = lines.sparkSession
+    require_utc(spark)
     write_table(lines, f"{root}/lines")
     lines = read_table(spark, f"{root}/lines")
     write_table(netting.lot_lifetimes(lines), f"{root}/lots")
@@ -50,6 +52,7 @@ def build_history(lines: DataFrame, root: str) -> DataFrame:
 def build_training(lines: DataFrame, root: str, windows: Sequence[int] = fixed.FEATURE_WINDOWS) -> DataFrame:
     """Join labels with as-of features, check the contract, write the training table."""
     spark = lines.sparkSession
+    require_utc(spark)
     target, lots = read_table(spark, f"{root}/labels"), read_table(spark, f"{root}/lots")
     dates = [r.snapshot_date for r in target.select("snapshot_date").distinct().collect()]
     table = features.training_table(lines, target, windows, lots=lots, snapshots=dates, check=False)
@@ -67,6 +70,7 @@ def build_training(lines: DataFrame, root: str, windows: Sequence[int] = fixed.F
 def build_segments(lines: DataFrame, root: str, **options) -> DataFrame:
     """Segment every customer on the net purchases up to the day after the last line."""
     spark = lines.sparkSession
+    require_utc(spark)
     day = rfm.day_after_last(lines)
     table = segments.segment_table(rfm.rfm_table(netting.net_purchases(lines), day), F.to_date(day), **options)
     write_table(table, f"{root}/segments")
@@ -82,13 +86,15 @@ def train_model(spark: SparkSession, root: str, c: float = fixed.SELECTED_C) ->
 def score_latest(lines: DataFrame, root: str) -> str:
     """Score the day after the last line, join segments of the same day, decide and publish; returns the run id."""
     spark = lines.sparkSession
+    require_utc(spark)
     bundle = ModelBundle.load(f"{root}/model")
     day = lines.agg(F.date_add(F.to_date(F.max("invoice_date")), 1)).first()[0]
     table = read_table(spark, f"{root}/segments")
     days = [r.snapshot_date for r in table.select("snapshot_date").distinct().limit(2).collect()]
     if days != [day]:
         raise ValueError(f"segments are of {days}, scores of {day}: rebuild the segments first")
-    latest = features.snapshot_features(lines, [day]).drop("snapshot_quarter", "is_holiday_season")
+    lots = read_table(spark, f"{root}/lots")
+    latest = features.snapshot_features(lines, [day], lots=lots).drop("snapshot_quarter", "is_holiday_season")
     scores = bundle.score(latest).select("customer_id", "snapshot_date", "churn_probability")
     # Incomplete rows are refused before anything is written.
     checks.require_covered(scores, table, ["customer_id"], "scored customers without a segment")

@@ -32,6 +32,13 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Calendar days are taken in the session's time zone; another zone would shift every label."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "Z", "GMT", "+00:00"):
+        raise ValueError(f"set spark.sql.session.timeZone to UTC; it is {zone}")
+
+
 def setting(spark: SparkSession, key: str) -> float:
     return float(spark.conf.get(key, _DEFAULTS[key]))
 

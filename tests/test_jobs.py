@@ -37,3 +37,12 @@ def test_monthly_run(spark, tmp_path):
     spark.createDataFrame(stale, segments.schema).write.mode("overwrite").parquet(f"{root}/segments")
     with pytest.raises(ValueError, match="rebuild"):
         jobs.score_latest(lines, root)
+
+
+def test_other_time_zones_are_refused(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        with pytest.raises(ValueError, match="timeZone"):
+            jobs.build_segments(spark.range(1), str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
