@@ -124,7 +124,7 @@ def index(vectors: DataFrame, model: Index) -> DataFrame:
 
 
 def _probed(queries: DataFrame, model: Index, probes: int) -> DataFrame:
-    """One row per query and list to search."""
+    """One row per query and list to search; `place` 0 is the nearest."""
     sent = queries.sparkSession.sparkContext.broadcast(model)
 
     def choose(batches):
@@ -136,60 +136,78 @@ def _probed(queries: DataFrame, model: Index, probes: int) -> DataFrame:
 
     kind = queries.schema["query_id"].dataType.simpleString()
     found = queries.mapInArrow(choose, f"query_id {kind}, query bigint, embedding array<float>, lists array<int>")
-    return found.select("query_id", "query", "embedding", F.explode("lists").alias("list"))
+    return found.select("query_id", "query", "embedding", F.posexplode("lists").alias("place", "list"))
 
 
-def scan(q: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int, own: np.ndarray | None = None) -> list[np.ndarray]:
-    """Per query the positions of the candidates that the tests did not abandon.
+def scan(
+    q: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int, own: np.ndarray | None = None, floor: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, candidate) that no test abandoned and that reach the query's k-th product.
 
-    `own` marks pairs (query, candidate) that do not count. Every query's k-th product so far grows
-    chunk by chunk; within a chunk all queries take a column block together.
+    `own` marks pairs that do not count; `floor` holds products that k candidates elsewhere reach.
+    Candidates come in chunks, between which the k-th products rise. Within a chunk all queries take
+    a column block together, as one matrix product while many pairs are alive, pair by pair after.
     """
     dimension = x.shape[1]
-    turned_q, turned_x = q @ rotation, x @ rotation
-    norm_q, norm_x = (q**2).sum(axis=1), (x**2).sum(axis=1)
-    best = np.full((len(q), k), -np.inf)
-    kept: list[list[np.ndarray]] = [[] for _ in q]
+    turned_q, turned_x = (q @ rotation).astype(np.float32), (x @ rotation).astype(np.float32)
+    norm_q, norm_x = (turned_q**2).sum(axis=1), (turned_x**2).sum(axis=1)
+    loose = 1e-4 * (norm_q[:, None] + 1)  # single precision
+    best = np.full((len(q), k), -np.inf, np.float32)
+    if floor is not None:
+        best[:] = floor[:, None].astype(np.float32)
+    kept = []
     for begin in range(0, len(x), CHUNK):
-        end = min(len(x), begin + CHUNK)
-        part, size = turned_x[begin:end], norm_x[begin:end]
-        floor = best[:, 0]  # the smallest of the k best
-        limit = norm_q[:, None] + size[None, :] - 2 * floor[:, None]
-        limit = np.where(np.isfinite(limit), np.maximum(limit, 0), np.inf)
-        width = min(COLUMNS, dimension)
-        head_q, head_x = turned_q[:, :width], part[:, :width]
-        partial = (head_q**2).sum(axis=1)[:, None] + (head_x**2).sum(axis=1)[None, :] - 2 * head_q @ head_x.T
-        alive = partial * (dimension / width) <= limit * (1 + EPSILON / width**0.5) ** 2 + 1e-9
-        if own is not None:
-            alive &= ~own[:, begin:end]
-        i, j = np.nonzero(alive)
-        partial = partial[i, j]
-        done = width
-        while done < dimension and len(i):
+        part, size = turned_x[begin : begin + CHUNK], norm_x[begin : begin + CHUNK]
+        both = norm_q[:, None] + size[None, :]
+        limit = np.maximum(both - 2 * best[:, :1], 0) + loose * (1 + size[None, :])
+        alive = np.ones(limit.shape, bool) if own is None else ~own[:, begin : begin + CHUNK]
+        partial, done = np.zeros(limit.shape, np.float32), 0
+        pairs = None
+        while done < dimension:
             width = min(COLUMNS, dimension - done)
-            partial = partial + ((turned_q[i, done : done + width] - part[j, done : done + width]) ** 2).sum(axis=1)
+            head_q, head_x = turned_q[:, done : done + width], part[:, done : done + width]
             done += width
             slack = (1 + EPSILON / done**0.5) ** 2 if done < dimension else 1.0
-            alive = partial * (dimension / done) <= limit[i, j] * slack + 1e-9
-            i, j, partial = i[alive], j[alive], partial[alive]
-        products = (norm_q[i] + size[j] - partial) / 2
-        for row in np.unique(i):
-            mine = i == row
-            kept[row].append(begin + j[mine])
-            together = np.concatenate((best[row], products[mine]))
-            best[row] = np.sort(np.partition(together, len(together) - k)[-k:])
-    return [np.concatenate(s) if s else np.empty(0, np.int64) for s in kept]
-
-
-def search(indexed: DataFrame, queries: DataFrame, model: Index, probes: int, k: int) -> DataFrame:
-    """query_id, query, vec_id, score: the best k of every query in every block it met."""
+            if pairs is None:
+                partial += (head_q**2).sum(axis=1)[:, None] + (head_x**2).sum(axis=1)[None, :] - 2 * head_q @ head_x.T
+                alive &= partial * (dimension / done) <= limit * slack
+                if done < dimension and np.count_nonzero(alive) < alive.size // 16:
+                    pairs = np.nonzero(alive)
+                    partial = partial[pairs]
+            else:
+                i, j = pairs
+                partial = partial + ((head_q[i] - head_x[j]) ** 2).sum(axis=1)
+                still = partial * (dimension / done) <= limit[i, j] * slack
+                pairs, partial = (i[still], j[still]), partial[still]
+        if pairs is None:
+            pairs = np.nonzero(alive)
+            partial = partial[pairs]
+        i, j = pairs
+        products = (both[i, j] - partial) / 2
+        kept.append((i, begin + j, products))
+        if len(i):
+            rows, at = np.unique(i, return_inverse=True)
+            fresh = np.full((len(rows), part.shape[0]), -np.inf, np.float32)
+            fresh[at, j] = products
+            together = np.concatenate((best[rows], fresh), axis=1)
+            together = np.partition(together, together.shape[1] - k, axis=1)[:, -k:]
+            best[rows] = np.sort(together, axis=1)
+    i, j, products = (np.concatenate(c) for c in zip(*kept))
+    near = products >= best[i, 0] - loose[i, 0] * (1 + norm_x[j])
+    return i[near], j[near]
+
+
+def search(indexed: DataFrame, probed: DataFrame, model: Index, k: int) -> DataFrame:
+    """query_id, query, vec_id, score: what may be among the best k in every block that a query meets.
+
+    `probed` holds query_id, query, embedding, list and floor.
+    """
     sizes = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    probed = _probed(queries, model, probes)
     parts = probed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).cast("int").alias("parts"))
     shape = materialise(sizes.join(parts, "list"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = probed.join(shape, "list").withColumn("part", F.pmod(F.col("query"), F.col("parts")).cast("int"))
-    asks = asks.withColumn("block", spread("blocks")).select("query_id", "query", "embedding", "list", "block", "part")
+    asks = asks.withColumn("block", spread("blocks")).select("query_id", "query", "embedding", "floor", "list", "block", "part")
     holds = indexed.join(shape, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     holds = holds.withColumn("part", spread("parts")).select("vec_id", "embedding", "list", "block", "part")
     rotation = indexed.sparkSession.sparkContext.broadcast(model.rotation)
@@ -198,15 +216,15 @@ def search(indexed: DataFrame, queries: DataFrame, model: Index, probes: int, k:
         if asked.empty or held.empty:
             return pd.DataFrame({"query_id": [], "query": [], "vec_id": [], "score": []})
         q = np.stack(asked["embedding"].to_numpy()).astype(np.float64)
-        held = held.sort_values("vec_id", kind="stable")
         x = np.stack(held["embedding"].to_numpy()).astype(np.float64)
         ids, mine = held["vec_id"].to_numpy(), asked["query_id"].to_numpy()
-        rows = []
-        for n, at in enumerate(scan(q, x, rotation.value, k, mine[:, None] == ids[None, :])):
-            score = (x[at] * q[n]).sum(axis=1)
-            best = np.lexsort((ids[at], -score))[:k]
-            rows.append(pd.DataFrame({"query_id": mine[n], "query": asked["query"].iat[n], "vec_id": ids[at][best], "score": score[best]}))
-        return pd.concat(rows)
+        i, j = scan(q, x, rotation.value, k, mine[:, None] == ids[None, :], asked["floor"].to_numpy(np.float64))
+        score = (x[j] * q[i]).sum(axis=1)
+        order = np.lexsort((ids[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+        i, j, score = i[place < k], j[place < k], score[place < k]
+        return pd.DataFrame({"query_id": mine[i], "query": asked["query"].to_numpy()[i], "vec_id": ids[j], "score": score})
 
     key = ["list", "block", "part"]
     kind = indexed.schema["vec_id"].dataType.simpleString()
@@ -215,6 +233,15 @@ def search(indexed: DataFrame, queries: DataFrame, model: Index, probes: int, k:
     )
 
 
+def _two_rounds(indexed: DataFrame, queries: DataFrame, model: Index, probes: int, k: int) -> DataFrame:
+    """The best k in the nearest `probes` lists. The nearest list comes first: its k-th product is the others' floor."""
+    probed = materialise(_probed(queries, model, probes))
+    first = materialise(best_of(search(indexed, probed.filter("place = 0").withColumn("floor", F.lit(float("-inf"))), model, k), k))
+    floors = first.filter(F.col("rank") == k).select("query_id", "query", F.col("score").alias("floor"))
+    rest = probed.filter("place > 0").join(floors, ["query_id", "query"], "left").fillna(float("-inf"), ["floor"])
+    return best_of(first.drop("rank").unionByName(search(indexed, rest, model, k)), k)
+
+
 def best_of(found: DataFrame, k: int) -> DataFrame:
     nearest = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
@@ -233,11 +260,11 @@ def neighbours(embeddings: DataFrame, is_query: Column | None = None, k: int = K
     queries = vectors.filter(is_query).select(
         F.col("vec_id").alias("query_id"), F.xxhash64("vec_id", "embedding").alias("query"), "embedding"
     ).dropDuplicates(["query_id", "query"])
-    found = materialise(best_of(search(indexed, queries, model, model.probes, k), k))
+    found = materialise(_two_rounds(indexed, queries, model, model.probes, k))
     if model.probes < len(model.centroids):
         enough = found.groupBy("query_id", "query").count().filter(F.col("count") >= min(k, total - 1))
         short = materialise(queries.join(enough, ["query_id", "query"], "left_anti"))
         if not short.isEmpty():
-            again = best_of(search(indexed, short, model, len(model.centroids), k), k)
+            again = _two_rounds(indexed, short, model, len(model.centroids), k)
             found = found.join(short.select("query_id", "query"), ["query_id", "query"], "left_anti").unionByName(again)
     return found.select("query_id", "rank", "vec_id", "score")
