@@ -87,7 +87,8 @@ SINGLE = (
     ("cc", "creative", "creative commons(?: licen[sc]e)?", 3), ("public-domain", "domain", "(?:in|into|to) the public domain", 2),
     ("pddl", "pddl", "pddl(?: 1 0)?", 2), ("proprietary", "reserved", "all rights reserved", 3),
     ("notice", "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}", 3), ("notice", "spdx", "spdx licen[sc]e identifier", 3),
-    ("notice", "licen", "(?:released|distributed|licen[sc]ed|available) under (?:the )?(?:terms of (?:the )?)?[a-z0-9]+", 3),
+    ("notice", "licen", "licen[sc]ed under (?:the )?(?:terms of (?:the )?)?[a-z0-9]+", 3),
+    ("notice", "licen", "(?:released|distributed|available) under (?:the )?(?:terms of (?:the )?)?[a-z0-9]+(?: [a-z0-9]+)? licen[sc]e", 3),
     ("notice", "warranty", "without warranty of any kind", 3),
 )
 
