@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lapsewise.llm import decontam, neardup, pii
 from lapsewise.session import materialise
-from test_decontam import brute as contaminated
-from test_neardup import brute as grouped
+from llm.test_decontam import brute as contaminated
+from llm.test_neardup import brute as grouped
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
