@@ -249,8 +249,9 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     at, row = at[keep], row[keep]
     order = np.argsort(at, kind="stable")
     at, row = at[order], row[order]
-    width = max(64, CELLS // (len(a) + len(b)))
-    for begin in range(0, int(shared.sum()), width):
+    wanted = int(shared.sum())
+    width = max(1, min(wanted, CELLS // (len(a) + len(b))))
+    for begin in range(0, wanted, width):
         lo, hi = np.searchsorted(at, (begin, begin + width))
         present = np.zeros((len(a) + len(b), width), np.float32)
         present[row[lo:hi], at[lo:hi] - begin] = 1
