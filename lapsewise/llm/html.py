@@ -7,7 +7,9 @@ so that every block is classified with the whole page around it; blocks called m
 joined.
 
 Training needs no labels from outside: on a bounded sample of pages (`train_pages`, chosen by a
-hash of page_id) the page's own markup tells where the article and the frame around it are. Each
+hash of page_id, in tables of any size) the page's own markup tells where the article and the frame
+around it are. Where the sample names too few articles, all pages are searched for them; pages of
+LONG characters or more are taken last, and one at least. Each
 sampled page is also trained on in altered form, with containers renamed to other customary names
 and with foreign blocks put in as sidebars, notices, forms, adverts and reader comments, so the
 model reads names and context rather than one template. Every page is classified by the model.
@@ -15,13 +17,14 @@ model reads names and context rather than one template. Every page is classified
 Defined results: a null page is empty; an empty page, or one without main text, gives an empty
 text; scripts, styles, comments and the head hold no text; unclosed tags end with their parent,
 unclosed comments and scripts with the page; a line break is white space; rows repeat as in the
-input; with no page to train on, the text is that of all blocks.
+input; where no page of the table names an article, the text is that of all blocks, with a warning.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+import warnings
 import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -34,6 +37,8 @@ from pyspark.sql import DataFrame, functions as F
 from lapsewise.llm import text as T
 
 TRAIN_PAGES, ALTERED, EPOCHS = 240, 5, 10
+# Pages of so many characters are trained on only where shorter ones are too few.
+LONG = 200_000
 # Blocks of a page that a training step reads: of the page as it is, and of its altered forms.
 LONGEST, EXCERPT = 240, 32
 PATH, WORDS, NUMBERS, HIDDEN = 512, 16, 8, 16
@@ -419,21 +424,45 @@ def fit(pages: list[tuple[list[Block], list[int]]], epochs: int = EPOCHS, seed:
 
 
 def sample(pages: DataFrame, most: int) -> list[tuple[list[Block], list[int]]]:
-    total = pages.count()
-    share = min(1.0, 1.5 * most / max(total, 1))
-    chosen = pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < int(share * 1_000_000)).filter(F.length("html") < 200_000)
-    rows = chosen.orderBy(F.xxhash64("page_id"), "html").limit(most).select("html").collect()
-    found = []
-    for row in rows:
-        blocks = blocks_of(row.html)
-        labels = marked(blocks) if blocks else None
-        if labels:
-            found.append((blocks, labels))
-    return found
+    """At most `most` pages whose markup names an article, with their labels; none only where no page of the table does."""
+    share = 1.5 * most / max(pages.count(), 1)
+    found: list[str] = []
+    if share < 1:
+        # The whole 64-bit hash is compared: no table is too large for its share.
+        found = _known(pages.filter(F.xxhash64("page_id") < int(share * 2**64) - 2**63), most)
+    if len(found) < most // 8:
+        found = _known(pages, most)
+    parsed = [blocks_of(h) for h in found]
+    return [(blocks, marked(blocks)) for blocks in parsed]
+
+
+def _known(pages: DataFrame, most: int) -> list[str]:
+    """The pages that name an article, least hash first; long ones only where others are too few, up to `most` x LONG characters."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            named = [i for i, t in enumerate(texts) if (blocks := blocks_of(t)) and marked(blocks)]
+            kept = batch.column(0).take(pa.array(named, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept, pa.array([len(texts[i]) for i in named], pa.int64())], names=["key", "size"])
+
+    keyed = pages.select(F.xxhash64("page_id", "html").alias("key"), "html")
+    keys, total = [], 0
+    for row in keyed.mapInArrow(run, "key bigint, size bigint").distinct().orderBy(F.col("size") >= LONG, "key").limit(most).collect():
+        if keys and total + row.size > most * LONG:
+            break
+        keys.append(row.key)
+        total += row.size
+    if not keys:
+        return []
+    rows = keyed.filter(F.col("key").isin(keys)).groupBy("key").agg(F.first("html").alias("html")).collect()
+    return [r.html for r in sorted(rows, key=lambda r: r.key)]
 
 
 def train(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Labeller | None:
     known = sample(pages.select("page_id", "html"), train_pages)
+    if not known:
+        warnings.warn("No page names an article: there is nothing to learn from, and all blocks count as main text.", stacklevel=2)
     return fit(known) if known else None
 
 

@@ -84,3 +84,17 @@ def test_odd_rows(spark, model):
     assert all((r.text, r.n_chars) == ("", 0) for r in found if r.page_id in (1, 2))
     assert html.main_text(spark.createDataFrame([], PAGES)).count() == 0
     assert html.main_text(spark.createDataFrame(rows[:3], PAGES)).filter("page_id IS NULL").first().text == "x"
+
+
+def test_sample_of_tables_of_any_size(spark, monkeypatch):
+    """The share of a sample is not rounded to nothing, and long pages, or few that name an article, are found."""
+    page = "<nav><p>menu</p></nav><article><p>Words here.</p></article>"
+    pages = spark.range(3000).selectExpr("id AS page_id", f"'{page}' AS html")
+    monkeypatch.setattr(type(pages), "count", lambda self: 400_000_000)
+    assert html.sample(pages, 16)
+    monkeypatch.undo()
+    rare = pages.selectExpr("page_id", "if(page_id = 7, html, '<p>plain') AS html")
+    long = pages.limit(3).selectExpr("page_id", "concat(html, repeat('<p>more words</p>', 20000)) AS html")
+    assert len(html.sample(rare, 16)) == 1 and len(html.sample(long, 16)) == 3
+    same = pages.selectExpr("0L AS page_id", "concat(html, page_id) AS html")
+    assert len(html.sample(same, 16)) == 16
