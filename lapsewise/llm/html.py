@@ -15,8 +15,9 @@ and with foreign blocks put in as sidebars, notices, forms, adverts and reader c
 model reads names and context rather than one template. Every page is classified by the model.
 
 Defined results: a null page is empty; an empty page, or one without main text, gives an empty
-text; scripts, styles, comments and the head hold no text; unclosed tags end with their parent,
-unclosed comments and scripts with the page; a line break is white space; rows repeat as in the
+text; scripts, styles, comments and the head hold no text; a head ends at the first tag or text that
+cannot stand in it; unclosed tags end with their parent, unclosed comments and scripts with the page,
+unclosed styles, titles and text areas at the next tag, other unclosed raw tags where they begin; a line break is white space; rows repeat as in the
 input; where no page of the table names an article, the text is that of all blocks, with a warning.
 """
 
@@ -46,6 +47,10 @@ BATCH = 96
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title noscript template iframe textarea svg".split())
+# What may stand in a head; any other tag, and any text, ends it.
+_HEAD = frozenset("html base basefont bgsound link meta noframes noscript script style template title".split())
+# Raw tags whose content is no text of the page even where no end tag follows: it is skipped up to the next tag.
+_UNSAID = frozenset("style title textarea".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option optgroup p pre section select "
@@ -54,12 +59,19 @@ _BLOCK = frozenset(
 # Tags whose opening ends an open one of the second set.
 _ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "option": {"option"}, "body": {"head"},
+    "option": {"option"},
 }
 _TAG = re.compile(
     r"<(?:!--(?P<note>.*?)(?:--!?>|\Z)|(?P<open>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|(?P<loose>[a-zA-Z][^\s/>]*)[^>]*>|/(?P<close>[a-zA-Z][^\s/>]*)[^>]*>|[!?/][^>]*(?:>|\Z))",
     re.S,
 )
+# Comments and scripts are passed over, self-closing svgs have no end tag.
+_RAW_TAGS = re.compile(
+    rf"<!--.*?(?:--!?>|\Z)|<script\b.*?(?:</script\b[^>]*>|\Z)|<svg\b[^>]*/>|<(?P<end>/?)(?P<name>{'|'.join(sorted(_RAW - {'script'}))})(?![^\s/>])[^>]*>",
+    re.S | re.I,
+)
+_SCRIPT_END = re.compile(r"</script\b[^>]*>", re.I)
+_NEXT = re.compile(r"<[a-zA-Z/!?]")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -85,6 +97,21 @@ def _element(name: str, rest: str) -> str:
     return " ".join([name, *words])
 
 
+def _raw_ends(page: str) -> dict[int, int]:
+    """From where a raw tag (no script) begins to where its own end tag ends; raw tags without one are left out."""
+    opened: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    for tag in _RAW_TAGS.finditer(page):
+        name = (tag["name"] or "").lower()
+        if not name:
+            continue
+        if not tag["end"]:
+            opened.setdefault(name, []).append(tag.start())
+        elif opened.get(name):
+            ends[opened[name].pop()] = tag.end()
+    return ends
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The page's leaf blocks in order: (path, text, characters inside links)."""
     page = page or ""
@@ -93,6 +120,7 @@ def blocks_of(page: str | None) -> list[Block]:
     out: list[Block] = []
     pieces: list[str] = []
     linked, links, at, path = 0, 0, 0, ()
+    raw_ends: dict[int, int] | None = None
 
     def flush():
         nonlocal pieces, linked
@@ -105,6 +133,8 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def say(words: str):
         nonlocal path, linked
+        if words and "head" in stack and not words.isspace():
+            cut(_last(stack, {"head"}))
         if words and "head" not in stack:
             if not pieces:
                 path = tuple(e for t, e in zip(stack, elements) if t in _BLOCK)
@@ -124,9 +154,20 @@ def blocks_of(page: str | None) -> list[Block]:
         at = tag.end()
         name = (tag["open"] or tag["loose"] or "").lower()
         closing = (tag["close"] or "").lower()
-        if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+        if name and name not in _HEAD and "head" in stack:
+            cut(_last(stack, {"head"}))
+        if name == "script":
+            end = _SCRIPT_END.search(page, at)
             at = end.end() if end else len(page)
+        elif name == "svg" and (tag["rest"] or "").endswith("/"):
+            pass
+        elif name in _RAW:
+            raw_ends = _raw_ends(page) if raw_ends is None else raw_ends
+            end = raw_ends.get(tag.start())
+            if end is None and name in _UNSAID:
+                end = following.start() if (following := _NEXT.search(page, at)) else len(page)
+            # Without an end tag, what follows the others belongs to the page.
+            at = max(at, end or 0)
         elif name:
             if name in _BLOCK:
                 flush()

@@ -98,3 +98,19 @@ def test_sample_of_tables_of_any_size(spark, monkeypatch):
     assert len(html.sample(rare, 16)) == 1 and len(html.sample(long, 16)) == 3
     same = pages.selectExpr("0L AS page_id", "concat(html, page_id) AS html")
     assert len(html.sample(same, 16)) == 16
+
+
+@pytest.mark.parametrize("page, texts", [
+    ('<svg class="icon"/><p>a</p><svg><title>x</title></svg><p>b', ["a", "b"]), ("<svg><path d=1><p>a<p>b", ["a", "b"]), ("<svg><svg></svg>x</svg>a", ["a"]),
+    ("<noscript><p>a</p><noscript>x</noscript><p>b", ["a", "b"]), ("<p>a</p><iframe src=x><p>b", ["a", "b"]), ("<template><p>a<p>b", ["a", "b"]),
+    ("<textarea>typed<p>a", ["a"]), ("<title>t<p>a", ["a"]), ("<style>p{}<p>a", ["a"]), ("<svg><!-- <svg> --><text>x</text></svg>a", ["a"]),
+    ("<head><title>t</title><p>Article", ["Article"]), ("<head><meta charset=x><link rel=y><script>1</script><div>a</div>", ["a"]),
+    ("<head><title>t</title>Article<p>b", ["Article", "b"]), ("<html><head>\n<title>t</title>\n</head><body><p>a", ["a"]), ("<head><noscript><p>x</p></noscript><img src=i>a", ["a"]),
+])
+def test_blocks_of_ordinary_html(page, texts):
+    assert [t for _, t, _ in html.blocks_of(page)] == texts
+
+
+def test_many_unclosed_raw_tags_take_linear_time():
+    blocks = html.blocks_of("<svg><noscript>" * 50_000 + "<p>a")
+    assert [t for _, t, _ in blocks] == ["a"]
