@@ -7,6 +7,12 @@ digits, letters keep their case, separators stay, checksums hold again, dates st
 values get equal pseudonyms in every document, however they are written; whoever holds the key can
 turn them back.
 
+What follows an account may have the shape of further groups of it. An account ends where its
+country's accounts do, else with the whole shape, else (countries not in ACCOUNTS) at the last group
+whose checksum holds; where none does, the search goes on after the first group. A value that lies in
+such a refused reading is permuted again where its pseudonym would make the reading valid, so that it
+is found again; there its pseudonym may differ from the one it has elsewhere.
+
 The network alternates between the two halves of a value, read as mixed-radix numbers, and adds a
 keyed hash of one half to the other, ROUNDS times. Dates are permuted as day numbers; where a
 permuted number lies outside the allowed range it is permuted again (cycle walking).
@@ -121,14 +127,38 @@ def card(f: Feistel, value: str, back: bool) -> str | None:
     return _refill(value, body + str(luhn(body)))
 
 
+def _is_account(value: str) -> bool:
+    plain = _plain(value)
+    return 15 <= len(plain) <= 34 and _bank_remainder(plain) == 1
+
+
 def bank_account(f: Feistel, value: str, back: bool) -> str | None:
     plain = _plain(value)
-    if not 15 <= len(plain) <= 34 or _bank_remainder(plain) != 1:
+    if not _is_account(value):
         return None
     body = _by_class(f, "iban" + plain[:2], plain[4:], back)
     return _refill(value, f"{plain[:2]}{98 - _bank_remainder(plain[:2] + '00' + body):02d}{body}")
 
 
+# Letters and digits of a country's bank accounts.
+ACCOUNTS = {
+    country: int(size) for size, *countries in map(str.split, (
+        "15 NO", "16 BE", "18 DK FI FO GL NL SD FK", "19 MK SI", "20 AT BA EE KZ LT LU XK MN", "21 CH HR LI LV",
+        "22 BG BH CR DE GB GE IE ME RS VA", "23 AE GI IL IQ TL OM SO", "24 AD CZ ES MD PK RO SA SE SK TN VG", "25 LY PT ST",
+        "26 IS TR", "27 BI DJ FR GR IT MC MR SM", "28 AL AZ BY CY DO GT HN HU LB NI PL SV", "29 BR EG PS QA UA", "30 JO KW MU YE", "31 MT SC", "32 LC", "33 RU",
+    )) for country in countries
+}
+
+
+def account_ends(shape: str) -> list[int]:
+    """Where an account that begins a shape may end, first choice first."""
+    ends = [i for i, c in enumerate(shape) if c == " "] + [len(shape)]
+    size = ACCOUNTS.get(shape[:2])
+    own = [e for e in ends if len(_plain(shape[:e])) == size]
+    others = ends if size is None else ends[-1:]
+    return own + [e for e in reversed(others) if e not in own]
+
+
 def phone(f: Feistel, value: str, back: bool) -> str | None:
     plain = _plain(value)
     if not 8 <= len(plain) <= 15:
@@ -256,8 +286,27 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[s
     if not windows:
         return text, []
     network, kinds = _network(key), []
-
-    def change(match: re.Match) -> str:
+    refused: list[tuple[int, int]] = []  # readings as accounts that did not hold
+
+    def found(begin: int, end: int, name: str, permute: Callable) -> str | None:
+        """The pseudonym of text[begin:end], under which refused readings around it stay refused."""
+        around = [(b, e) for b, e in refused if b < end and begin < e]
+        first, last = min((b for b, _ in around), default=begin), max((e for _, e in around), default=end)
+        before, at = [text[max(done, first) : begin]], done
+        for piece in reversed(out):
+            if at <= first:
+                break
+            before.append(piece[max(0, len(piece) - at + first) :])
+            at -= len(piece)
+        head = "".join(reversed(before))
+        value = permute(network, text[begin:end], back)
+        while value is not None and any(_is_account((head + value + text[end:last])[b - first : e - first]) for b, e in around):
+            value = permute(network, value, back)
+        return value
+
+    def change(match: re.Match) -> tuple[str, int]:
+        """What takes the match's place, and where it and the search go on."""
+        begin, end = match.span()
         for name, (_, permute) in KINDS.items():
             if match[name] is None:
                 continue
@@ -265,27 +314,39 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[s
                 head = match[0][: len(match[0]) - len(match["_value"])]
                 fresh = permute(network, match["_value"], back)
                 fresh = None if fresh is None else head + fresh
+            elif name == "bank_account":
+                fresh = None
+                for size in account_ends(match[0]):
+                    if _is_account(match[0][:size]):
+                        fresh, end = found(begin, begin + size, name, permute), begin + size
+                        break
+                    refused.append((begin, begin + size))
             else:
-                fresh = permute(network, match[0], back)
+                fresh = found(begin, end, name, permute)
             if fresh is None:  # the shape of several kinds: later ones may still fit
                 later = list(KINDS)[list(KINDS).index(name) + 1 :]
                 for other in later:
                     if other != "secret" and re.fullmatch(KINDS[other][0], match[0]):
-                        fresh = KINDS[other][1](network, match[0], back)
+                        fresh = found(begin, end, other, KINDS[other][1])
                         name = other
                         if fresh is not None:
                             break
             if fresh is None:
-                return match[0]
+                # The groups after an account's first may hold other values.
+                end = begin + 4 if name == "bank_account" else end
+                return text[begin:end], end
             kinds.append(name)
-            return fresh
-        return match[0]
+            return fresh, end
+        return match[0], end
 
     out, done = [], 0
     for begin, end in windows:
-        for match in _PATTERN.finditer(text, begin, end):
-            out += [text[done : match.start()], change(match)]
-            done = match.end()
+        at = begin
+        while match := _PATTERN.search(text, at, end):
+            refused = [r for r in refused if r[1] > match.start()]
+            fresh, at = change(match)
+            out += [text[done : match.start()], fresh]
+            done = at
     return "".join([*out, text[done:]]), kinds
 
 

@@ -64,3 +64,38 @@ def test_odd_rows(clashing, docs):
     assert pii.mask(docs([]), KEY).count() == 0
     whole = {(r.doc_id, r.text) for r in pii.mask(masked, KEY, back=True).collect()}
     assert whole == {(r.doc_id, r.text) for r in clashing.collect()}
+
+
+def account(country, body):
+    return f"{country}{98 - pii._bank_remainder(country + '00' + body):02d}{body}"
+
+
+def spaced(plain):
+    return " ".join(plain[i : i + 4] for i in range(0, len(plain), 4))
+
+
+@pytest.mark.parametrize("tail", [" EUR", " BIC", " 12", " 2021", " EUR 12", " 4111 1111 1111 1111", " GB82 WEST 1234 5698 7654 32", " IBAN DE89 3704 0044 0532 0130 00 EUR"])
+@pytest.mark.parametrize("plain", ["ES9121000418450200051332", "BE68539007547034", "AT611904300234573201", account("XX", "12345678901234567890")])
+def test_accounts_before_other_words(plain, tail):
+    alone = pii.pseudonymise(plain, KEY)[0]
+    for value in (plain, spaced(plain)):
+        masked, kinds = pii.pseudonymise(f"to {value}{tail} now", KEY)
+        assert kinds[0] == "bank_account" and len(kinds) == 1 + (len(tail) > 8)
+        shown = masked[3 : 3 + len(value)].replace(" ", "")
+        assert shown != plain and pii._is_account(shown) and (shown == alone or plain[:2] == "XX")
+        assert pii.pseudonymise(masked, KEY, back=True)[0] == f"to {value}{tail} now"
+
+
+def test_values_inside_a_refused_account():
+    for text, kind in (("RE12 ES91 2100 0418 4502 0005 1332 x", "bank_account"), ("NO12 4111 1111 1111 1111 x", "card"), ("AB12 CDEF GHIJ KLMN@site.org", "mail")):
+        masked, kinds = pii.pseudonymise(text, KEY)
+        assert kinds == [kind] and masked[:5] == text[:5] and pii.pseudonymise(masked, KEY, back=True) == (text, [kind])
+
+
+def test_accounts_before_other_words_turn_back():
+    for i in range(3000):
+        country = ("ES", "PL", "XX")[i % 3]
+        value = spaced(account(country, f"{i * 7919 + 10**19:020d}" + ("0000" if country == "PL" else "")))
+        text = f"{value} EUR {i:04d} AB12 {4111111111111111} "
+        masked, kinds = pii.pseudonymise(text, KEY)
+        assert kinds[:1] == ["bank_account"] and pii.pseudonymise(masked, KEY, back=True)[0] == text
