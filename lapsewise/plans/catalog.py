@@ -169,6 +169,12 @@ def netting_largest_differences(t):
 
 @query
 def customers_without_purchase(t):
+    """Customers of all sources whose purchases were all cancelled, or who only cancelled."""
+    return rfm.without_purchase(t.lines(), t.purchases())
+
+
+@query
+def newest_customers_without_purchase(t):
     """Customers of the newest source whose purchases in it were all cancelled, or who only cancelled."""
     lines = materialise(t.lines())
     newest = lines.agg(F.max("source_sheet").alias("newest")).scalar()

@@ -270,6 +270,10 @@ twin("netting_largest_differences",
 block("last_source", "SELECT * FROM model WHERE source_sheet = (SELECT max(source_sheet) FROM model)", "model")
 _replay("recent", "last_source", ("customer_id", "stock_code"), newest_first=False)
 twin("customers_without_purchase", """
+SELECT customer_id, count(*) AS rows, count(DISTINCT invoice) AS invoices, sum(quantity) AS net_quantity FROM model
+WHERE customer_id NOT IN (SELECT customer_id FROM oldest_kept) GROUP BY 1
+""", "model", "oldest_kept")
+twin("newest_customers_without_purchase", """
 SELECT customer_id, count(*) AS rows, count(DISTINCT invoice) AS invoices, sum(quantity) AS net_quantity FROM last_source
 WHERE customer_id NOT IN (SELECT customer_id FROM recent_kept) GROUP BY 1
 """, "last_source", "recent_kept")

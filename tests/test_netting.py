@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from lapsewise.operators import netting
 from lapsewise.operators.scans import prefix
+from lapsewise.plans.catalog import QUERIES
+from lapsewise.plans.handover import Handover
 from replay import random_lines, remaining, remaining_before
 
 # (rows as item, quantity, price, date), what stays of the sales under each policy
@@ -127,3 +129,13 @@ def test_open_lots(lines):
     assert {str(r.snapshot_date): r.remaining_quantity for r in found.collect()} == {
         "2021-02-01": 10.0, "2021-03-01": 10.0, "2021-04-01": 6.0,
     }
+
+
+def test_customers_without_purchase_of_all_sources(spark, lines, monkeypatch):
+    rows = lines([
+        (1, "A", "I1", 10.0, 2.0, "2020-01-01"), (1, "A", "C1", -4.0, 2.0, "2021-01-01"), (2, "A", "C2", -3.0, 2.0, "2020-01-01"),
+        (3, "A", "I3", 5.0, 2.0, "2020-01-01"), (3, "A", "C3", -5.0, 2.0, "2021-01-01"), (4, "A", "I4", 5.0, 2.0, "2021-01-01"),
+    ]).withColumn("source_sheet", F.year("invoice_date").cast("string"))
+    monkeypatch.setattr(Handover, "lines", lambda self, country=False: rows)
+    found = {n: sorted(r.customer_id for r in QUERIES[n](spark, "none").collect()) for n in QUERIES if n.endswith("customers_without_purchase")}
+    assert found == {"customers_without_purchase": [2, 3], "newest_customers_without_purchase": [1, 3]}
