@@ -821,10 +821,9 @@ def scored_decisions(t):
 
 @query
 def batch_scores(t):
-    """Prepared feature rows of several snapshots scored in one call."""
+    """All prepared feature rows, of every snapshot, scored in one call."""
     bundle = models.package_model(t.training())
-    rows = t.training().filter(F.col("snapshot_date") >= F.lit(t.snapshots()[-3]))
-    return bundle.score_rows(rows)
+    return bundle.score_rows(t.training())
 
 
 @query
