@@ -253,6 +253,8 @@ KINDS: dict[str, tuple[str, Callable]] = {
 _PATTERN = re.compile("|".join(f"(?P<{name}>{shape})" for name, (shape, _) in KINDS.items()))
 # Every value holds one of these; only their surroundings are searched for values.
 _HINT = re.compile(r"[0-9@=:]|A(?:KI|SI)A")
+# Blanks next to '=' and ':' belong to the hint, whatever their number.
+_BLANKS = re.compile(r"[ \t]*")
 # Hints nearer to each other than NEAR share a window, which reaches MARGIN beyond them to the next white space.
 NEAR, MARGIN = 32, 48
 
@@ -260,12 +262,17 @@ NEAR, MARGIN = 32, 48
 def _windows(text: str) -> list[tuple[int, int]]:
     found, last = [], -NEAR
     for hint in _HINT.finditer(text):
-        at = hint.start()
-        if at - last < NEAR and found:
-            found[-1][1] = at
+        at = begin = hint.start()
+        end = at
+        if hint[0] in "=:":
+            while begin and text[begin - 1] in " \t":
+                begin -= 1
+            end = _BLANKS.match(text, at + 1).end() - 1
+        if begin - last < NEAR and found:
+            found[-1][1] = end
         else:
-            found.append([at, at])
-        last = at
+            found.append([begin, end])
+        last = end
     out = []
     for first, last in found:
         begin, end = max(0, first - MARGIN), min(len(text), last + 1 + MARGIN)

@@ -99,3 +99,12 @@ def test_accounts_before_other_words_turn_back():
         text = f"{value} EUR {i:04d} AB12 {4111111111111111} "
         masked, kinds = pii.pseudonymise(text, KEY)
         assert kinds[:1] == ["bank_account"] and pii.pseudonymise(masked, KEY, back=True)[0] == text
+
+
+@pytest.mark.parametrize("blanks", [1, 47, 48, 60, 500])
+@pytest.mark.parametrize("shape", ["password{}= hunterhunter", "password ={}hunterhunter", 'api_key{0}:\t{0}"hunterhunter" and more', "x {0}secret{0}={0}hunterhunter{0}y"])
+def test_secrets_in_aligned_lines(shape, blanks):
+    text = "words " * 20 + shape.format(" " * blanks) + " words" * 20
+    masked, kinds = pii.pseudonymise(text, KEY)
+    assert kinds == ["secret"] and "hunterhunter" not in masked
+    assert pii.pseudonymise(masked, KEY, back=True) == (text, kinds)
