@@ -86,6 +86,23 @@ def word_hashes(data: bytes) -> np.ndarray:
     return span_hash(prefix_sums(data), begin, end)
 
 
+def joined_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of many texts in one pass, and each text's first word among them (one more for the end)."""
+    lengths = np.array([len(t) + 1 for t in texts], np.int64)
+    starts = np.concatenate(([0], np.cumsum(lengths)))
+    data = b" ".join(texts)
+    begin, end = word_spans(data)
+    return span_hash(prefix_sums(data), begin, end), np.searchsorted(begin, starts)
+
+
+def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A cheaper hash for every run of n words, none when there are fewer: a filter ahead of an exact step."""
+    if len(words) < n:
+        return np.empty(0, np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(words) * _power("up", len(words)))))
+    return mix((sums[n:] - sums[:-n]) * _power("down", len(words))[: len(words) - n + 1])
+
+
 def sequence_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """A hash for every run of n words; the whole sequence when there are fewer, nothing for no words."""
     if not len(words):
@@ -102,6 +119,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def chosen(key: Column, share: float) -> Column:
+    """True for about a share of all 64-bit hashes, however small the share."""
+    # Of 2**64 hashes the lowest share; the decimal holds every bound exactly.
+    bound = -(1 << 63) + int(min(1.0, max(0.0, share)) * (1 << 64))
+    return key.cast("decimal(20,0)") < F.lit(str(bound)).cast("decimal(20,0)")
+
+
 def learnable(labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, label) of about `most` labelled documents, chosen by a hash of doc_id, small enough to be broadcast.
 
@@ -110,7 +134,7 @@ def learnable(labels: DataFrame, label: str, most: int) -> DataFrame:
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     share = min(1.0, most / max(known.count(), 1))
-    return F.broadcast(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    return F.broadcast(known.filter(chosen(F.xxhash64("doc_id"), share)))
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
