@@ -53,15 +53,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, **options: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     Cuts the lineage: later steps see exactly the rows (and partition numbers) this step saw, also
     after executors were lost. Unlike a row checkpoint the table keeps column pruning, filter
-    pushdown and true size statistics.
+    pushdown and true size statistics. Options go to the Parquet writer.
     """
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid4()}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written_at = path
     for paths in _scratches:
