@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lapsewise.llm import ann, chat, decontam, html, licenses, mixing, neardup, periodic, pii, quality, toxicity
+from lapsewise.llm import alignment, ann, chat, decontam, html, licenses, mixing, neardup, periodic, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,13 +60,17 @@ def op10_main_text(spark, folder):
     return html.main_text(_table(spark, folder, "pages"))
 
 
+def op12_alignment(spark, folder):
+    return alignment.align(_table(spark, folder, "documents"))
+
+
 def op13_periodic_runs(spark, folder):
     return periodic.digests(_table(spark, folder, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_pseudonyms, op3_near_duplicates, op4_mix_sources, op5_neighbours, op6_licenses, op7_toxicity, op8_decontaminate, op9_format_chats,
-    op10_main_text, op13_periodic_runs,
+    op10_main_text, op12_alignment, op13_periodic_runs,
 )}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -137,6 +137,22 @@ def learnable(labels: DataFrame, label: str, most: int) -> DataFrame:
     return F.broadcast(known.filter(chosen(F.xxhash64("doc_id"), share)))
 
 
+def frequent_bound(counts: DataFrame, column: str, most: int) -> int:
+    """The least bound, of some 64 for every doubling, that at most `most` rows of positive counts reach."""
+    n = F.col(column)
+    drop = F.greatest(F.lit(0), F.floor(F.log2(n)).cast("int") - 6)
+    steps = counts.groupBy((F.floor(n / F.pow(F.lit(2.0), drop)) * F.pow(F.lit(2.0), drop)).cast("bigint").alias("step")).count()
+    rows = sorted(steps.collect(), reverse=True)  # at most 64 x 63 rows
+    bound, held = (rows[0].step + 1 if rows else 1), 0
+    for i, r in enumerate(rows):
+        held += r["count"]
+        if held > most:
+            break
+        bound = r.step
+    # A row may lie above its step's start; one above the last step holds them all.
+    return bound if held <= most or bound <= rows[0].step else 1 << 62
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Drop input columns whose names an operator's output takes."""
     taken = {n.lower() for n in names}
