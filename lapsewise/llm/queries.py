@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lapsewise.llm import alignment, ann, chat, decontam, html, licenses, mixing, neardup, periodic, pii, quality, toxicity
+from lapsewise.llm import alignment, ann, chat, decontam, html, licenses, maxent, mixing, neardup, periodic, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_main_text(spark, folder):
     return html.main_text(_table(spark, folder, "pages"))
 
 
+def op11_language_model(spark, folder):
+    return maxent.judge(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op12_alignment(spark, folder):
     return alignment.align(_table(spark, folder, "documents"))
 
@@ -70,7 +74,7 @@ def op13_periodic_runs(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_pseudonyms, op3_near_duplicates, op4_mix_sources, op5_neighbours, op6_licenses, op7_toxicity, op8_decontaminate, op9_format_chats,
-    op10_main_text, op12_alignment, op13_periodic_runs,
+    op10_main_text, op11_language_model, op12_alignment, op13_periodic_runs,
 )}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
