@@ -7,12 +7,17 @@ are what links reach. The steps:
 1. One pass over the texts gives per document the set size, a 128-bit name of the set and a
    SuperMinHash signature cut into bands.
 2. Documents with one set are one class from here on, however many they are.
-3. Classes sharing a band are candidates; their full sets are made from the texts again. Every class
+3. Classes sharing a band are candidates; their full sets are made from the texts again, where the texts
+   lie: bit maps of the wanted ids, of bounded size, say which texts to read. Every class
    meets the centre of each of its buckets, so these pairs stay linear in the classes, whatever a
-   bucket holds.
+   bucket holds. Pairs whose sizes alone rule a link out are left out.
 4. Links become groups by union-find inside partitions and star contraction between them.
 5. Buckets that still hold several groups are compared in full, in blocks of bounded size, by
-   products of presence matrices; a task returns only the links that join groups. Step 4 again.
+   products of presence matrices; a task returns only the links that join groups. Buckets with the same
+   members are compared once. Step 4 again.
+
+Crowded buckets are dealt in slices, and joined slice by slice. The documents that a group loses are dropped by broadcast
+joins of at most LOST_PARTS parts of LOST_ROWS rows each; beyond that by a shuffled join.
 
 Every link is confirmed on full sets. A pair at exactly the threshold shares no band with a chance
 of 5e-6; nothing is capped.
@@ -27,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lapsewise.llm import text as T
 from lapsewise.session import materialise
@@ -38,6 +43,11 @@ SLOTS = BANDS * ROWS
 PERCENT = 75
 # Shingles hashed at a time; rows and set elements of a block; cells of a presence matrix.
 CHUNK, BLOCK, ELEMENTS, CELLS = 300_000, 2048, 2_000_000, 1 << 23
+# Members of a bucket that travel together; nodes a task holds in a forest.
+SLICE, NODES = 1024, 1_000_000
+# Bits of a map of wanted ids, at least MAP_BITS_EACH an id; rows of a broadcast part of lost documents, and parts.
+MAP_BITS, MAP_BITS_EACH = 1 << 27, 16
+LOST_ROWS, LOST_PARTS = 250_000, 8
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -136,21 +146,52 @@ def signatures(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(_sign, f"doc_id {kind}, key bigint, class binary, n bigint, bands array<bigint>")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, items (sorted 64-bit hashes) for a table of (class, doc_id): a text of each class is read again."""
+def _id_key(doc_id: Column) -> Column:
+    return F.xxhash64(doc_id.cast("string"), F.lit("set"))
 
-    def sets(batches):
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                items = shingles(text)
-                if set_name(items) == name:  # rows that repeat a doc_id may hold other texts
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name], pa.binary()), pa.array([items.tobytes()], pa.binary())], names=["class", "items"]
-                    )
 
-    texts = docs.select(F.col("doc_id").alias("_id"), "text")
-    found = texts.join(wanted, texts["_id"].eqNullSafe(wanted["doc_id"])).select("class", "text")
-    return found.mapInArrow(sets, "class binary, items binary").dropDuplicates(["class"])
+def _id_map(wanted: DataFrame, bits: int) -> np.ndarray:
+    """A bit map of hashed ids. Tasks hand on its words that are not empty, so at most `bits` bits reach the driver."""
+    at = F.shiftrightunsigned(_id_key(F.col("doc_id")), 64 - bits.bit_length() + 1)
+    words = wanted.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(max(1, bits // 64), np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class, items (sorted 64-bit hashes) for a table of (class, doc_id): a text of each class is read again.
+
+    Texts are not moved: a bit map of the wanted ids goes to them, and sets that it lets through by chance are dropped
+    by class. With more ids than a map may hold, several maps and passes take a part of the ids each.
+    """
+    many = wanted.count()
+    parts = max(1, -(-many * MAP_BITS_EACH // MAP_BITS))
+    bits = min(MAP_BITS, 1 << max(10, (many * MAP_BITS_EACH).bit_length()))
+    texts = docs.select(_id_key(F.col("doc_id")).alias("k"), F.col("text").cast("string").alias("text"))
+    found = None
+    for part in range(parts):
+        mine = wanted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == part)
+        sent = docs.sparkSession.sparkContext.broadcast(_id_map(mine, bits))
+        shift = np.uint64(64 - bits.bit_length() + 1)
+
+        def sets(batches, sent=sent, shift=shift):
+            words = sent.value
+            for batch in batches:
+                at = batch.column(0).to_numpy().view(np.uint64) >> shift
+                there = words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)).astype(np.int64) & 1
+                for i in np.flatnonzero(there).tolist():
+                    items = shingles(batch.column(1)[i].as_py())
+                    if len(items):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([set_name(items)], pa.binary()), pa.array([items.tobytes()], pa.binary())], names=["class", "items"]
+                        )
+
+        some = texts.mapInArrow(sets, "class binary, items binary")
+        found = some if found is None else found.union(some)
+    # One row per class: the copies' ids are not wanted, so few classes come twice.
+    return found.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -171,7 +212,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _forest(batches):
-    """Union-find over the edges of a partition: one edge from every node to the smallest it reaches."""
+    """Union-find over the edges of a partition: one edge from every node to the smallest it reaches, NODES at a time."""
     parent: dict[bytes, bytes] = {}
 
     def root(x):
@@ -182,16 +223,22 @@ def _forest(batches):
             parent[x], x = top, parent[x]
         return top
 
+    def stars():
+        edges = [(x, root(x)) for x in parent]
+        edges = [e for e in edges if e[0] != e[1]]
+        for k in range(0, len(edges), 10_000):
+            part = edges[k : k + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in part], pa.binary()) for i in (0, 1)], names=["u", "v"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    edges = [(x, root(x)) for x in parent]
-    edges = [e for e in edges if e[0] != e[1]]
-    for k in range(0, len(edges), 10_000):
-        part = edges[k : k + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in part], pa.binary()) for i in (0, 1)], names=["u", "v"])
+        if len(parent) > NODES:  # the edges so far say the same as what they are made of
+            yield from stars()
+            parent.clear()
+    yield from stars()
 
 
 def groups(links: DataFrame) -> DataFrame:
@@ -222,20 +269,58 @@ def _with_root(df: DataFrame, found: DataFrame) -> DataFrame:
     return df.join(found, "class", "left").withColumn("root", F.coalesce("root", "class"))
 
 
+def _per_slice(bands: DataFrame) -> DataFrame:
+    """A table of one row per band, once for every slice of the band."""
+    return bands.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """band, slice, class, n of the bands that several classes share; crowded bands are cut into slices."""
+    banded = classes.select(F.explode("bands").alias("band"), "class", "n")
+    # Slices are counted before anything is joined, with classes dealt to a fixed number of them first.
+    fine = banded.withColumn("fine", F.pmod(F.xxhash64("class"), F.lit(SLICE)).cast("int"))
+    sizes = fine.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    slices = F.least(F.lit(SLICE), F.ceil(F.col("members") / F.lit(SLICE))).cast("int")
+    sizes = sizes.select("band", slices.alias("slices"))
+    crowded = sizes.filter("slices > 1")
+    if crowded.isEmpty():
+        return banded.join(sizes, "band").select("band", F.lit(0).alias("slice"), "class", "n")
+    # At most 32 x classes / SLICE bands are crowded; those beyond the bound of a broadcast are left to Spark's measured choice.
+    marked = fine.join(crowded, "band", "left").withColumn("slice", F.coalesce(F.pmod("fine", "slices"), F.lit(0)))
+    return marked.drop("slices", "fine").join(_per_slice(sizes), ["band", "slice"]).select("band", "slice", "class", "n")
+
+
+def _spread(bands: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Rows per band, repeated for the slices that the band has."""
+    slices = buckets.groupBy("band").agg((F.max("slice") + 1).alias("slices"))
+    return _per_slice(bands.join(slices, "band")).drop("slices")
+
+
+def _sizes_fit(n: Column, m: Column) -> Column:
+    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+
+
 def _centre_pairs(buckets: DataFrame) -> DataFrame:
     """Every member of a bucket with the bucket's centre."""
-    centres = buckets.groupBy("band").agg(F.min("class").alias("centre"))
-    met = buckets.join(centres, "band").filter("class != centre")
-    return met.select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
+    centres = buckets.groupBy("band").agg(F.min("class").alias("centre"), F.min_by("n", "class").alias("m"))
+    met = buckets.join(_spread(centres, buckets), ["band", "slice"]).filter("class != centre")
+    return met.filter(_sizes_fit(F.col("n"), F.col("m"))).select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
 
 
 def _without_centres(buckets: DataFrame) -> DataFrame:
-    """Members of buckets that still hold several groups, without the centres, which have met every member."""
+    """Members of buckets that still hold several groups, without the centres, which have met every member.
+
+    Of buckets with the same members one is kept.
+    """
     ends = [F.min("root").alias("low"), F.max("root").alias("high")]
     left = buckets.groupBy("band").agg(F.min("class").alias("centre"), *ends).filter("low != high")
-    rest = buckets.join(left.select("band", "centre"), "band").filter("class != centre").select("band", "class", "root")
-    several = rest.groupBy("band").agg(*ends).filter("low != high")
-    return rest.join(several.select("band"), "band")
+    rest = buckets.join(_spread(left.select("band", "centre"), buckets), ["band", "slice"]).filter("class != centre").drop("centre")
+    named = F.xxhash64("class")
+    several = rest.groupBy("band").agg(
+        *ends, F.count(F.lit(1)).alias("members"), F.sum(named.cast("decimal(20,0)")).alias("total"), F.bit_xor(named).alias("all"),
+    ).filter("low != high")
+    several = several.groupBy("members", "total", "all").agg(F.min("band").alias("band")).select("band")
+    return rest.join(_spread(several, buckets), ["band", "slice"])
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -302,16 +387,14 @@ def _block_links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
 def classes_of(signed: DataFrame) -> DataFrame:
     """One row per distinct set: class, rep (smallest doc_id), n, bands."""
     full = signed.filter("n > 0")
-    return full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
+    return full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
 
 
 def find_groups(signed: DataFrame, docs: DataFrame) -> DataFrame:
     """(class, root) of all linked classes, from the written signatures."""
     classes = materialise(classes_of(signed))
-    banded = classes.select(F.explode("bands").alias("band"), "class")
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("band")
-    buckets = materialise(banded.join(shared, "band"))
-    wanted = classes.join(buckets, "class", "left_semi").select("class", F.col("rep").alias("doc_id"))
+    buckets = materialise(_buckets(classes))
+    wanted = materialise(classes.join(buckets, "class", "left_semi").select("class", F.col("rep").alias("doc_id")))
     sets = materialise(_full_sets(docs, wanted))
     links = materialise(_confirmed(_centre_pairs(buckets), sets))
     found = groups(links)
@@ -336,21 +419,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def _lacking(docs: DataFrame, rows: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The documents without (or, `left_semi`, only those with) the written rows of (_id, _key).
+
+    The documents are not moved as long as the rows fit LOST_PARTS broadcasts.
+    """
+    def same(named):
+        return docs["doc_id"].eqNullSafe(named["_id"]) & (F.xxhash64(docs["text"]) == named["_key"])
+
+    parts = max(1, -(-rows.count() // LOST_ROWS))
+    if parts > LOST_PARTS:
+        return docs.join(rows, same(rows), how)
+    out = None
+    for part in range(parts):
+        few = F.broadcast(rows.filter(F.pmod("_key", F.lit(parts)) == part))
+        if how == "left_semi":
+            some = docs.join(few, same(few), how)
+            out = some if out is None else out.union(some)
+        else:
+            out = (docs if out is None else out).join(few, same(few), how)
+    return out
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of every group, the one with the smallest doc_id, and all documents without words."""
     signed = materialise(signatures(docs))
     rooted = _with_root(signed.filter("n > 0").select("class").distinct(), find_groups(signed, docs))
-    rows = materialise(signed.filter("n > 0").join(rooted, "class").select("root", "doc_id", "key"))
-    named = F.struct("doc_id", "key")
-    kept = rows.groupBy("root").agg(F.min(named).alias("best"))
-    lost = materialise(
-        rows.join(kept, "root").filter(named != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    )
-    same = lambda df, named: df["doc_id"].eqNullSafe(named["_id"]) & (F.xxhash64(df["text"]) == named["_key"])
-    rest = docs.join(lost, same(docs, lost), "left_anti")
     # Rows that equal each other in id and text are one document that stands there several times.
-    twice = materialise(rows.groupBy("doc_id", "key").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
+    alike = signed.filter("n > 0").groupBy("doc_id", "key").agg(F.any_value("class").alias("class"), F.count(F.lit(1)).alias("times"))
+    rows = materialise(alike.join(rooted, "class").select("root", "doc_id", "key", "times"))
+    kept = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("best")).select("best.*")
+    named = [F.col("doc_id").alias("_id"), F.col("key").alias("_key")]
+    # A row is the best of its group or of none, so the group needs no join.
+    best = kept.select(*named)
+    lost = rows.join(best, rows["doc_id"].eqNullSafe(best["_id"]) & (rows["key"] == best["_key"]), "left_anti").select(*named)
+    rest = _lacking(docs, materialise(lost))
+    twice = materialise(rows.filter("times > 1").select(*named))
     if twice.isEmpty():
         return rest
-    once = rest.join(twice, same(rest, twice), "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(twice, same(rest, twice), "left_anti").unionByName(once)
+    once = _lacking(rest, twice, "left_semi").dropDuplicates(["doc_id", "text"])
+    return _lacking(rest, twice).unionByName(once)

@@ -99,6 +99,19 @@ def test_links_beside_the_centres(docs, monkeypatch):
     assert result(neardup.near_duplicates(docs(rows))) == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_slices_maps_and_parts_change_nothing(docs, monkeypatch, seed):
+    """Buckets in slices of a few classes, several maps of wanted ids, forests cut short, lost rows in several parts or by a shuffle."""
+    rows = corpus(seed)
+    plain = sorted(r.doc_id for r in neardup.deduplicate(docs(rows)).collect())
+    for name, value in (("SLICE", 2), ("NODES", 3), ("MAP_BITS", 1024), ("LOST_ROWS", 5), ("LOST_PARTS", 1000)):
+        monkeypatch.setattr(neardup, name, value)
+    assert result(neardup.near_duplicates(docs(rows))) == brute(rows)
+    assert sorted(r.doc_id for r in neardup.deduplicate(docs(rows)).collect()) == plain
+    monkeypatch.setattr(neardup, "LOST_PARTS", 0)
+    assert sorted(r.doc_id for r in neardup.deduplicate(docs(rows)).collect()) == plain
+
+
 def test_signature_estimates_similarity():
     r = np.random.default_rng(0)
     for common in (10, 300, 3000):
