@@ -182,7 +182,8 @@ def recency_by_fold(folds: DataFrame, thresholds: Sequence[int]) -> DataFrame:
     Rank metrics depend on the fold only, so they are computed once per fold.
     """
     rows = folds.filter("role = 'validation'")
-    per_fold = by_threshold(rows, "recency", thresholds, ["fold", "validation_date"])
+    keys = [c for c in ("fold", "validation_date") if c in folds.columns]
+    per_fold = by_threshold(rows, "recency", thresholds, keys)
     ranks = ranking(rows, "recency", ["fold"]).join(lift_at(rows, "recency", 0.20, ["fold"]), "fold")
     return per_fold.join(ranks, "fold")
 
