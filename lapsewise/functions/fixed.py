@@ -53,8 +53,8 @@ PROBABILITY_GRID = (0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70,
 TREE_CANDIDATES = {
     "RF — flexible": ("forest", {"numTrees": 150, "minInstancesPerNode": 5}),
     "RF — regularized": ("forest", {"numTrees": 150, "minInstancesPerNode": 15}),
-    "HGB — regularized": ("boosting", {"maxIter": 120, "stepSize": 0.07, "maxDepth": 5, "minInstancesPerNode": 50}),
-    "HGB — shallow": ("boosting", {"maxIter": 120, "stepSize": 0.07, "maxDepth": 4, "minInstancesPerNode": 50}),
+    "HGB — regularized": ("boosting", {"maxIter": 120, "stepSize": 0.07, "maxLeaves": 31, "minInstancesPerNode": 50, "l2": 2.0}),
+    "HGB — shallow": ("boosting", {"maxIter": 120, "stepSize": 0.07, "maxLeaves": 15, "minInstancesPerNode": 50, "l2": 5.0}),
 }
 RISK_QUANTILES = {"Medium": 0.50, "High": 0.80, "Very High": 0.90}
 RISK_BANDS = ("Low", "Medium", "High", "Very High")

@@ -798,6 +798,12 @@ def tree_validation(t):
     return models.validate_trees(_model_folds(t), models.feature_contract(data), models.tree_candidates()).summary
 
 
+@query
+def tree_validation_folds(t):
+    data = t.training()
+    return models.validate_trees(_model_folds(t), models.feature_contract(data), models.tree_candidates()).per_fold
+
+
 @query
 def permutation_importance(t):
     data = t.training()
