@@ -111,7 +111,7 @@ def net_purchases(lines: DataFrame, policy="fifo", order: Sequence[str] = ORDER)
     )
 
 
-def lot_lifetimes(lines: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+def lot_lifetimes(lines: DataFrame, order: Sequence[str] = ORDER, keep: Sequence[str] = ()) -> DataFrame:
     """Every sold unit with the day it was sold and the day it was cancelled, oldest units first.
 
     One row per stretch of units of one sale with one fate: `open_day`, `close_day`
@@ -121,16 +121,17 @@ def lot_lifetimes(lines: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
 
     Sales cut the line of unit positions where they start; cancellations cut it where the
     units they consume start. One ordered scan over the cuts yields the stretches, so the
-    output has at most one row per sale plus one per cancellation.
+    output has at most one row per sale plus one per cancellation. `keep` names further columns
+    of the sales that their stretches carry.
     """
 
     def run(scan: Scan) -> DataFrame:
         scan = _used(scan).add(_before=lag("_used"), _all_used=total("max", "_used"), _end=total("max", "_sold"))
         day = F.to_date("invoice_date")
-        sale = F.struct("invoice", day.alias("open_day"), F.col("price"))
+        sale = F.struct("invoice", day.alias("open_day"), F.col("price"), *keep)
         no_sale = F.lit(None).cast(T.StructType([
             T.StructField("invoice", T.StringType()), T.StructField("open_day", T.DateType()),
-            T.StructField("price", T.DoubleType()),
+            T.StructField("price", T.DoubleType()), *[T.StructField(c, lines.schema[c].dataType) for c in keep],
         ]))
         closing = F.struct(day.alias("close_day"))
         never = F.struct(F.lit(None).cast("date").alias("close_day"))

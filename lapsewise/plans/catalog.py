@@ -19,7 +19,7 @@ from lapsewise.operators import (
 )
 from lapsewise.plans.handover import Handover
 from lapsewise.session import materialise, shared_folder
-from lapsewise.sources import decision_store
+from lapsewise.sources import decision_store, lot_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -419,6 +419,24 @@ def asof_open_lots(t):
     )
 
 
+def _lot_store(t: Handover) -> lot_store.LotStore:
+    return lot_store.LotStore(t.spark, f"{shared_folder(t.spark)}/lots/{uuid4()}")
+
+
+@query
+def incremental_lots(t):
+    """The lines arrive in three lots, every 97th only with the last: the state equals that of the whole."""
+    lines = materialise(t.lines().select(*lot_store.COLUMNS))
+    first, last = lines.agg(F.min("invoice_date"), F.max("invoice_date")).first()
+    at = [first + (last - first) * share for share in (0.6, 0.9)]
+    late = F.pmod(F.xxhash64("row_seq"), F.lit(97)) == 0
+    store = _lot_store(t)
+    store.append(lines.filter((F.col("invoice_date") < at[0]) & ~late))
+    store.append(lines.filter((F.col("invoice_date") >= at[0]) & (F.col("invoice_date") < at[1]) & ~late))
+    store.append(lines.filter((F.col("invoice_date") >= at[1]) | late))
+    return store.lifetimes().groupBy("customer_id", "stock_code", "invoice", "open_day", "price", "close_day").agg(F.sum("units").alias("units"))
+
+
 def _from_scratch(t: Handover):
     """Sale lifetimes, purchase days and snapshot dates, written by the query itself."""
     lots = materialise(netting.lot_lifetimes(t.lines()))

@@ -606,6 +606,21 @@ block("open_lots", """
     ON l.customer_id = s.customer_id AND l.stock_code = s.stock_code
   WHERE l.quantity > 0 AND l.invoice_date < s.snapshot_date AND l.sold > s.used
 """, "moves", "snaps")
+twin("incremental_lots", """
+SELECT customer_id, stock_code, invoice, day::VARCHAR AS open_day, price, close_day::VARCHAR AS close_day, sum(units) AS units
+FROM (
+  SELECT l.customer_id, l.stock_code, l.invoice, l.invoice_date::DATE AS day, l.price, c.invoice_date::DATE AS close_day,
+    least(l.sold, c.used) - greatest(l.sold - l.quantity, c.before) AS units
+  FROM moves l JOIN (SELECT *, coalesce(lag(used) OVER (PARTITION BY customer_id, stock_code
+      ORDER BY invoice_date, invoice, line, part, supplier, quantity, ext), 0) AS before FROM moves) c
+    ON l.customer_id = c.customer_id AND l.stock_code = c.stock_code AND c.used > c.before
+  WHERE l.quantity > 0
+  UNION ALL
+  SELECT customer_id, stock_code, invoice, invoice_date::DATE, price, NULL,
+    sold - greatest(sold - quantity, max(used) OVER (PARTITION BY customer_id, stock_code))
+  FROM moves QUALIFY quantity > 0
+) WHERE units > 0 GROUP BY ALL
+""", "moves")
 # From the replay: the open list after the last line before the snapshot.
 block("replayed", """
   SELECT r.customer_id, r.stock_code, s.snapshot_date, unnest(open) AS units, unnest(sales) AS place
