@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lapsewise.operators.cleaning import cancelled_units, sold_units
+from lapsewise.operators.folds import Fold, ordered_fold
 from lapsewise.operators.scans import Scan, lag, lead, ordered_scan, prefix, suffix, total
 
 KEYS = ("customer_id", "stock_code")
@@ -72,8 +73,8 @@ def net_newest_at_price(lines: DataFrame, order: Sequence[str] = ORDER) -> DataF
 def net_with(function: Callable[[pd.DataFrame], pd.Series], lines: DataFrame) -> DataFrame:
     """A caller's own policy: `function` gets one whole (customer, item) group and returns what remains per row.
 
-    A group is one pandas frame in one task, whatever its size; a policy that can be written as
-    ordered scans should go through `net_by_scan`, which cuts large groups into blocks.
+    A group is one pandas frame in one task, whatever its size. For groups of any size a policy is written
+    as ordered scans (`net_by_scan`) or as a Python fold (`net_by_fold`).
     """
     schema = T.StructType([*lines.schema.fields, T.StructField("remaining_quantity", T.DoubleType())])
 
@@ -95,17 +96,44 @@ def net_by_scan(
     )
 
 
+def net_by_fold(fold: Fold, lines: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
+    """A caller's own policy as a Python fold over the lines in order; its last pass gives what remains per row."""
+    found = ordered_fold(lines, keys, order, fold, "remaining_quantity", "double")
+    return found.withColumn("remaining_quantity", F.coalesce("remaining_quantity", F.lit(0.0)))
+
+
+def _count_used(state, block: pd.DataFrame, earlier):
+    """Running stock, its lowest point, and units sold: what a group's cancellations consume in all."""
+    run, low, sold = state or (0.0, 0.0, 0.0)
+    runs = run + block["quantity"].cumsum()
+    return (float(runs.iloc[-1]), min(low, float(runs.min())), sold + float(block["quantity"].clip(lower=0).sum())), None
+
+
+def _keep_unused(state, block: pd.DataFrame, earlier):
+    """Oldest units go first: a sale keeps what lies beyond the units used."""
+    run, low, sold = earlier
+    used = sold - (run - min(0.0, low))
+    units = block["quantity"].clip(lower=0)
+    upto = (state or 0.0) + units.cumsum()
+    return float(upto.iloc[-1]), units.combine(upto - used, min).clip(lower=0)
+
+
+# First in, first out, as a caller would write it.
+OLDEST_FIRST = Fold((_count_used, _keep_unused))
+
 POLICIES = {"fifo": net_oldest_first, "price_compatible": net_newest_at_price}
 
 
 def net_purchases(lines: DataFrame, policy="fifo", order: Sequence[str] = ORDER) -> DataFrame:
     """Sales that survive netting, with `remaining_quantity` and `net_revenue`."""
-    if callable(policy):
+    if isinstance(policy, Fold):
+        netted = net_by_fold(policy, lines, order=order)
+    elif callable(policy):
         netted = net_with(policy, lines)
     elif policy in POLICIES:
         netted = POLICIES[policy](lines, order)
     else:
-        raise ValueError(f"policy must be a function or one of {sorted(POLICIES)}")
+        raise ValueError(f"policy must be a fold, a function or one of {sorted(POLICIES)}")
     return netted.filter("remaining_quantity > 0").withColumn(
         "net_revenue", F.col("remaining_quantity") * F.col("price")
     )

@@ -161,10 +161,10 @@ class Scan:
         columns = tuple(_col(c) for c in order)
         if not self.blocked:
             return replace(self, df=df, order=columns)
-        return replace(self, df=_cut(df.drop(BLOCK), self.keys, columns), order=columns)
+        return replace(self, df=cut_blocks(df.drop(BLOCK), self.keys, columns), order=columns)
 
 
-def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def cut_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Number contiguous blocks of at most about GROUP_ROWS rows."""
     spark = df.sparkSession
     # Written first: counting, sampling the range bounds and the shuffle then read a plain table.
@@ -208,12 +208,12 @@ def ordered_scan(
     if hot is None:
         return run(plain)
     if not keys:
-        return run(Scan(_cut(df, keys, columns), keys, columns, blocked=True)).drop(BLOCK)
+        return run(Scan(cut_blocks(df, keys, columns), keys, columns, blocked=True)).drop(BLOCK)
     # At most rows / GROUP_ROWS keys are hot; Spark measures the table and chooses the join.
     same = F.lit(True)
     for key in keys:
         same &= df[key].eqNullSafe(hot[key])
     heavy, rest = df.join(hot, same, "left_semi"), df.join(hot, same, "left_anti")
     return run(replace(plain, df=rest)).unionByName(
-        run(Scan(_cut(heavy, keys, columns), keys, columns, blocked=True)).drop(BLOCK)
+        run(Scan(cut_blocks(heavy, keys, columns), keys, columns, blocked=True)).drop(BLOCK)
     )

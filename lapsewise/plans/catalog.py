@@ -157,6 +157,13 @@ def netting_effect(t):
     return first.unionByName(second)
 
 
+@query
+def folded_purchases(t):
+    """First in, first out as a caller's Python fold."""
+    kept = netting.net_purchases(t.lines(), netting.OLDEST_FIRST)
+    return _line_columns(kept).select(*LINE_ID, "quantity", "price", "remaining_quantity", "net_revenue")
+
+
 @query
 def netting_policy_comparison(t):
     return rfm.policy_summary(rfm.compare_policies(t.rfm(), t.rfm("price_compatible")))

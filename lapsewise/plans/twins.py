@@ -227,7 +227,7 @@ def _replay(name: str, source: str, keys: tuple[str, ...], newest_first: bool) -
 
 _replay("oldest", "model", ("customer_id", "stock_code"), newest_first=False)
 _replay("newest", "model", ("customer_id", "stock_code", "price"), newest_first=True)
-for _name, _source in (("fifo_purchases", "oldest_kept"), ("price_matched_purchases", "newest_kept")):
+for _name, _source in (("fifo_purchases", "oldest_kept"), ("folded_purchases", "oldest_kept"), ("price_matched_purchases", "newest_kept")):
     twin(_name, f"""
 SELECT customer_id, stock_code, invoice, line::BIGINT AS line, part, supplier, quantity, price,
   remaining_quantity, net_revenue FROM {_source}

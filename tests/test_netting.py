@@ -1,3 +1,6 @@
+import random
+from contextlib import nullcontext
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +142,35 @@ def test_customers_without_purchase_of_all_sources(spark, lines, monkeypatch):
     monkeypatch.setattr(Handover, "lines", lambda self, country=False: rows)
     found = {n: sorted(r.customer_id for r in QUERIES[n](spark, "none").collect()) for n in QUERIES if n.endswith("customers_without_purchase")}
     assert found == {"customers_without_purchase": [2, 3], "newest_customers_without_purchase": [1, 3]}
+
+
+@pytest.mark.parametrize("block", [None, 25])
+def test_fold_equals_scan(lines, blocks, block):
+    """First in, first out as a Python fold, whole groups and hot ones cut into blocks."""
+    r = random.Random(11)
+    made = []
+    for i in range(150):
+        quantity = float(r.choice((1, 2, 3, 6, -1, -2, -5)))
+        customer = 1 if r.random() < 0.7 else r.randrange(2, 7)  # one group of most rows
+        made.append((customer, "i" if customer == 1 else f"i{r.randrange(2)}", f"{i}", quantity, 1.0, f"2020-01-{1 + r.randrange(28):02d}"))
+    table = lines(made)
+    want = {x.row_seq: x.remaining_quantity for x in netting.net_oldest_first(table).collect()}
+    with blocks(block) if block else nullcontext():
+        got = netting.net_by_fold(netting.OLDEST_FIRST, table).collect()
+    assert len(got) == 150 and {x.row_seq: x.remaining_quantity for x in got} == want
+
+
+def test_fold_state_and_passes(lines, blocks):
+    """A state of the caller's own making, carried over blocks, and given whole to the second pass."""
+    def gather(state, block, earlier):
+        return (state or []) + block["row_seq"].tolist(), None
+
+    def place(state, block, earlier):
+        return (state or 0) + len(block), block["row_seq"].map(lambda x: float(earlier.index(x))) * 100 + (state or 0)
+
+    table = lines([(None if i % 5 == 0 else 1, "a", str(i), 1.0, 1.0, f"2020-01-{28 - i:02d}") for i in range(28)])
+    with blocks(9):
+        got = netting.net_by_fold(netting.Fold((gather, place)), table).collect()
+    for customer in (None, 1):
+        rows = sorted((x for x in got if x.customer_id == customer), key=lambda x: x.invoice_date)
+        assert [int(x.remaining_quantity) // 100 for x in rows] == list(range(len(rows)))
