@@ -368,7 +368,7 @@ def _block_links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     rows = buckets.join(sets, "class")
     sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("items") / 8).alias("elements"))
     blocks = F.ceil(F.greatest(F.col("m") / F.lit(BLOCK), F.col("elements") / F.lit(ELEMENTS))).cast("int")
-    rows = rows.join(sizes.select("band", blocks.alias("blocks")), "band")
+    rows = rows.join(_spread(sizes.select("band", blocks.alias("blocks")), buckets), ["band", "slice"])
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
