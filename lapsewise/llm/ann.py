@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lapsewise.llm.text import chosen
 from lapsewise.session import materialise
 
 K = 20
@@ -71,9 +72,9 @@ def fit(vectors: DataFrame, total: int, k: int = K, seed: int = 5) -> Index:
     """Fit on at most about SAMPLE rows, chosen by a hash of vec_id."""
     lists = int(min(4096, max(32, total**0.5 / 8), max(total // 4, 1)))
     share = min(1.0, 1.2 * SAMPLE / total)
-    chosen = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = chosen.orderBy(F.xxhash64("vec_id"), "embedding").limit(SAMPLE).collect()
-    rows = rows or vectors.limit(SAMPLE).collect()
+    some = vectors.filter(chosen(F.xxhash64("vec_id"), share))
+    rows = some.orderBy(F.xxhash64("vec_id"), "embedding").limit(SAMPLE).collect()
+    rows = rows or vectors.orderBy(F.xxhash64("vec_id"), "embedding").limit(SAMPLE).collect()
     # Copies of one vector count once, or they would hide how many lists the others need.
     x = np.unique(np.array([r.embedding for r in rows], np.float64), axis=0)
     random = np.random.default_rng(seed)

@@ -7,9 +7,11 @@ in a document is stretched to both sides as far as document and item agree; runs
 more are exactly the places where windows occur. A document is scanned once per automaton, and
 word hits map back to character offsets of the original text.
 
-Items stream to the driver and go to the tasks in parts of at most PART_BYTES of text, each a
-broadcast of its own. A task holds one automaton at a time, so memory is bounded whatever the size
-of the benchmark; up to a part, the text is scanned exactly once.
+Spark normalises the items and deals them into parts of some PART_BYTES of text (more only where one item is longer).
+The parts are taken one after the other: a part is what the driver, a broadcast and a task hold. Up to one part, the
+text is scanned exactly once; with more, each pass leaves the places of the documents it hit, which are
+merged per document at the end. Blocks that agree along the same shift between item and document are
+stretched once, so texts and items that repeat a word over and over stay cheap.
 
 Defined results: null texts have no words; an item without words matches nothing; equal items are
 separate items, equal item_ids are one; items without an id mark words but are not listed; a
@@ -22,10 +24,12 @@ import re
 from uuid import uuid4
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lapsewise.llm.text import alnum_words, slices, with_fields, without
+from lapsewise.llm.text import alnum_words, with_fields, without
+from lapsewise.session import materialise
 
 WINDOW, BLOCK = 13, 7
 PART_BYTES = 2 << 20
@@ -35,13 +39,29 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _automata: dict[str, tuple] = {}
 
 
-def parts_of(benchmark: DataFrame) -> list:
-    """Keyed broadcasts of lists of (item_id, words as one string)."""
-    context = benchmark.sparkSession.sparkContext
-    rows = benchmark.select("item_id", "text").toLocalIterator()
-    items = ((r.item_id, b" ".join(alnum_words(r.text)).decode()) for r in rows)
-    parts = slices((i for i in items if i[1]), PART_BYTES, lambda i: len(i[1]) + 64)
-    return [(str(uuid4()), context.broadcast(part)) for part in parts]
+def normalised(benchmark: DataFrame) -> DataFrame:
+    """id (as text), words (with single spaces) of the items that have words."""
+
+    def run(batches):
+        for batch in batches:
+            words = [b" ".join(alnum_words(t)).decode() for t in batch.column(1).to_pylist()]
+            kept = pa.array([bool(w) for w in words])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], names=["id", "words"]).filter(kept)
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
+    return items.mapInArrow(run, "id string, words string")
+
+
+def parts_of(items: DataFrame) -> int:
+    """How many parts the written items make."""
+    size = items.agg(F.sum(F.length(F.encode("words", "utf-8")) + 64)).first()[0] or 0
+    return max(1, -(-size // PART_BYTES))
+
+
+def part_of(items: DataFrame, part: int, parts: int) -> list[tuple]:
+    """(id, words) of one part; where each goes is settled by a hash of the item."""
+    mine = items.filter(F.pmod(F.xxhash64("id", "words"), F.lit(parts)) == part) if parts > 1 else items
+    return [(r.id, r.words) for r in mine.distinct().collect()]
 
 
 def automaton(items: list[tuple]) -> tuple:
@@ -59,26 +79,46 @@ def automaton(items: list[tuple]) -> tuple:
     return found, words, [i for i, _ in items]
 
 
+def _agree(a: list[str], i: int, b: list[str], j: int, most: int) -> int:
+    """How many words from a[i] and b[j] on are equal, up to `most`; by slices that grow while they agree."""
+    done, step = 0, 8
+    while done < most:
+        step = min(step, most - done)
+        if a[i + done : i + done + step] == b[j + done : j + done + step]:
+            done += step
+            step *= 2
+        elif step == 1:
+            break
+        else:
+            step = (step + 1) // 2
+            most = min(most, done + 2 * step)
+    return done
+
+
 def scan(text: str, found, items: list[list[str]]) -> tuple[list[tuple[int, int]], set[int]]:
     """Hit word ranges (end excluded) and the items, for a text of words with single spaces around them."""
-    ranges, hit, words = set(), set(), None
+    ranges, hit, words, reached = set(), set(), None, {}
     for end, (length, where) in found.iter(text):
-        words = words if words is not None else text.split()
-        at = text.count(" ", 0, end - length + 1)
+        if words is None:
+            words = text.split()
+            turned = words[::-1]
+            gaps = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
+        at = int(np.searchsorted(gaps, end - length + 1))
         for i, a in where:
             item = items[i]
             if len(item) < WINDOW:
                 ranges.add((at, at + len(item)))
                 hit.add(i)
                 continue
-            left = right = 0
-            while left < min(a, at) and item[a - left - 1] == words[at - left - 1]:
-                left += 1
-            b, e = a + BLOCK, at + BLOCK
-            while b + right < len(item) and e + right < len(words) and item[b + right] == words[e + right]:
-                right += 1
+            # The part of this shift that an earlier block was stretched over is known.
+            shift = (i, at - a)
+            if reached.get(shift, -1) > at:
+                continue
+            right = _agree(item, a + BLOCK, words, at + BLOCK, min(len(item) - a, len(words) - at) - BLOCK)
+            left = _agree(item[a::-1], 1, turned, len(words) - at, min(a, at)) if a and at else 0
+            reached[shift] = at + BLOCK + right
             if left + BLOCK + right >= WINDOW:
-                ranges.add((at - left, e + right))
+                ranges.add((at - left, at + BLOCK + right))
                 hit.add(i)
     return sorted(ranges), hit
 
@@ -108,11 +148,11 @@ def char_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]
     return spans
 
 
-def _held(key: str, part) -> tuple:
-    """The automaton of a broadcast; a worker keeps the last one it built."""
+def _held(key: str, items: list[tuple]) -> tuple:
+    """The automaton of a part; a worker keeps the last one it built."""
     if key not in _automata:
         _automata.clear()
-        _automata[key] = automaton(part.value)
+        _automata[key] = automaton(items)
     return _automata[key]
 
 
@@ -123,37 +163,76 @@ FOUND = {
 }
 
 
+def _scanned(text: str | None, found, items, ids) -> tuple[int, list[tuple[int, int]], list[str]]:
+    """Number of words, hit ranges, and ids of the items of one part in a text."""
+    words = alnum_words(text)
+    if not words or not items:  # an automaton without patterns cannot be asked
+        return len(words), [], []
+    ranges, hit = scan(f" {b' '.join(words).decode()} ", found, items)
+    return len(words), merged(ranges), sorted({ids[i] for i in hit if ids[i] is not None})
+
+
+def _arrays(texts: list, rows: list[tuple]) -> list[pa.Array]:
+    """The columns of FOUND for (words, ranges, ids) of each text."""
+    spans = [[{"begin": b, "end": e} for b, e in char_spans(t, r)] if r else [] for t, (_, r, _) in zip(texts, rows)]
+    made = ([n for n, _, _ in rows], [sum(e - b for b, e in r) for _, r, _ in rows], [i for _, _, i in rows], spans)
+    return [pa.array(v, kind) for v, (kind, _) in zip(made, FOUND.values())]
+
+
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents with n_words, n_hit (words hit), item_ids and hits (character spans, end excluded)."""
-    parts = parts_of(benchmark)
     docs = without(docs, FOUND)
-    at = docs.columns.index("text")
-    fields = docs.columns
+    items = materialise(normalised(benchmark))
+    parts = parts_of(items)
+    if parts > 1:
+        return _find_in_parts(docs, items, parts)
+    at, fields = docs.columns.index("text"), docs.columns
+    key, sent = str(uuid4()), docs.sparkSession.sparkContext.broadcast(part_of(items, 0, 1))
 
     def run(batches):
+        built = _held(key, sent.value)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            words = [alnum_words(t) for t in texts]
-            ranges, ids = [[] for _ in texts], [set() for _ in texts]
-            counts = [len(w) for w in words]
-            plain = [f" {b' '.join(w).decode()} " for w in words]
-            del words
-            for key, part in parts:
-                found, items, item_ids = _held(key, part)
-                for k, text in enumerate(plain):
-                    if counts[k]:
-                        some, hit = scan(text, found, items)
-                        ranges[k] += some
-                        ids[k].update(str(item_ids[i]) for i in hit if item_ids[i] is not None)
-            rows = [merged(r) for r in ranges]
-            spans = [[{"begin": b, "end": e} for b, e in char_spans(t, r)] if r else [] for t, r in zip(texts, rows)]
-            made = (counts, [sum(e - b for b, e in r) for r in rows], [sorted(i) for i in ids], spans)
-            arrays = [pa.array(v, kind) for v, (kind, _) in zip(made, FOUND.values())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*fields, *FOUND])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_arrays(texts, [_scanned(t, *built) for t in texts])], names=[*fields, *FOUND])
 
     return docs.mapInArrow(run, with_fields(docs, {n: kind for n, (_, kind) in FOUND.items()}))
 
 
+def _find_in_parts(docs: DataFrame, items: DataFrame, parts: int) -> DataFrame:
+    spark, row = docs.sparkSession, "_decontam_row"
+    # Written with a number per row, so that every pass sees the same rows under the same numbers.
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
+    hits = None
+    for part in range(parts):
+        key, sent = str(uuid4()), spark.sparkContext.broadcast(part_of(items, part, parts))
+
+        def run(batches, key=key, sent=sent):
+            built = _held(key, sent.value)
+            for batch in batches:
+                for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    _, ranges, ids = _scanned(text, *built)
+                    if ranges:
+                        flat = [x for r in ranges for x in r]
+                        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([flat], pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.string()))], names=[row, "ranges", "ids"])
+
+        some = materialise(rows.select(row, "text").mapInArrow(run, f"{row} bigint, ranges array<bigint>, ids array<string>"))
+        hits = some if hits is None else hits.unionByName(some)
+        sent.unpersist()
+    whole = hits.groupBy(row).agg(F.flatten(F.collect_list("ranges")).alias("_ranges"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("_ids"))
+    joined = rows.join(whole, row, "left").select(*docs.columns, "_ranges", "_ids")
+    at, fields = docs.columns.index("text"), docs.columns
+
+    def run(batches):
+        for batch in batches:
+            texts, found = batch.column(at).to_pylist(), []
+            for text, flat, ids in zip(texts, batch.column(len(fields)).to_pylist(), batch.column(len(fields) + 1).to_pylist()):
+                flat = flat or []
+                found.append((len(alnum_words(text)), merged(list(zip(flat[::2], flat[1::2]))), sorted(ids or [])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *_arrays(texts, found)], names=[*fields, *FOUND])
+
+    return joined.mapInArrow(run, with_fields(docs, {n: kind for n, (_, kind) in FOUND.items()}))
+
+
 def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (CONTAMINATED * F.col("n_hit") >= F.col("n_words"))
 

@@ -121,6 +121,9 @@ def mix(docs: DataFrame, seed: str = "mix-1", **shares) -> DataFrame:
 
 
 def repeated(docs: DataFrame, **shares) -> DataFrame:
-    """The mixed corpus itself: every document as often as the mix takes it, numbered by `copy` from 1."""
-    mixed = mix(without(docs, ("copy",)), **shares).filter(F.col(COPIES) > 0)
+    """The mixed corpus itself: every document as often as the mix takes it, numbered by `copy` from 1.
+
+    Documents without words are taken 0 times.
+    """
+    mixed = mix(without(docs, ("copy",)), **shares).filter(F.col("taken") > 0)
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(COPIES).cast("int")))).drop(COPIES)

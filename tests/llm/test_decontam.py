@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from lapsewise.llm import decontam
 
@@ -63,6 +64,30 @@ def test_parts_change_no_result(spark, docs, monkeypatch):
     compare(spark, docs, *corpus(5))
 
 
+def test_words_over_and_over(spark, docs):
+    """Equal words in item and document: thousands of places that all fit."""
+    begun = time.process_time()
+    found, items, _ = decontam.automaton([("1", " ".join(["a"] * 500)), ("2", " ".join(["a", "b"] * 100))])
+    ranges, hit = decontam.scan(" " + "a " * 2000, found, items)
+    assert decontam.merged(ranges) == [(0, 2000)] and hit == {0}
+    ranges, hit = decontam.scan(" " + "a b " * 700 + "c " + "a " * 12, found, items)
+    assert decontam.merged(ranges) == [(0, 1400)] and hit == {1}
+    assert time.process_time() - begun < 2
+    rows = [(1, "a " * 40 + "b " * 3 + "a b " * 30), (2, "b a " * 9)]
+    compare(spark, docs, rows, [(1, "a " * 14 + "b"), (2, "a b " * 8), (3, "a " * 13)])
+
+
+def test_agreement_of_slices():
+    r = random.Random(2)
+    for _ in range(300):
+        a = [r.choice("ab") if r.random() < 0.1 else "a" for _ in range(r.randint(1, 70))]
+        b = [r.choice("ab") if r.random() < 0.1 else "a" for _ in range(r.randint(1, 70))]
+        i, j = r.randrange(len(a)), r.randrange(len(b))
+        most = min(len(a) - i, len(b) - j)
+        want = next((k for k in range(most) if a[i + k] != b[j + k]), most)
+        assert decontam._agree(a, i, b, j, most) == want
+
+
 def test_odd_rows(spark, docs, odd_rows, clashing):
     items = [(1, "a b c d e f g"), (2, None), (None, "one")]
     compare(spark, docs, [r[:2] for r in odd_rows], items)

@@ -43,3 +43,9 @@ def test_odd_rows(clashing, docs):
     assert mixing.mix(docs([])).count() == 0 and mixing.repeated(docs([])).count() == 0
     only_empty = mixing.mix(docs([(1, ""), (2, None)])).collect()
     assert [(r.target, r.taken) for r in only_empty] == [(0.0, 0), (0.0, 0)]
+
+
+def test_no_copies_of_texts_without_words(docs):
+    rows = [(1, "a b c", "x"), (2, None, "x"), (3, "", "x"), (4, " \t", "y"), (5, "d", "y")]
+    found = mixing.repeated(docs(rows)).collect()
+    assert {r.doc_id for r in found} <= {1, 5} and all(r.size > 0 for r in found)
