@@ -5,15 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lapsewise.functions import fixed
 from lapsewise.functions.checks import require_unique
 from lapsewise.functions.numeric import beside, quantile_table, ratio
+from lapsewise.operators import kmeans
 from lapsewise.operators.metrics import adjusted_rand
 from lapsewise.operators.neighbours import robust_outliers
 from lapsewise.operators.profile import log_values
@@ -34,37 +32,30 @@ def scale(df: DataFrame, features: Sequence[str] = RFM) -> DataFrame:
     ).toDF(*df.columns)
 
 
-def as_vectors(df: DataFrame, features: Sequence[str] = RFM) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
+def _fits(seeds: Sequence[int], ks: Sequence[int], restarts: int) -> list[kmeans.Fit]:
+    return [kmeans.Fit(s, r, k) for s in seeds for k in ks for r in range(restarts)]
 
 
-def fit_kmeans(vectors: DataFrame, k: int, seed: int = 42, restarts: int = 10) -> KMeansModel:
-    """The cheapest of several fits; pass materialised vectors, every fit reads them again."""
-    fits = [KMeans(k=k, seed=seed + i, maxIter=100, tol=1e-4).fit(vectors) for i in range(restarts)]
-    return min(fits, key=lambda m: m.summary.trainingCost)
-
-
-def elbow(vectors: DataFrame, ks: Sequence[int] = range(2, 11), seed: int = 42, restarts: int = 10) -> DataFrame:
-    """Inertia and silhouette (squared-Euclidean) per k."""
-    judge = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    rows = []
+def elbow(points: DataFrame, ks: Sequence[int] = range(2, 11), seed: int = 42, restarts: int = 10, features: Sequence[str] = RFM) -> DataFrame:
+    """Inertia and silhouette (over squared distances) per k; all fits share their passes over a written table."""
+    found, rows = kmeans.fit(points, "customer_id", features, _fits([seed], ks, restarts)), None
     for k in ks:
-        model = fit_kmeans(vectors, k, seed, restarts)
-        rows.append((int(k), float(model.summary.trainingCost), float(judge.evaluate(model.transform(vectors)))))
-    return vectors.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+        centres, inertia = kmeans.cheapest(found, seed, k)
+        labelled = points.withColumn("_cluster", kmeans.label(features, centres))
+        row = kmeans.squared_silhouette(labelled, features, "_cluster").select(
+            F.lit(int(k)).alias("k"), F.lit(float(inertia)).alias("inertia"), "silhouette"
+        )
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
 
 
 def stability(
-    vectors: DataFrame, k: int, seeds: Sequence[int] = fixed.STABILITY_SEEDS, restarts: int = 10
+    points: DataFrame, k: int, seeds: Sequence[int] = fixed.STABILITY_SEEDS, restarts: int = 10, features: Sequence[str] = RFM
 ) -> DataFrame:
     """Adjusted Rand index of every pair of seeds."""
-    labelled = vectors
-    for seed in seeds:
-        model = fit_kmeans(vectors, k, seed, restarts)
-        model.setPredictionCol(f"_seed_{seed}")
-        labelled = model.transform(labelled)
-    labelled = materialise(labelled.select(*[f"_seed_{s}" for s in seeds]))
-    rows = None
+    found = kmeans.fit(points, "customer_id", features, _fits(seeds, [k], restarts))
+    labels = [kmeans.label(features, kmeans.cheapest(found, s, k)[0]).alias(f"_seed_{s}") for s in seeds]
+    labelled, rows = materialise(points.select(*labels)), None
     for a, b in combinations(seeds, 2):
         row = adjusted_rand(labelled, f"_seed_{a}", f"_seed_{b}").select(
             F.lit(a).alias("seed_a"), F.lit(b).alias("seed_b"), "adjusted_rand"
@@ -81,9 +72,9 @@ def hybrid_segments(
     rfm = materialise(rfm)
     outliers = materialise(robust_outliers(scale(rfm), eps_values, min_samples, RFM))
     rest = rfm.join(outliers, "customer_id", "left_anti")
-    vectors = materialise(as_vectors(scale(rest)).select("customer_id", "features"))
-    model = fit_kmeans(vectors, k, seed, restarts).setPredictionCol("cluster")
-    clustered = rest.join(model.transform(vectors).select("customer_id", "cluster"), "customer_id")
+    points = materialise(scale(rest).select("customer_id", *RFM))
+    centres, _ = kmeans.cheapest(kmeans.fit(points, "customer_id", RFM, _fits([seed], [k], restarts)), seed, k)
+    clustered = rest.join(points.select("customer_id", kmeans.label(RFM, centres).alias("cluster")), "customer_id")
     apart = rfm.join(outliers, "customer_id", "left_semi").withColumn("cluster", F.lit(None).cast("int"))
     return clustered.unionByName(apart)
 
@@ -127,12 +118,25 @@ def segment_table(rfm: DataFrame, snapshot: Column, expected: dict[str, int] | N
     return named.select("customer_id", "segment", *RFM).withColumn("snapshot_date", snapshot)
 
 
-def principal_plane(vectors: DataFrame, key: str = "customer_id") -> tuple[DataFrame, list[float]]:
-    """Coordinates on the first two principal components and their explained shares."""
-    model = PCA(k=2, inputCol="features", outputCol="_pca").fit(vectors)
-    values = vector_to_array("_pca")
-    plane = model.transform(vectors).select(key, values[0].alias("pc1"), values[1].alias("pc2"))
-    return plane, [float(v) for v in model.explainedVariance.toArray()]
+def principal_plane(points: DataFrame, key: str = "customer_id", features: Sequence[str] = RFM) -> tuple[DataFrame, DataFrame]:
+    """Coordinates on the first two principal components, and the explained share of every component.
+
+    The covariances are one aggregate; their matrix is as small as the features are few. A component
+    points to where its largest loading (the first of equals) is positive.
+    """
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
+    found = points.agg(*[F.avg(c).alias(f"m_{c}") for c in features], *[F.covar_samp(a, b).alias(f"{a}|{b}") for a, b in pairs]).first()
+    matrix = np.array([[found[f"{a}|{b}" if (a, b) in pairs else f"{b}|{a}"] or 0.0 for b in features] for a in features])
+    values, loadings = np.linalg.eigh(matrix)
+    values, loadings = np.maximum(values[::-1], 0.0), loadings[:, ::-1].T
+    loadings *= np.sign(loadings[np.arange(len(features)), np.abs(loadings).round(12).argmax(axis=1)])[:, None]
+    at = lambda row: sum(((F.col(c) - F.lit(float(found[f"m_{c}"] or 0.0))) * F.lit(float(v)) for c, v in zip(features, row)), F.lit(0.0))
+    plane = points.select(key, *[at(row).alias(f"pc{i}") for i, row in enumerate(loadings[:2], 1)])
+    total = float(values.sum()) or 1.0
+    shares = points.sparkSession.createDataFrame(
+        [(i, float(v), float(v) / total) for i, v in enumerate(values, 1)], "component int, variance double, explained_share double"
+    )
+    return plane, shares
 
 
 def rule_segments(rfm: DataFrame) -> DataFrame:

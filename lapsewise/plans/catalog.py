@@ -771,21 +771,28 @@ def kmeans_segments(t):
     return segments.segment_table(t.rfm_written(), rfm.day_after_last(t.lines()))
 
 
+def _points(t: Handover) -> DataFrame:
+    return materialise(segments.scale(t.rfm_written()).select("customer_id", *rfm.RFM))
+
+
 @query
 def kmeans_elbow(t):
-    vectors = materialise(segments.as_vectors(segments.scale(t.rfm_written())).select("customer_id", "features"))
-    return segments.elbow(vectors, range(2, 11))
+    return segments.elbow(_points(t), range(2, 11))
 
 
 @query
 def kmeans_stability(t):
-    vectors = materialise(segments.as_vectors(segments.scale(t.rfm_written())).select("customer_id", "features"))
-    return segments.stability(vectors, fixed.SEGMENT_COUNT)
+    return segments.stability(_points(t), fixed.SEGMENT_COUNT)
 
 
 @query
 def rfm_plane(t):
-    return segments.principal_plane(segments.as_vectors(segments.scale(t.rfm_written())))[0]
+    return segments.principal_plane(_points(t))[0]
+
+
+@query
+def rfm_plane_shares(t):
+    return segments.principal_plane(_points(t))[1]
 
 
 # Models ----------------------------------------------------------------------------------

@@ -29,7 +29,7 @@ def twin(name: str, sql: str, *reads: str) -> None:
     for r in reads:
         collect(r)
     blocks = ",\n".join(f"{n} AS ({_BLOCKS[n][1]})" for n in wanted)
-    recursive = "RECURSIVE " if any(n.endswith("replay") for n in wanted) else ""
+    recursive = "RECURSIVE " if any(n.endswith(("replay", "rounds")) for n in wanted) else ""
     TWINS[name] = (f"WITH {recursive}{blocks}\n" if blocks else "") + sql.strip()
 
 
@@ -1033,6 +1033,127 @@ FROM (SELECT a.customer_id, (a.recency - b.recency) * (a.recency - b.recency)
         + (a.monetary - b.monetary) * (a.monetary - b.monetary)) AS place FROM scaled a, scaled b)
 WHERE place = {fixed.MIN_SAMPLES}
 """, "scaled")
+_RFM = ("recency", "frequency", "monetary")
+_APART = " + ".join(f"(p.{c} - c.{c}) * (p.{c} - c.{c})" for c in _RFM)
+
+
+def _kmeans(name: str, source: str, seeds, ks) -> None:
+    """Starts, rounds, resting centres, labels and best restart of every fit over a block of points."""
+    block(f"{name}_starts", f"""
+  SELECT seed, restart, k, place - 1 AS j, recency, frequency, monetary FROM (
+    SELECT p.*, seed, restart, row_number() OVER (PARTITION BY seed, restart
+      ORDER BY md5(seed::VARCHAR || ':' || restart::VARCHAR || ':' || customer_id::VARCHAR), customer_id) AS place
+    FROM {source} p, (SELECT unnest({list(seeds)}) AS seed), (SELECT unnest(range(10)) AS restart)
+  ), (SELECT unnest({list(ks)}) AS k) WHERE place <= k
+""", source)
+    block(f"{name}_rounds", f"""
+  SELECT 0 AS round, seed, restart, k, j, recency, frequency, monetary, true AS moving FROM {name}_starts
+  UNION ALL
+  SELECT round + 1, seed, restart, k, j, r, f, m,
+    sum((r - recency) * (r - recency) + (f - frequency) * (f - frequency) + (m - monetary) * (m - monetary))
+      OVER (PARTITION BY seed, restart, k) > 1e-10
+  FROM (
+    SELECT o.*, coalesce(n.r, o.recency) AS r, coalesce(n.f, o.frequency) AS f, coalesce(n.m, o.monetary) AS m
+    FROM {name}_rounds o LEFT JOIN (
+      SELECT seed, restart, k, j, avg(recency) AS r, avg(frequency) AS f, avg(monetary) AS m FROM (
+        SELECT c.seed, c.restart, c.k, c.j, p.customer_id, p.recency, p.frequency, p.monetary, row_number() OVER (
+          PARTITION BY c.seed, c.restart, c.k, p.customer_id ORDER BY {_APART}, c.j) AS place
+        FROM {source} p, {name}_rounds c WHERE c.moving AND c.round < 100
+      ) WHERE place = 1 GROUP BY 1, 2, 3, 4
+    ) n ON o.seed = n.seed AND o.restart = n.restart AND o.k = n.k AND o.j = n.j
+    WHERE o.moving AND o.round < 100
+  )
+""", f"{name}_starts", source)
+    block(f"{name}_all", f"""
+  SELECT c.seed, c.restart, c.k, c.j, p.customer_id, p.recency, p.frequency, p.monetary, {_APART} AS apart
+  FROM {source} p, (SELECT * FROM {name}_rounds QUALIFY round = max(round) OVER (PARTITION BY seed, restart, k)) c
+  QUALIFY row_number() OVER (PARTITION BY c.seed, c.restart, c.k, p.customer_id ORDER BY apart, c.j) = 1
+""", f"{name}_rounds", source)
+    block(f"{name}_labels", f"""
+  SELECT l.* FROM {name}_all l JOIN (
+    SELECT seed, k, arg_min(restart, round(inertia, 9)) AS restart
+    FROM (SELECT seed, k, restart, sum(apart) AS inertia FROM {name}_all GROUP BY ALL ORDER BY restart) GROUP BY 1, 2
+  ) b ON l.seed = b.seed AND l.k = b.k AND l.restart = b.restart
+""", f"{name}_all")
+
+
+_kmeans("elbow", "scaled", [42], range(2, 11))
+_SQUARE = " + ".join(f"p.{c} * p.{c}" for c in _RFM)
+twin("kmeans_elbow", f"""
+SELECT k, round(inertia, 6) AS inertia, round(silhouette, 6) AS silhouette FROM (
+  SELECT k, avg(CASE WHEN own_n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette FROM (
+    SELECT p.k, p.customer_id, max(c.n) FILTER (c.j = p.j) AS own_n, max(c.total / nullif(c.n - 1, 0)) FILTER (c.j = p.j) AS a,
+      min(c.total / c.n) FILTER (c.j <> p.j) AS b
+    FROM (SELECT p.*, c.j AS other FROM elbow_labels p, (SELECT 1 AS j) c) p JOIN LATERAL (
+      SELECT c.j, c.n, c.n * ({_SQUARE}) - 2 * (p.recency * c.r + p.frequency * c.f + p.monetary * c.m) + c.q AS total
+      FROM (SELECT k, j, count(*) AS n, sum(recency) AS r, sum(frequency) AS f, sum(monetary) AS m,
+          sum(recency * recency + frequency * frequency + monetary * monetary) AS q FROM elbow_labels GROUP BY 1, 2) c
+      WHERE c.k = p.k
+    ) c ON true GROUP BY 1, 2
+  ) GROUP BY 1
+) JOIN (SELECT k, sum(apart) AS inertia FROM elbow_labels GROUP BY 1) USING (k)
+""", "elbow_labels")
+_kmeans("steady", "scaled", fixed.STABILITY_SEEDS, [fixed.SEGMENT_COUNT])
+_PAIRS = "sum(n * (n - 1) / 2.0::DOUBLE)"
+twin("kmeans_stability", f"""
+SELECT seed_a, seed_b, round(coalesce((inside - of_a * of_b / pairs) / nullif((of_a + of_b) / 2 - of_a * of_b / pairs, 0), 1), 6) AS adjusted_rand
+FROM (SELECT seed_a, seed_b, {_PAIRS} AS inside FROM (
+    SELECT a.seed AS seed_a, b.seed AS seed_b, a.j AS x, b.j AS y, count(*) AS n
+    FROM steady_labels a JOIN steady_labels b ON a.customer_id = b.customer_id GROUP BY ALL) GROUP BY 1, 2)
+JOIN (SELECT seed AS seed_a, {_PAIRS} AS of_a FROM (SELECT seed, j, count(*) AS n FROM steady_labels GROUP BY 1, 2) GROUP BY 1) USING (seed_a)
+JOIN (SELECT seed AS seed_b, {_PAIRS} AS of_b FROM (SELECT seed, j, count(*) AS n FROM steady_labels GROUP BY 1, 2) GROUP BY 1) USING (seed_b),
+  (SELECT count(*) * (count(*) - 1) / 2.0::DOUBLE AS pairs FROM scaled),
+  (SELECT {list(fixed.STABILITY_SEEDS)} AS seeds)
+WHERE list_position(seeds, seed_a) < list_position(seeds, seed_b)
+""", "steady_labels", "scaled")
+block("outliers", " INTERSECT ".join(f"SELECT customer_id FROM noise_{round(e * 100)}" for e in fixed.OUTLIER_EPS),
+      *[f"noise_{round(e * 100)}" for e in fixed.OUTLIER_EPS])
+block("inner_log", "SELECT * FROM rfm_log WHERE customer_id NOT IN (SELECT customer_id FROM outliers)", "rfm_log", "outliers")
+block("inner_scaled", "SELECT customer_id, " + ", ".join(f"({c} - avg({c}) OVER ()) / (stddev_pop({c}) OVER ()) AS {c}" for c in _RFM)
+      + " FROM inner_log", "inner_log")
+_kmeans("hybrid", "inner_scaled", [42], [fixed.SEGMENT_COUNT])
+block("named", f"""
+  SELECT j, CASE WHEN place = 1 THEN {_quoted([fixed.SEGMENT_CHAMPIONS])} WHEN place = last THEN {_quoted([fixed.SEGMENT_LAPSED])}
+      WHEN row_number() OVER (PARTITION BY place > 1 AND place < last ORDER BY recency, j) = 1 THEN {_quoted([fixed.SEGMENT_RECENT])}
+      ELSE {_quoted([fixed.SEGMENT_AT_RISK])} END AS segment
+  FROM (SELECT *, row_number() OVER (ORDER BY frequency + monetary - recency DESC, j) AS place, count(*) OVER () AS last FROM (
+    SELECT h.j, avg(l.recency) AS recency, avg(l.frequency) AS frequency, avg(l.monetary) AS monetary
+    FROM hybrid_labels h JOIN inner_log l ON h.customer_id = l.customer_id GROUP BY 1))
+""", "hybrid_labels", "inner_log")
+twin("kmeans_segments", f"""
+SELECT r.customer_id, coalesce(n.segment, {_quoted([fixed.SEGMENT_OUTLIER])}) AS segment, r.recency, r.frequency, round(r.monetary, 6) AS monetary,
+  (SELECT max(invoice_date) + INTERVAL 1 DAY FROM model)::DATE::VARCHAR AS snapshot_date
+FROM rfm r LEFT JOIN hybrid_labels h ON r.customer_id = h.customer_id LEFT JOIN named n ON h.j = n.j
+""", "rfm", "hybrid_labels", "named", "model")
+
+# Principal components: eigenvalues of the 3 x 3 covariances by the cosine formula, a component as the cross product
+# of two rows of (covariances - eigenvalue).
+block("moments", """
+  SELECT *, (a + b + c) / 3 AS q, sqrt((pow(a - (a + b + c) / 3, 2) + pow(b - (a + b + c) / 3, 2) + pow(c - (a + b + c) / 3, 2)
+    + 2 * (d * d + e * e + g * g)) / 6) AS p
+  FROM (SELECT var_samp(recency) AS a, var_samp(frequency) AS b, var_samp(monetary) AS c, covar_samp(recency, frequency) AS d,
+    covar_samp(recency, monetary) AS e, covar_samp(frequency, monetary) AS g FROM scaled)
+""", "scaled")
+block("turned", """
+  SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - g * g) - d * (d * (c - q) - g * e) + e * (d * g - (b - q) * e))
+    / (2 * p * p * p)))) / 3 AS angle FROM moments
+""", "moments")
+block("components", """
+  SELECT component, variance, x / size AS x, y / size AS y, z / size AS z FROM (
+    SELECT *, sqrt(x * x + y * y + z * z) * CASE WHEN abs(x) >= greatest(abs(y), abs(z)) - 1e-12 THEN sign(x)
+      WHEN abs(y) >= abs(z) - 1e-12 THEN sign(y) ELSE sign(z) END AS size FROM (
+      SELECT component, variance, d * g - e * (b - variance) AS x, d * e - (a - variance) * g AS y, (a - variance) * (b - variance) - d * d AS z
+      FROM (SELECT *, unnest([1, 2, 3]) AS component, unnest([q + 2 * p * cos(angle), 3 * q - (q + 2 * p * cos(angle)) - (q + 2 * p * cos(angle + 2 * pi() / 3)),
+        q + 2 * p * cos(angle + 2 * pi() / 3)]) AS variance FROM turned)))
+""", "turned")
+twin("rfm_plane", """
+SELECT customer_id, round(s.recency * u.x + s.frequency * u.y + s.monetary * u.z, 6) + 0.0 AS pc1,
+  round(s.recency * v.x + s.frequency * v.y + s.monetary * v.z, 6) + 0.0 AS pc2
+FROM scaled s, (SELECT * FROM components WHERE component = 1) u, (SELECT * FROM components WHERE component = 2) v
+""", "scaled", "components")
+twin("rfm_plane_shares", """
+SELECT component, round(variance, 6) AS variance, round(variance / sum(variance) OVER (), 6) AS explained_share FROM components
+""", "components")
 block("context", """
   SELECT r.*, primary_country, years_active FROM rules r
   LEFT JOIN (SELECT customer_id, arg_min(country, place) AS primary_country FROM (SELECT customer_id, country,
