@@ -1023,6 +1023,23 @@ SELECT customer_id, (customer_id IN (SELECT a FROM core_40))::BIGINT AS core,
 twin("robust_outliers", " INTERSECT ".join(
     f"SELECT customer_id FROM noise_{round(e * 100)}" for e in fixed.OUTLIER_EPS), *[
     f"noise_{round(e * 100)}" for e in fixed.OUTLIER_EPS])
+for _eps in fixed.OUTLIER_EPS:
+    _name = str(round(_eps * 100))
+    block(f"linked_{_name}", f"SELECT a, b FROM near_{_name} WHERE a IN (SELECT a FROM core_{_name}) AND b IN (SELECT a FROM core_{_name})",
+          f"near_{_name}", f"core_{_name}")
+    # Every core point takes the smallest label around it until none changes; it is its own neighbour.
+    block(f"label_{_name}_rounds", f"""
+  SELECT 0 AS round, a, a AS label, true AS moving FROM core_{_name}
+  UNION ALL
+  SELECT round, a, label, bool_or(label <> was) OVER () FROM (
+    SELECT any_value(l.round) + 1 AS round, n.a, min(l.label) AS label, max(l.label) FILTER (l.a = n.a) AS was
+    FROM label_{_name}_rounds l JOIN linked_{_name} n ON n.b = l.a WHERE l.moving GROUP BY n.a)
+""", f"core_{_name}", f"linked_{_name}")
+twin("dbscan_cluster_summary", " UNION ALL ".join(f"""
+SELECT {e}::DOUBLE AS eps, (SELECT count(DISTINCT label) FROM label_{round(e * 100)}_rounds WHERE NOT moving) AS clusters,
+  (SELECT count(*) FROM noise_{round(e * 100)}) AS noise_rows,
+  round((SELECT count(*) FROM noise_{round(e * 100)}) / (SELECT count(*) FROM scaled), 6) AS noise_share
+""" for e in fixed.OUTLIER_EPS), "scaled", *[f"{kind}_{round(e * 100)}{end}" for e in fixed.OUTLIER_EPS for kind, end in (("noise", ""), ("label", "_rounds"))])
 twin("k_distance", f"""
 SELECT customer_id, round(sqrt(d), 6) AS distance, row_number() OVER (ORDER BY sqrt(d), customer_id) AS position
 FROM (SELECT a.customer_id, (a.recency - b.recency) * (a.recency - b.recency)
