@@ -17,6 +17,7 @@ as in the input; other columns are ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from typing import NamedTuple
@@ -29,6 +30,8 @@ from lapsewise.llm import text as T
 from lapsewise.session import materialise
 
 FOLDER, A_FILE, B_FILE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
+# Fixed value: how byte-level vocabularies cut a text into words before merging.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Pairs in the broadcast table (12 bytes each); pairs a task holds before it hands them on; bytes of text at a time.
 TABLE, HELD, SLICE_BYTES = 1 << 20, 1 << 21, 1 << 20
 # A text with more than this share of the rows is joined by broadcast.
@@ -60,16 +63,20 @@ def _byte_of_sign() -> dict[str, int]:
 def load(folder: str) -> Tokenizers:
     """Both tokenizers, once a worker."""
     if folder not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
+        from tiktoken import Encoding
 
-        a = Tokenizer.from_file(os.path.join(folder, A_FILE))
-        a.encode_special_tokens = True
+        with open(os.path.join(folder, A_FILE), encoding="utf-8") as file:
+            known = json.load(file)
+        special = {t["id"] for t in known.get("added_tokens", [])}
+        vocabulary = {t: i for t, i in known["model"]["vocab"].items() if i not in special}
         b = SentencePieceProcessor(model_file=os.path.join(folder, B_FILE))
-        sign, a_bytes = _byte_of_sign(), [b""] * (max(a.get_vocab().values()) + 1)
-        for token, i in a.get_vocab().items():
-            a_bytes[i] = bytes(sign[c] for c in token) if all(c in sign for c in token) else token.encode()
+        sign, a_bytes = _byte_of_sign(), [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            a_bytes[i] = bytes(sign[c] for c in token)
+        # Its ids are in the order of its merges, so they serve as ranks; no special tokens, so their strings are plain text.
+        ranks = {t: i for i, t in enumerate(a_bytes) if t}
+        a = Encoding("byte_level", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
         b_bytes = []
         for i in range(b.get_piece_size()):
             piece = b.id_to_piece(i)
@@ -85,10 +92,8 @@ def load(folder: str) -> Tokenizers:
 def encode(texts: list[str], both: Tokenizers) -> list[tuple[list[int], list[int]]]:
     """Ids of each text by A and B; none where the bytes are not the text's."""
     out = []
-    for text, a, b in zip(
-        texts, both.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False), both.b.encode(texts, num_threads=1)
-    ):
-        a, want = a.ids, b" " + T.utf8(text)
+    for text, b in zip(texts, both.b.encode(texts, num_threads=1)):
+        a, want = both.a.encode_ordinary(" " + text), b" " + T.utf8(text)
         same = text and b"".join([both.a_bytes[i] for i in a]) == want and b"".join([both.b_bytes[i] for i in b]) == want
         out.append((a, b) if same else ([], []))
     return out

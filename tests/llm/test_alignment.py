@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from lapsewise.llm import alignment, text as T
@@ -18,12 +19,19 @@ def spans(ids, table):
     return out
 
 
+def whole_tokenizer():
+    """The vocabulary's own library."""
+    found = Tokenizer.from_file(f"{alignment.FOLDER}/{alignment.A_FILE}")
+    found.encode_special_tokens = True
+    return found
+
+
 def brute(rows):
     """(doc_id, measures) by the definition, document by document."""
-    both = alignment.load(alignment.FOLDER)
+    both, whole = alignment.load(alignment.FOLDER), whole_tokenizer()
     tokens, linked, n = [], [], Counter()
     for _, text in rows:
-        a = both.a.encode(" " + (text or ""), add_special_tokens=False).ids
+        a = whole.encode(" " + (text or ""), add_special_tokens=False).ids
         b = both.b.encode(text or "")
         want = (" " + (text or "")).encode()
         if not text or b"".join(both.a_bytes[i] for i in a) != want or b"".join(both.b_bytes[i] for i in b) != want:
@@ -97,6 +105,13 @@ def test_odd_rows(spark, docs, clashing, odd_rows):
     assert got(alignment.align(docs([(1, None), (2, "")]))) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
 
 
+def test_ids_are_those_of_the_vocabulary_file():
+    both, whole = alignment.load(alignment.FOLDER), whole_tokenizer()
+    texts = ["x" * 50_000, " " * 300_000, "\n" * 1000 + "a", "1234567 ½ ²", "don't we'LL 'tis ''", "\u00a0\u2003 a\u0301", "\U0001f469\u200d\U0001f680" * 50, "a\r\n\r\n  b"]
+    for text in texts:
+        assert both.a.encode_ordinary(" " + text) == whole.encode(" " + text, add_special_tokens=False).ids
+
+
 def test_groups(spark, docs):
     both = alignment.load(alignment.FOLDER)
     text = "Alignment of tokenizers: über-naïve"
