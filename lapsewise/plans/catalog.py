@@ -19,7 +19,7 @@ from lapsewise.operators import (
 )
 from lapsewise.plans.handover import Handover
 from lapsewise.session import materialise, shared_folder
-from lapsewise.sources import decision_store, lot_store
+from lapsewise.sources import decision_store, ingest, lot_store, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,6 +86,29 @@ def clean_transactions(t):
     )
 
 
+@query
+def ingested_lines(t):
+    """The lines arrive as CSV and Parquet files in three deliveries, and every ingest is run twice: each file counts once."""
+    raw = materialise(t.raw(country=True))
+    names = [F.col(n).cast(tables.RAW_SCHEMA[o].dataType).alias(o) for o, n in tables.RAW_NAMES.items()]
+    place = f"{shared_folder(t.spark)}/inbox/{uuid4()}"
+    table = ingest.LineTable(t.spark, f"{place}/table")
+    third = F.pmod(F.xxhash64("invoice"), F.lit(3))
+
+    def deliver(part: int, fmt: str) -> None:
+        tables.write_table(raw.filter(third == part).select(*names), f"{place}/{fmt}/delivery-{part}", fmt)
+        for _ in range(2):
+            table.ingest({"shop": f"{place}/{fmt}"}, fmt)
+
+    deliver(0, "csv")
+    deliver(1, "csv")
+    deliver(2, "parquet")
+    cleaned = cleaning.with_revenue(cleaning.clean_lines(table.lines()))
+    return cleaned.groupBy("customer_id", "stock_code", "invoice", "quantity", "price", "invoice_date", "invoice_type", "stockcode_category").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("revenue").alias("revenue"), F.min("description").alias("first_description")
+    )
+
+
 @query
 def excluded_lines(t):
     return profile.exclusion_trail(cleaning.with_exclusion_reason(t.raw()))

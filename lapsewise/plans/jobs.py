@@ -107,12 +107,15 @@ def score_latest(lines: DataFrame, root: str) -> str:
 
 
 def refresh_published(spark: SparkSession, root: str) -> str:
-    """Recompute every derived column of the latest published snapshot from its probabilities and publish it."""
+    """Recompute every derived column of the latest published snapshot from its probabilities and publish it.
+
+    Refused when another run is published meanwhile, whose decisions would be replaced by older ones.
+    """
     store = DecisionStore(spark, f"{root}/store")
-    bundle = ModelBundle.load(f"{root}/model")
+    bundle, version = ModelBundle.load(f"{root}/model"), store.version()
     return store.publish(decisions.refresh_decisions(
         store.snapshot(), bundle.threshold, campaign_actions=bundle.campaign_actions, value_actions=bundle.value_actions
-    ))
+    ), version)
 
 
 def publish_file(spark: SparkSession, root: str, path: str, schema=None, fmt: str | None = None) -> str:

@@ -114,6 +114,11 @@ SELECT customer_id, stock_code, invoice, line::BIGINT AS line, part, supplier, q
   CAST(invoice_date::DATE AS VARCHAR) AS invoice_date, quantity * price AS revenue, invoice_type, stockcode_category
 FROM model
 """, "model")
+twin("ingested_lines", """
+SELECT customer_id, stock_code, invoice, quantity, price, CAST(invoice_date::DATE AS VARCHAR) AS invoice_date, invoice_type,
+  stockcode_category, count(*) AS lines, round(sum(quantity * price), 6) AS revenue, min(description) AS first_description
+FROM model GROUP BY ALL
+""", "model")
 twin("excluded_lines", """
 SELECT exclusion_reason, count(*) AS rows, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM excluded GROUP BY 1
 """, "excluded")

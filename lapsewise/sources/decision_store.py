@@ -2,21 +2,27 @@
 
     <root>/customer_scores/snapshot_date=.../run_id=.../   the decisions of one run
     <root>/scoring_runs/                                    one row per run event
+    <root>/commits/                                         one numbered commit per completed run
 
-A run writes its own folder and then one `completed` row. Readers see only folders of
-completed runs, and for each snapshot only the newest of them, so a publication replaces the
-one before it at the moment its row appears, and a failed run is never seen.
+A run writes its own folder and then a commit. Readers see only folders of committed runs, and for each snapshot only
+the one with the highest number, so a publication replaces the one before it at the moment its commit appears,
+whatever the writers' clocks say, and a failed run is never seen. A run that builds upon the published state
+passes the number it read, and is refused when another one was published since.
+
+The files of a run are ranges of customers in order with a bloom filter each, so reading one customer opens the
+files whose range and filter admit it.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from lapsewise.functions.checks import require_columns, require_rules, require_unique
 from lapsewise.operators.decisions import DECISION_COLUMNS
+from lapsewise.sources.commits import CommitLog, Superseded
 
 RUN_SCHEMA = (
     "run_id string, snapshot_date date, model_version string, status string, row_count bigint, "
@@ -29,6 +35,7 @@ SCORE_SCHEMA = (
     "value_at_risk_rank bigint, value_protection_priority_band string, value_protection_recommended_action string, "
     "model_version string, scored_at timestamp, snapshot_date date, run_id string"
 )
+_LOOKUP = {"parquet.bloom.filter.enabled#customer_id": "true", "parquet.bloom.filter.expected.ndv#customer_id": "100000"}
 ORDERINGS = {"churn_probability": "churn_probability", "value_at_risk": "value_at_risk_score"}
 STRATEGIES = {"churn_prevention": "churn_probability", "value_protection": "value_at_risk"}
 
@@ -36,6 +43,7 @@ STRATEGIES = {"churn_prevention": "churn_probability", "value_protection": "valu
 class DecisionStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._commits = CommitLog(spark, f"{self.root}/commits")
 
     @property
     def _scores(self) -> str:
@@ -50,8 +58,15 @@ class DecisionStore:
         event = self.spark.createDataFrame([tuple(row.get(n) for n in names)], RUN_SCHEMA)
         event.coalesce(1).write.mode("append").parquet(self._runs)
 
-    def publish(self, decisions: DataFrame) -> str:
-        """Publish one snapshot; returns the run id."""
+    def version(self) -> int:
+        """The number of the newest commit."""
+        return self._commits.last()
+
+    def publish(self, decisions: DataFrame, expected: int | None = None) -> str:
+        """Publish one snapshot; returns the run id.
+
+        With `expected`, the `version` that the decisions were made from, a publication since then raises `Superseded`.
+        """
         require_columns(decisions, DECISION_COLUMNS, "decisions")
         facts = decisions.agg(
             F.count(F.lit(1)).alias("rows"),
@@ -77,11 +92,18 @@ class DecisionStore:
                 "segment": F.col("segment").isNotNull(), "value": F.col("customer_value") >= 0,
                 "probability": F.col("churn_probability").between(0, 1),
             }, "decisions")
-            typed.write.mode("append").partitionBy("snapshot_date", "run_id").parquet(self._scores)
+            sorted_ = typed.repartitionByRange("customer_id").sortWithinPartitions("customer_id")
+            sorted_.write.mode("append").options(**_LOOKUP).partitionBy("snapshot_date", "run_id").parquet(self._scores)
         except Exception as error:
             self._log(**base, status="failed", row_count=0, error_message=str(error))
             raise
         done = datetime.now(timezone.utc).replace(tzinfo=None)
+        commit = {"run_id": run, "snapshot_date": facts["first"].isoformat(), "row_count": facts["rows"], "completed_at": done.isoformat()}
+        try:
+            self._commits.append(commit, expected)
+        except Superseded as error:
+            self._log(**base, status="failed", row_count=0, error_message=str(error))
+            raise
         self._log(**base, status="completed", row_count=facts["rows"], completed_at=done)
         return run
 
@@ -93,7 +115,21 @@ class DecisionStore:
         return last.select("run_id", "e.*")
 
     def _current_run(self, snapshot=None):
-        """The newest completed run of a snapshot (default: the latest); None when there is none."""
+        """The last committed run of a snapshot (default: the latest); None when there is none.
+
+        Stores from before there were commits have only their runs' rows, taken by time.
+        """
+        made = [Row(run_id=e["run_id"], snapshot_date=date.fromisoformat(e["snapshot_date"])) for e in self._commits.entries()]
+        wanted = date.fromisoformat(str(snapshot)[:10]) if snapshot is not None else max((r.snapshot_date for r in made), default=None)
+        newest = next((r for r in reversed(made) if r.snapshot_date == wanted), None)
+        if newest is not None and snapshot is not None:
+            return newest
+        older = self._run_by_time(snapshot)
+        if newest is None or older is not None and older.snapshot_date > newest.snapshot_date:
+            return older
+        return newest
+
+    def _run_by_time(self, snapshot=None):
         done = self.runs().filter("status = 'completed'")
         if snapshot is not None:
             done = done.filter(F.col("snapshot_date") == F.lit(snapshot))

@@ -20,16 +20,19 @@ RAW_SCHEMA = T.StructType([
     T.StructField("Customer ID", T.DoubleType()),
     T.StructField("Country", T.StringType()),
 ])
-_NAMES = {
+RAW_NAMES = {
     "Invoice": "invoice", "StockCode": "stock_code", "Description": "description", "Quantity": "quantity",
     "InvoiceDate": "invoice_date", "Price": "price", "Customer ID": "customer_id", "Country": "country",
 }
 FORMATS = ("csv", "parquet", "orc", "json")
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, fmt: str | None = None) -> DataFrame:
-    """Read a table; text formats need a schema, columnar ones carry their own."""
-    fmt = fmt or next((f for f in FORMATS if path.rstrip("/").endswith(f".{f}")), "parquet")
+def read_table(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None, fmt: str | None = None
+) -> DataFrame:
+    """Read a table or a list of its files; text formats need a schema, columnar ones carry their own."""
+    first = path if isinstance(path, str) else path[0]
+    fmt = fmt or next((f for f in FORMATS if first.rstrip("/").endswith(f".{f}")), "parquet")
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
     reader = spark.read.format(fmt)
@@ -37,7 +40,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
         reader = reader.schema(schema)
     elif fmt in ("csv", "json"):
         raise ValueError(f"reading {fmt} needs a schema")
-    return reader.option("header", "true").load(path) if fmt == "csv" else reader.load(path)
+    if fmt == "csv":
+        reader = reader.option("header", "true")
+    return reader.load(path if isinstance(path, str) else list(path))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
@@ -49,15 +54,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     spark, fresh = df.sparkSession, f"{path.rstrip('/')}.{uuid4()}"
     writer = df.write.format(fmt).partitionBy(*partition_by)
     try:
-        (writer.option("header", "true") if fmt == "csv" else writer).save(fresh)
+        if fmt == "csv":  # white space at either end of a value is part of it
+            writer = writer.options(header="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+        writer.save(fresh)
     except Exception:
         delete_folder(spark, fresh)
         raise
     replace_folder(spark, fresh, path)
 
 
-def load_sales_lines(spark: SparkSession, sources: Mapping[str, str], fmt: str = "parquet") -> DataFrame:
-    """Union of the named sources, each tagged with its `source_sheet`.
+def load_sales_lines(spark: SparkSession, sources: Mapping[str, str | Sequence[str]], fmt: str = "parquet") -> DataFrame:
+    """Union of the named sources (a folder or a list of files), each tagged with its `source_sheet`.
 
     `row_seq` fixes the order of rows with one timestamp: source, file and position in the file,
     so files must not change between reads.
@@ -72,7 +79,7 @@ def load_sales_lines(spark: SparkSession, sources: Mapping[str, str], fmt: str =
             row.alias("row"),
         )
         part = raw.select(
-            *[F.col(f"`{o}`").cast(RAW_SCHEMA[o].dataType).alias(n) for o, n in _NAMES.items()],
+            *[F.col(f"`{o}`").cast(RAW_SCHEMA[o].dataType).alias(n) for o, n in RAW_NAMES.items()],
             F.lit(name).alias("source_sheet"), seq.alias("row_seq"),
         )
         lines = part if lines is None else lines.unionByName(part)
