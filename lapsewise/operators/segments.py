@@ -16,6 +16,7 @@ from lapsewise.operators.metrics import adjusted_rand
 from lapsewise.operators.neighbours import robust_outliers
 from lapsewise.operators.profile import log_values
 from lapsewise.operators.rfm import RFM
+from lapsewise.operators.silhouette import distance_silhouettes
 from lapsewise.session import materialise
 
 
@@ -49,6 +50,16 @@ def elbow(points: DataFrame, ks: Sequence[int] = range(2, 11), seed: int = 42, r
     return rows
 
 
+def silhouettes(
+    points: DataFrame, ks: Sequence[int] = range(2, 11), seed: int = 42, restarts: int = 10, features: Sequence[str] = RFM
+) -> DataFrame:
+    """The silhouette over plain distances per k, of the same fits as `elbow`; all k are measured together."""
+    found = kmeans.fit(points, "customer_id", features, _fits([seed], ks, restarts))
+    fits = [F.struct(F.lit(int(k)).alias("k"), kmeans.label(features, kmeans.cheapest(found, seed, k)[0]).alias("cluster")) for k in ks]
+    labelled = points.select(*features, F.explode(F.array(*fits)).alias("f")).select(*features, "f.*")
+    return distance_silhouettes(labelled, "k", "cluster", features).withColumnRenamed("fit", "k")
+
+
 def stability(
     points: DataFrame, k: int, seeds: Sequence[int] = fixed.STABILITY_SEEDS, restarts: int = 10, features: Sequence[str] = RFM
 ) -> DataFrame:

@@ -803,6 +803,12 @@ def kmeans_elbow(t):
     return segments.elbow(_points(t), range(2, 11))
 
 
+@query
+def kmeans_silhouette(t):
+    """Over plain distances, for the same fits."""
+    return segments.silhouettes(_points(t), range(2, 11))
+
+
 @query
 def kmeans_stability(t):
     return segments.stability(_points(t), fixed.SEGMENT_COUNT)

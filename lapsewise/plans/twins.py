@@ -1115,6 +1115,16 @@ SELECT k, round(inertia, 6) AS inertia, round(silhouette, 6) AS silhouette FROM
   ) GROUP BY 1
 ) JOIN (SELECT k, sum(apart) AS inertia FROM elbow_labels GROUP BY 1) USING (k)
 """, "elbow_labels")
+twin("kmeans_silhouette", """
+SELECT k, count(*) AS points, max(clusters) AS clusters,
+  round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM (
+  SELECT k, customer_id, count(*) AS clusters, max(total / nullif(n - 1, 0)) FILTER (own) AS a, min(total / n) FILTER (NOT own) AS b FROM (
+    SELECT p.k, p.customer_id, p.j = o.j AS own, count(*) AS n, sum(sqrt((p.recency - o.recency) * (p.recency - o.recency)
+      + (p.frequency - o.frequency) * (p.frequency - o.frequency) + (p.monetary - o.monetary) * (p.monetary - o.monetary))) AS total
+    FROM elbow_labels p JOIN elbow_labels o ON p.k = o.k GROUP BY p.k, p.customer_id, p.j, o.j
+  ) GROUP BY 1, 2
+) GROUP BY 1
+""", "elbow_labels")
 _kmeans("steady", "scaled", fixed.STABILITY_SEEDS, [fixed.SEGMENT_COUNT])
 _PAIRS = "sum(n * (n - 1) / 2.0::DOUBLE)"
 twin("kmeans_stability", f"""
