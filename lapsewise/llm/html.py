@@ -18,7 +18,9 @@ Defined results: a null page is empty; an empty page, or one without main text,
 text; scripts, styles, comments and the head hold no text; a head ends at the first tag or text that
 cannot stand in it; unclosed tags end with their parent, unclosed comments and scripts with the page,
 unclosed styles, titles and text areas at the next tag, other unclosed raw tags where they begin; a line break is white space; rows repeat as in the
-input; where no page of the table names an article, the text is that of all blocks, with a warning.
+input; a quote left open in a tag ends it at the next ">". Where no page of the table names an article, the labeller learns from made pages in
+customary markup (`customary_pages`), with a warning. Time and memory grow with a page's length also where
+tags nest deeply: a path of more than 2 x ENDS elements is kept as its ends and what names an article or a frame.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import html as references
 import re
 import warnings
 import zlib
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -43,6 +46,7 @@ LONG = 200_000
 # Blocks of a page that a training step reads: of the page as it is, and of its altered forms.
 LONGEST, EXCERPT = 240, 32
 PATH, WORDS, NUMBERS, HIDDEN = 512, 16, 8, 16
+ENDS = 16  # elements at either end of a path that describe it
 BATCH = 96
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,10 +65,13 @@ _ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"},
 }
+_LISTS = frozenset(("ul", "ol", "dl", "table"))
 _TAG = re.compile(
-    r"<(?:!--(?P<note>.*?)(?:--!?>|\Z)|(?P<open>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|(?P<loose>[a-zA-Z][^\s/>]*)[^>]*>|/(?P<close>[a-zA-Z][^\s/>]*)[^>]*>|[!?/][^>]*(?:>|\Z))",
-    re.S,
+    r"<(?:!--.*?(?:--!?>|\Z)|(?P<open>[a-zA-Z][^\s/>]*)|/(?P<close>[a-zA-Z][^\s/>]*)[^>]*>|[!?/][^>]*(?:>|\Z))", re.S,
 )
+# Behind a page's last ">" no tag can end; these begin markup that the page's end ends.
+_CUT_OFF = re.compile(r"<[!?/]")
+_SPECIAL = re.compile("[>\"']")
 # Comments and scripts are passed over, self-closing svgs have no end tag.
 _RAW_TAGS = re.compile(
     rf"<!--.*?(?:--!?>|\Z)|<script\b.*?(?:</script\b[^>]*>|\Z)|<svg\b[^>]*/>|<(?P<end>/?)(?P<name>{'|'.join(sorted(_RAW - {'script'}))})(?![^\s/>])[^>]*>",
@@ -101,7 +108,7 @@ def _raw_ends(page: str) -> dict[int, int]:
     """From where a raw tag (no script) begins to where its own end tag ends; raw tags without one are left out."""
     opened: dict[str, list[int]] = {}
     ends: dict[int, int] = {}
-    for tag in _RAW_TAGS.finditer(page):
+    for tag in _RAW_TAGS.finditer(page, 0, page.rfind(">") + 1):
         name = (tag["name"] or "").lower()
         if not name:
             continue
@@ -112,15 +119,73 @@ def _raw_ends(page: str) -> dict[int, int]:
     return ends
 
 
+def _tag_end(page: str, at: int, lost: set[int]) -> int:
+    """The ">" that ends a tag outside quotes, -1 when a quote stays open; `lost` remembers quotes that lead there."""
+    seen = []
+    while special := _SPECIAL.search(page, at):
+        begin = special.start()
+        if page[begin] == ">":
+            return begin
+        seen.append(begin)
+        end = -1 if begin in lost else page.find(page[begin], begin + 1)
+        if end < 0:
+            break
+        at = end + 1
+    lost.update(seen)
+    return -1
+
+
+class _Open:
+    """The open tags, with how many of each name there are, and the block-level ones among them as a path."""
+
+    def __init__(self):
+        self.stack: list[str] = []
+        self.held: Counter = Counter()
+        self._below: list[int] = []  # block-level elements below each open tag
+        self._levels: list[str] = []
+        self._notable: list[tuple[tuple[int, int], ...]] = []  # per level: kind and place of the first article and frame
+
+    def push(self, name: str, rest: str) -> None:
+        self._below.append(len(self._levels))
+        self.stack.append(name)
+        self.held[name] += 1
+        if name in _BLOCK:
+            element, known = _element(name, rest), self._notable[-1] if self._notable else ()
+            kind = _kind(element)
+            if kind and all(k != kind for k, _ in known) and not (kind < 0 and name == "header" and any(k > 0 for k, _ in known)):
+                known = (*known, (kind, len(self._levels)))
+            self._levels.append(element)
+            self._notable.append(known)
+
+    def cut(self, depth: int | None) -> None:
+        if depth is not None:
+            self.held.subtract(self.stack[depth:])
+            del self._levels[self._below[depth] :], self._notable[self._below[depth] :]
+            del self.stack[depth:], self._below[depth:]
+
+    def end(self, name: str) -> None:
+        """End the innermost open tag of a name, and what is open inside it."""
+        if self.held[name] > 0:
+            self.cut(_last(self.stack, {name}))
+
+    def path(self) -> tuple[str, ...]:
+        """The block-level elements; of more than twice ENDS the outer and inner ENDS, and what says article or frame between."""
+        levels = self._levels
+        if len(levels) <= 2 * ENDS:
+            return tuple(levels)
+        between = (levels[i] for _, i in self._notable[-1] if ENDS <= i < len(levels) - ENDS)
+        return (*levels[:ENDS], *between, *levels[-ENDS:])
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The page's leaf blocks in order: (path, text, characters inside links)."""
     page = page or ""
-    stack: list[str] = []
-    elements: list[str] = []
+    tags, held = (open_ := _Open()).stack, open_.held
     out: list[Block] = []
     pieces: list[str] = []
-    linked, links, at, path = 0, 0, 0, ()
+    linked, at, path = 0, 0, ()
     raw_ends: dict[int, int] | None = None
+    last, lost = page.rfind(">"), set()
 
     def flush():
         nonlocal pieces, linked
@@ -133,33 +198,34 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def say(words: str):
         nonlocal path, linked
-        if words and "head" in stack and not words.isspace():
-            cut(_last(stack, {"head"}))
-        if words and "head" not in stack:
+        if words and held["head"] and not words.isspace():
+            open_.end("head")
+        if words and not held["head"]:
             if not pieces:
-                path = tuple(e for t, e in zip(stack, elements) if t in _BLOCK)
+                path = open_.path()
             pieces.append(words)
-            linked += len(words) if links else 0
-
-    def cut(depth: int):
-        nonlocal links
-        links -= sum(t == "a" for t in stack[depth:])
-        del stack[depth:], elements[depth:]
+            linked += len(words) if held["a"] else 0
 
     while True:
         tag = _TAG.search(page, at)
-        say(page[at : tag.start()] if tag else page[at:])
-        if not tag:
+        if not tag or tag.start() > last:
+            cut_off = _CUT_OFF.search(page, at)
+            say(page[at : cut_off.start()] if cut_off else page[at:])
             break
-        at = tag.end()
-        name = (tag["open"] or tag["loose"] or "").lower()
+        say(page[at : tag.start()])
+        at, rest = tag.end(), ""
+        name = (tag["open"] or "").lower()
         closing = (tag["close"] or "").lower()
-        if name and name not in _HEAD and "head" in stack:
-            cut(_last(stack, {"head"}))
+        if name:
+            end = _tag_end(page, at, lost)
+            # With a quote left open, a tag ends at the next ">" and has no names.
+            at, rest = (page.find(">", at) + 1, "") if end < 0 else (end + 1, page[at:end])
+        if name and name not in _HEAD:
+            open_.end("head")
         if name == "script":
             end = _SCRIPT_END.search(page, at)
             at = end.end() if end else len(page)
-        elif name == "svg" and (tag["rest"] or "").endswith("/"):
+        elif name == "svg" and rest.endswith("/"):
             pass
         elif name in _RAW:
             raw_ends = _raw_ends(page) if raw_ends is None else raw_ends
@@ -171,26 +237,21 @@ def blocks_of(page: str | None) -> list[Block]:
         elif name:
             if name in _BLOCK:
                 flush()
-                if "p" in stack:
-                    cut(_last(stack, {"p"}))
+                open_.end("p")
                 ended = _ENDS.get(name, ())
-                if ended and stack:
-                    depth = _last(stack, ended)
+                if any(held[e] > 0 for e in ended):
                     # Only within the same list, table or body.
-                    if depth is not None and not {"ul", "ol", "dl", "table"} & set(stack[depth + 1 :]):
-                        cut(depth)
+                    depth = _last(tags, _LISTS.union(ended))
+                    if tags[depth] in ended:
+                        open_.cut(depth)
             elif name == "br":
                 say(" ")
-            if name not in _VOID and not (tag["rest"] or "").endswith("/"):
-                stack.append(name)
-                elements.append(_element(name, tag["rest"] or ""))
-                links += name == "a"
+            if name not in _VOID and not rest.endswith("/"):
+                open_.push(name, rest)
         elif closing:
             if closing in _BLOCK:
                 flush()
-            depth = _last(stack, {closing})
-            if depth is not None:
-                cut(depth)
+            open_.end(closing)
     flush()
     return out
 
@@ -283,8 +344,7 @@ def _cells(element: str) -> tuple[int, ...]:
 
 @lru_cache(maxsize=65536)
 def _path_cells(path: tuple[str, ...]) -> tuple[int, ...]:
-    # Very deep paths are described by their outer and inner ends.
-    ends = path if len(path) <= 32 else path[:16] + path[-16:]
+    ends = path if len(path) <= 2 * ENDS else path[:ENDS] + path[-ENDS:]
     inner = zlib.crc32(("in " + ends[-1]).encode()) % PATH if ends else 0
     return tuple(sorted({c for e in ends for c in _cells(e)} | {inner}))
 
@@ -500,17 +560,53 @@ def _known(pages: DataFrame, most: int) -> list[str]:
     return [r.html for r in sorted(rows, key=lambda r: r.key)]
 
 
-def train(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Labeller | None:
+_BARE = (("html", "body", "p"), ("html", "body", "div", "p"), ("p",), ("html", "body", "div"), ("html", "body", "h1"))
+_FRAMES = (
+    ("nav", "ul", "li"), ("header",), ("header", "nav", "a"), ("aside",), ("aside sidebar", "p"), ("footer",), ("footer", "p"), ("div cookie notice", "p"), ("div ad",),
+    ("form", "label"), ("div comments", "div comment", "p"), ("div menu", "ul", "li"), ("div footer",), ("div share",), ("div related", "ul", "li"),
+)
+_SHORT = "Home; About us; Contact; Sign in; Subscribe; Share this; Privacy; Terms of use; All rights reserved; Read more; We use cookies; Sponsored; Your name; Next; Menu; Search".split("; ")
+_SAID = "the a new old report says that many people in this city have found after years of work how water light and time can change what they know about their own town".split()
+
+
+def customary_pages(many: int = 90, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
+    """Made pages in customary markup: articles in and outside named containers, with frames before, between and behind."""
+    random = np.random.default_rng(seed)
+    pick = lambda options: options[random.integers(len(options))]
+
+    def said() -> str:
+        words = [pick(_SAID) for _ in range(random.integers(4, 14))]
+        return f"{' '.join(words).capitalize()}{pick(('.', '.', '?', ', and more.'))}"
+
+    def frame() -> list[Block]:
+        path = ("html", "body", *pick(_FRAMES))
+        texts = [pick(_SHORT) if random.random() < 0.7 else said() for _ in range(random.integers(1, 5))]
+        return [(path, t, len(t) if random.random() < 0.5 else 0) for t in texts]
+
+    pages = []
+    for n in range(many):
+        if n % 6 == 0:  # nothing but a bare text
+            path, texts = pick(_BARE), [pick(_SAID) if n % 4 else said() for _ in range(1 + n // 12 % 3)]
+            pages.append(([(path, t, 0) for t in texts], [1] * len(texts)))
+            continue
+        inside = ("html", "body", pick(_OTHER_MAIN)) if n % 3 else pick(_BARE)[:-1]
+        body = [(*inside, *pick(_INNER[:8])) if n % 3 else (*inside, pick(("p", "p", "h2", "div"))) for _ in range(random.integers(2, 12))]
+        parts = [(b, 0) for _ in range(random.integers(0, 3)) for b in frame()]
+        parts += [((path, " ".join(said() for _ in range(random.integers(1, 5))), 0), 1) for path in body]
+        parts += [(b, 0) for _ in range(random.integers(0, 4)) for b in frame()]
+        pages.append(([b for b, _ in parts], [y for _, y in parts]))
+    return pages
+
+
+def train(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Labeller:
     known = sample(pages.select("page_id", "html"), train_pages)
     if not known:
-        warnings.warn("No page names an article: there is nothing to learn from, and all blocks count as main text.", stacklevel=2)
-    return fit(known) if known else None
+        warnings.warn("No page names an article: the labeller is trained on made pages in customary markup.", stacklevel=2)
+    return fit(known or customary_pages())
 
 
-def label(pages: list[list[Block]], model: Labeller | None) -> list[list[bool]]:
+def label(pages: list[list[Block]], model: Labeller) -> list[list[bool]]:
     """Which blocks are main text, for many pages; pages of like length share a batch."""
-    if model is None:
-        return [[True] * len(p) for p in pages]
     out: list[list[bool]] = [[] for _ in pages]
     order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
     at = 0
@@ -525,7 +621,7 @@ def label(pages: list[list[Block]], model: Labeller | None) -> list[list[bool]]:
     return out
 
 
-def extract(pages: DataFrame, model: Labeller | None) -> DataFrame:
+def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     sent = pages.sparkSession.sparkContext.broadcast(model)
 

@@ -1,5 +1,6 @@
 import html as references
 import re
+import time
 
 import numpy as np
 import pytest
@@ -114,3 +115,31 @@ def test_blocks_of_ordinary_html(page, texts):
 def test_many_unclosed_raw_tags_take_linear_time():
     blocks = html.blocks_of("<svg><noscript>" * 50_000 + "<p>a")
     assert [t for _, t, _ in blocks] == ["a"]
+
+
+@pytest.mark.parametrize("page, many", [
+    ("<a '" * 20_000, 1), ("<div>x" * 8000, 8000), ("(<a '>')" * 16_000 + '"', 1), ("<a" * 50_000, 1), ("<svg>" + "<svg " * 20_000, 1), ("<div>" * 30_000 + "</b>" * 30_000, 0),
+])
+def test_adverse_pages_take_linear_time(page, many):
+    begun = time.time()
+    assert len(html.blocks_of(page)) == many
+    assert time.time() - begun < 2
+
+
+def test_deep_paths_keep_what_names_them():
+    deep = "<div class=a>" * 40 + "{}" + "<div class=b>" * 40 + "<p>x"
+    for inside, label in (("<article>", [1]), ("<article><header>", [1]), ("<header><article>", [0]), ("<article><nav>", [0]), ("<nav>", None)):
+        blocks = html.blocks_of(deep.format(inside))
+        assert len(blocks[0][0]) <= 2 * html.ENDS + 2 and html.marked(blocks) == label
+
+
+def test_pages_that_name_no_article(spark):
+    """Menus, notices, forms and footers stay out although there is nothing in the table to learn from."""
+    body = "<h1>Water in the town</h1><p>The report says that light can change a city, and more.</p><p>It was known for years.</p>"
+    page = "<nav><ul><li><a href=x>Home</a></li><li><a href=y>Contact</a></li></ul></nav>{}<form><label>Your name</label></form><footer>All rights reserved</footer>"
+    rows = [(i, "u", page.format(body if i % 2 else f"<div>{body}</div>"), None, None) for i in range(4)]
+    with pytest.warns(UserWarning, match="made pages"):
+        found = html.main_text(spark.createDataFrame(rows, PAGES)).collect()
+    for r in found:
+        assert "light can change" in r.text and "known for years" in r.text
+        assert not any(t in r.text for t in ("Home", "Contact", "Your name", "rights"))
