@@ -17,6 +17,9 @@ The network alternates between the two halves of a value, read as mixed-radix nu
 keyed hash of one half to the other, ROUNDS times. Dates are permuted as day numbers; where a
 permuted number lies outside the allowed range it is permuted again (cycle walking).
 
+Not looked for: mail addresses with letters beyond ASCII before the '@', and national phone numbers of other forms than
+(555) 123 4567 and 555-123-4567.
+
 Defined results: a null text stays null; an empty text stays empty; all other columns pass through
 unchanged, whatever their names; rows repeat as in the input; texts keep their length.
 """
@@ -250,7 +253,11 @@ KINDS: dict[str, tuple[str, Callable]] = {
         phone,
     ),
 }
-_PATTERN = re.compile("|".join(f"(?P<{name}>{shape})" for name, (shape, _) in KINDS.items()))
+# Mail addresses are looked for from their '@', so that long runs of their characters without one are not searched again and again.
+_PATTERN = re.compile("|".join(f"(?P<{name}>{shape})" for name, (shape, _) in KINDS.items() if name != "mail"))
+_MAIL = re.compile(f"(?P<mail>{KINDS['mail'][0]})")
+_HOST = re.compile(KINDS["mail"][0].partition("@")[2])
+_LOCAL = frozenset(_DIGITS + _UPPER + _LOWER + "._%+-")
 # Every value holds one of these; only their surroundings are searched for values.
 _HINT = re.compile(r"[0-9@=:]|A(?:KI|SI)A")
 # Blanks next to '=' and ':' belong to the hint, whatever their number.
@@ -287,6 +294,45 @@ def _windows(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _mails(text: str, begin: int, end: int) -> list[tuple[int, int]]:
+    """Where the characters before an '@' that an address may have begin, and the '@', for every address within bounds."""
+    found, after = [], begin
+    at = text.find("@", begin, end)
+    while at >= 0:
+        if at > after and text[at - 1] in _CLASS and _HOST.match(text, at + 1, end):
+            first = at
+            while first > after and text[first - 1] in _LOCAL:
+                first -= 1
+            found.append((first, at))
+        after, at = at + 1, text.find("@", at + 1, end)
+    return found
+
+
+class _Matches:
+    """The next value of a window from any place on, places never falling."""
+
+    def __init__(self, text: str, begin: int, end: int):
+        self.text, self.end = text, end
+        self._mails = _mails(text, begin, end)[::-1]
+        self._other = _PATTERN.search(text, begin, end)
+
+    def next(self, at: int) -> re.Match | None:
+        if self._other and self._other.start() < at:
+            self._other = _PATTERN.search(self.text, at, self.end)
+        while self._mails:
+            first, sign = self._mails[-1]
+            first = max(first, at)
+            while first < sign and self.text[first] not in _CLASS:
+                first += 1
+            if first < sign:
+                if self._other and self._other.start() < first:
+                    break
+                self._mails[-1] = (first, sign)
+                return _MAIL.match(self.text, first, self.end)
+            self._mails.pop()
+        return self._other
+
+
 def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[str]]:
     """The text with its values permuted (or turned back), and the kinds changed, in order."""
     windows = _windows(text)
@@ -314,8 +360,9 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[s
     def change(match: re.Match) -> tuple[str, int]:
         """What takes the match's place, and where it and the search go on."""
         begin, end = match.span()
+        held = match.groupdict()
         for name, (_, permute) in KINDS.items():
-            if match[name] is None:
+            if held.get(name) is None:
                 continue
             if name == "secret":
                 head = match[0][: len(match[0]) - len(match["_value"])]
@@ -348,8 +395,8 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[s
 
     out, done = [], 0
     for begin, end in windows:
-        at = begin
-        while match := _PATTERN.search(text, at, end):
+        at, matches = begin, _Matches(text, begin, end)
+        while match := matches.next(at):
             refused = [r for r in refused if r[1] > match.start()]
             fresh, at = change(match)
             out += [text[done : match.start()], fresh]
