@@ -14,7 +14,8 @@ such a refused reading is permuted again where its pseudonym would make the read
 is found again; there its pseudonym may differ from the one it has elsewhere.
 
 The network alternates between the two halves of a value, read as mixed-radix numbers, and adds a
-keyed hash of one half to the other, ROUNDS times. Dates are permuted as day numbers; where a
+keyed hash of one half to the other, ROUNDS times; values of more than PIECE characters are permuted in pieces, each
+under its own tweak. Dates are permuted as day numbers; where a
 permuted number lies outside the allowed range it is permuted again (cycle walking).
 
 Not looked for: mail addresses with letters beyond ASCII before the '@', and national phone numbers of other forms than
@@ -39,6 +40,7 @@ from lapsewise.llm.text import with_fields, without
 
 KEY_SETTING = "spark.lapsewise.pseudonymKey"
 ROUNDS = 10
+PIECE = 180  # characters; a keyed hash covers half of them whole
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HEX = "0123456789abcdef"
@@ -70,6 +72,10 @@ class Feistel:
         return halves[0], halves[1]
 
     def text(self, tweak: str, value: str, alphabets: list[str], back: bool = False) -> str:
+        if len(value) > PIECE:
+            size = -(-len(value) // -(-len(value) // PIECE))
+            pieces = [slice(at, at + size) for at in range(0, len(value), size)]
+            return "".join(self.text(f"{tweak}|{len(value)}|{p.start}", value[p], alphabets[p], back) for p in pieces)
         middle = (len(value) + 1) // 2
         sizes, numbers = [1, 1], [0, 0]
         for i, (c, alphabet) in enumerate(zip(value, alphabets)):
