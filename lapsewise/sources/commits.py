@@ -5,6 +5,9 @@
 A commit is written under another name and renamed to the next free number; the rename refuses a name that is
 taken, so of two writers one gets the number and the other sees the new commit before it tries again. Readers
 see whole commits only, ordered by number and not by clocks.
+
+The refusal is as strong as the store's rename: atomic on HDFS; a local folder looks for the name first and then renames, and
+object stores without an atomic rename give no such promise.
 """
 
 from __future__ import annotations
