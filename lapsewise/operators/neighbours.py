@@ -155,9 +155,11 @@ def dbscan_clusters(points: DataFrame, eps: float, min_samples: int, features: S
     """The input rows with a `cluster` struct (null for noise): the first cell of the cluster.
 
     All core points of a cell belong together, so clusters are components of cells. Two cells are
-    linked when two of their core points are within eps: eighth-cells that lie close as a whole
-    settle most links; points are compared only for cell pairs the eighths leave open.
-    A border point within reach of several clusters joins the smallest.
+    linked when two of their core points are within eps. The outermost core points of neighbouring cells settle
+    most links; what else could be linked matters only between cells that these leave in different
+    clusters: there quarter-cells that lie close as a whole count, and points are compared for cell pairs the
+    quarters leave open. A border point within reach of several clusters joins the smallest; where
+    all cells around have one cluster, nothing is measured.
     """
     side = eps / 3 ** 0.5 * (1 - 1e-9)
     flagged = materialise(core_points(points, eps, min_samples, features))
@@ -167,9 +169,19 @@ def dbscan_clusters(points: DataFrame, eps: float, min_samples: int, features: S
     core = flagged.filter("core = 1").withColumns(
         {"node": node} | {f"_f{a}": F.floor(F.col(f"_{a}") / fine) for a in "xyz"}
     )
-    nodes = core.select("node", *CELL).distinct()
+    outermost = [by(_point(), f"_{a}") for a in "xyz" for by in (F.min_by, F.max_by)]
+    nodes = materialise(core.groupBy("node", *CELL).agg(F.array_distinct(F.array(*outermost)).alias("_ends")))
     other = nodes.select(F.col("node").alias("other"), *[F.col(c).alias(c.replace("_c", "_n")) for c in CELL])
-    linked = _around(nodes, 2).join(other, ["_nx", "_ny", "_nz"]).filter("node < other").select("node", "other")
+    near = _around(nodes.select("node", *CELL), 2).join(other, ["_nx", "_ny", "_nz"]).filter("node < other").select("node", "other")
+    ends = nodes.select("node", "_ends")
+    apart = lambda p, q: sum(((p[a] - q[a]) * (p[a] - q[a]) for a in "xyz"), F.lit(0.0))
+    met_at_ends = F.exists("_ends", lambda p: F.exists("_others", lambda q: apart(p, q) <= eps * eps))
+    pairs = materialise(near.join(ends, "node").join(
+        ends.select(F.col("node").alias("other"), F.col("_ends").alias("_others")), "other"
+    ).select("node", "other", met_at_ends.alias("_met")))
+    labels = _components(nodes.select("node"), pairs.filter("_met").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    of_other = labels.select(F.col("node").alias("other"), F.col("label").alias("_label"))
+    linked = materialise(pairs.filter("not _met").join(labels, "node").join(of_other, "other").filter("label <> _label").select("node", "other"))
 
     eighth = core.select("node", F.struct(*[F.col(f"_f{a}").alias(a) for a in "xyz"]).alias("f")).distinct()
     combos = linked.join(eighth, "node").join(
@@ -192,18 +204,30 @@ def dbscan_clusters(points: DataFrame, eps: float, min_samples: int, features: S
         .filter(_squared("p", "q") <= eps * eps).select("node", "other").distinct()
     )
     edges = sure.unionByName(met).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    labels = _components(nodes.select("node"), edges)
-
-    labelled = core.join(labels, "node").select("_x", "_y", "_z", *CELL, F.col("label").alias("cluster"))
+    # Clusters found so far are the nodes now; the smallest of them names what they form.
+    between = edges.join(labels, F.col("a") == F.col("node")).select(F.col("label").alias("a"), "b").join(
+        labels, F.col("b") == F.col("node")
+    ).select("a", F.col("label").alias("b"))
+    whole = _components(labels.select(F.col("label").alias("node")).distinct(), between).withColumnsRenamed({"node": "_part", "label": "cluster"})
+    cells = nodes.select("node", *CELL).join(labels, "node").join(whole, F.col("label") == F.col("_part"))
+    labels = materialise(cells.select("node", *CELL, F.col("cluster").alias("label")))
+
+    labelled = core.drop(*CELL).join(labels, "node").select("_x", "_y", "_z", *CELL, F.col("label").alias("cluster"))
     # Border points sit in light cells, so each is compared with the core points around it only.
     border = flagged.filter("core = 0 and noise = 0").select(*CELL, _point().alias("p"))
+    named = labels.select(*[F.col(c).alias(c.replace("_c", "_n")) for c in CELL], "label")
+    homes = materialise(_around(border.select(*CELL).distinct(), 2).join(named, ["_nx", "_ny", "_nz"]).groupBy(*CELL).agg(
+        F.min("label").alias("cluster"), F.max("label").alias("_last")
+    ))
+    joined = border.join(homes.filter("cluster = _last"), CELL).select(*[F.col(f"p.{a}").alias(f"_{a}") for a in "xyz"], "cluster")
+    border = border.join(homes.filter("cluster <> _last"), CELL, "left_semi")
     reach = labelled.select(
         *[F.col(c).alias(c.replace("_c", "_n")) for c in CELL], _point().alias("q"), "cluster"
     )
-    joined = _around(border, 2).join(reach, ["_nx", "_ny", "_nz"]).filter(_squared("p", "q") <= eps * eps).groupBy(
+    measured = _around(border, 2).join(reach, ["_nx", "_ny", "_nz"]).filter(_squared("p", "q") <= eps * eps).groupBy(
         "p"
     ).agg(F.min("cluster").alias("cluster")).select(*[F.col(f"p.{a}").alias(f"_{a}") for a in "xyz"], "cluster")
-    assigned = labelled.drop(*CELL).unionByName(joined)
+    assigned = labelled.drop(*CELL).unionByName(joined).unionByName(measured)
     keyed = points.withColumns({f"_{a}": F.col(c).cast("double") for c, a in zip(features, "xyz")})
     return keyed.join(assigned, ["_x", "_y", "_z"], "left").drop("_x", "_y", "_z")
 

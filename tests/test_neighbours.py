@@ -105,3 +105,12 @@ def test_kth_neighbour(table, points, blocks, k):
             assert found() == pytest.approx(expected)
     with pytest.raises(ValueError, match="fewer"):
         neighbours.kth_neighbour_distance(table, 1000, FEATURES)
+
+
+def test_outermost_points_leave_no_cells_to_compare(spark, monkeypatch):
+    rows = [(i, 0.01 * i, 0.0, 0.0) for i in range(300)] + [(1000 + i, 50.0 + 0.01 * i, 0.0, 0.0) for i in range(300)]
+    df, edges, run = spark.createDataFrame(rows, "customer_id int, x double, y double, z double"), [], neighbours._components
+    monkeypatch.setattr(neighbours, "_components", lambda nodes, links: edges.append(links.count()) or run(nodes, links))
+    found = neighbours.dbscan_clusters(df, 0.5, 5, ("x", "y", "z")).groupBy("cluster").count().collect()
+    assert sorted(r["count"] for r in found) == [300, 300]
+    assert len(edges) == 2 and edges[0] > 0 and edges[1] == 0
