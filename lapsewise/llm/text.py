@@ -175,3 +175,10 @@ def slices(values: Iterable, most: int, weight=len) -> Iterator[list]:
             part, total = [], 0
     if part:
         yield part
+
+
+def sliced(batches, rows: int = 512):
+    """The same rows in small batches, so that a worker holds few texts at once as Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -144,3 +144,13 @@ def test_long_values_change_throughout(size):
         assert len(kinds) == 1 and pii.pseudonymise(masked, KEY, back=True)[0] == text
         same = "".join("=" if a == b else "." for a, b in zip(text[6:size], masked[6:size]))
         assert "=" * 12 not in same
+
+
+def test_few_texts_are_held_at_once():
+    import pyarrow as pa
+
+    from lapsewise.llm.text import sliced
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300))], names=["i"])
+    parts = list(sliced([batch, batch.slice(0, 0)]))
+    assert [p.num_rows for p in parts] == [512, 512, 276] and pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
