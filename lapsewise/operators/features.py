@@ -195,7 +195,12 @@ def _lifetime_features(
 
 def _cancellation_features(lines: DataFrame, dates: list[date], longest: int, parts: int) -> DataFrame:
     quantity = F.col("quantity")
-    daily = lines.groupBy("customer_id", F.to_date("invoice_date").alias("_day")).agg(
+    # Dealt before they are summed: the engine sizes the parts of a sum by packed bytes. Lines are dealt by day as well, so
+    # that no task gets all lines of a customer.
+    dealt = lines.select("customer_id", F.to_date("invoice_date").alias("_day"), "quantity", "price").repartition(
+        parts, "customer_id", "_day"
+    )
+    daily = dealt.groupBy("customer_id", "_day").agg(
         count_if(quantity < 0).alias("rows"),
         F.sum(cancelled_units(quantity)).alias("cancelled"),
         F.sum(cancelled_units(quantity) * F.col("price")).alias("value"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from lapsewise.functions import fixed
 from lapsewise.functions.checks import require_columns
 from lapsewise.functions.numeric import beside, bin_order, binned, count_if, exact_quantiles, lookup, whole_days
-from lapsewise.operators.scans import lag, ordered_scan, position, prefix, total
+from lapsewise.operators.scans import lag, ordered_scan, position, prefix, spread, total
 
 DAY_COLUMNS = ("customer_id", "purchase_day", "daily_value", "invoices")
 
@@ -32,11 +32,18 @@ def purchase_days(purchases: DataFrame) -> DataFrame:
 
 
 def purchase_days_of_lots(lots: DataFrame) -> DataFrame:
-    """The same table from sale lifetimes: units never cancelled are the retained purchases."""
-    orders = lots.filter(F.col("close_day").isNull()).groupBy("customer_id", "invoice").agg(
-        F.min("open_day").alias("purchase_day"), F.sum(F.col("units") * F.col("price")).alias("order_value")
+    """The same table from sale lifetimes: units never cancelled are the retained purchases.
+
+    Both sums over written lifetimes take place in parts that follow their rows.
+    """
+    rows = lots.count() if getattr(lots, "_written_at", None) else 0
+    kept = lots.filter(F.col("close_day").isNull()).select(
+        "customer_id", "invoice", "open_day", (F.col("units") * F.col("price")).alias("_value")
     )
-    return _days(orders)
+    orders = spread(kept, ["customer_id", "invoice"], rows).groupBy("customer_id", "invoice").agg(
+        F.min("open_day").alias("purchase_day"), F.sum("_value").alias("order_value")
+    )
+    return _days(spread(orders, ["customer_id", "purchase_day"], rows))
 
 
 def _days(orders: DataFrame) -> DataFrame:

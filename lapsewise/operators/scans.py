@@ -205,13 +205,13 @@ def parts_for(spark: SparkSession, rows: int) -> int:
     return max(-(-rows // TASK_ROWS), spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def spread(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
     """A written table dealt by key into parts whose number follows its rows.
 
     The engine sizes the parts of a shuffle by their packed bytes; what a task unpacks, sorts or repeats of them is
-    many times that. A small table is left to the engine.
+    many times that. A small table is left to the engine. `rows` is the most rows of a table that is not written.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     return df.repartition(parts_for(df.sparkSession, rows), *keys) if rows > TASK_ROWS else df
 
 

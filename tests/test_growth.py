@@ -1,12 +1,14 @@
 """What a task holds or moves must not grow faster than the input."""
 
 import random
+import re
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from lapsewise.functions import numeric
-from lapsewise.operators import kmeans, netting, scans
+from lapsewise.operators import features, kmeans, netting, orders, scans
 
 
 def test_groups_are_counted_by_bucket_first(spark, blocks, monkeypatch):
@@ -35,6 +37,38 @@ def test_parts_follow_the_rows(spark, monkeypatch):
     assert {r.id: r.place for r in found.collect()} == {i: i // 100 + 1 for i in range(1000)}
 
 
+def dealt(df):
+    """Into how many parts each shuffle of the plan deals its rows."""
+    return [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())]
+
+
+def test_cancellations_are_summed_in_the_given_parts(spark, lines):
+    rng = random.Random(3)
+    table = lines([(rng.choice([None, *range(9)]), "A", f"i{i}", rng.choice([2.0, -1.0, -3.0]), rng.choice([None, 5.0]), f"2020-0{1 + rng.randrange(6)}-0{1 + rng.randrange(3)}") for i in range(400)])
+    found = features._cancellation_features(table, [date(2020, 4, 1), date(2020, 7, 1)], 90, 37)
+    assert set(dealt(found)) == {37}
+    want = {}
+    for r in table.collect():
+        for i, t in enumerate((date(2020, 4, 1), date(2020, 7, 1))):
+            if 0 < (t - r.invoice_date.date()).days <= 90:
+                rows, cancelled, value, positive = want.get((r.customer_id, i), (0, 0.0, 0.0, 0.0))
+                gone = max(-r.quantity, 0.0)
+                want[r.customer_id, i] = (rows + (r.quantity < 0), cancelled + gone, value + gone * (r.price or 0.0), positive + max(r.quantity, 0.0))
+    assert {(r[0], r[1]): tuple(r[-4:]) for r in found.select("customer_id", "_index", *found.columns[-4:]).collect()} == want
+
+
+def test_purchase_days_follow_the_rows(spark, monkeypatch):
+    lots = spark.range(1000).selectExpr(
+        "if(id % 13 = 0, null, id % 40) customer_id", "concat('i', id % 300) invoice", "date_add(date'2020-01-01', cast(id % 100 as int)) open_day",
+        "if(id % 7 = 0, date'2021-01-01', null) close_day", "cast(id % 5 + 1 as double) units", "2.0D price",
+    )
+    plain = orders.purchase_days_of_lots(lots)
+    monkeypatch.setattr(scans, "TASK_ROWS", 20)
+    found = orders.purchase_days_of_lots(scans.written(lots))
+    assert set(dealt(found)) == {50} and set(dealt(plain)) != {50}
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_scan_writes_what_it_reads(spark, lines, monkeypatch):
     seen = []
     monkeypatch.setattr(netting, "ordered_scan", lambda df, *rest: seen.append(df.columns) or df)
