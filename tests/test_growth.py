@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapsewise.functions import numeric
-from lapsewise.operators import features, kmeans, netting, orders, scans
+from lapsewise.operators import features, kmeans, labels, netting, orders, scans
 
 
 def test_groups_are_counted_by_bucket_first(spark, blocks, monkeypatch):
@@ -69,6 +69,25 @@ def test_purchase_days_follow_the_rows(spark, monkeypatch):
     assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
 
 
+def test_training_table_follows_the_rows(spark, lines, monkeypatch):
+    """Every shuffle of the feature branches, their joins and the labels: rows repeat by snapshot behind it."""
+    rng = random.Random(11)
+    table = lines([(rng.randrange(30), rng.choice("ABC"), f"i{i // 2}", rng.choice([3.0, 2.0, -1.0]), 5.0, f"2020-{1 + rng.randrange(9):02d}-{1 + rng.randrange(28):02d}") for i in range(400)])
+    dates = [date(2020, 7, 1), date(2020, 8, 1)]
+    lots = scans.written(netting.lot_lifetimes(table))
+    days = scans.written(orders.purchase_days_of_lots(lots))
+    target = scans.written(labels.snapshot_labels(days, dates, dataset_end=date(2020, 12, 31)))
+
+    def training():
+        return features.training_table(table, target, lots=lots, snapshots=dates, check=False)
+
+    plain = training().collect()
+    monkeypatch.setattr(scans, "TASK_ROWS", 10, raising=False)
+    parts, found = -(-2 * lots.count() // 10), training()
+    assert dealt(found) and set(dealt(found)) <= {parts, parts + 1}
+    assert plain and sorted(map(str, found.collect())) == sorted(map(str, plain))
+
+
 def test_scan_writes_what_it_reads(spark, lines, monkeypatch):
     seen = []
     monkeypatch.setattr(netting, "ordered_scan", lambda df, *rest: seen.append(df.columns) or df)
