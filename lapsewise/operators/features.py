@@ -2,12 +2,15 @@
 
 Everything derives from sale lifetimes (`netting.lot_lifetimes`): units are open at a snapshot T
 when sold before T and not cancelled before T, so nothing recorded from T on can reach T.
-Four branches are computed per (customer, snapshot) and joined:
+Four branches are computed per (customer, snapshot) and brought together:
 
 - recent days:   recency and day counts                 (days repeat per snapshot within reach)
 - recent orders: windowed orders, value and units       (orders repeat per snapshot within reach)
 - lifetime:      running totals and cadence states      (rows repeat only where something changes)
 - cancellations: windowed activity by day
+
+What comes in is dealt by customer once, and rows repeat only behind that: the branches, their sums and their meeting all
+take place where the customer's rows are, so nothing that was repeated is moved or written to disk.
 """
 
 from __future__ import annotations
@@ -142,10 +145,8 @@ def _cover(df: DataFrame, keys: list[str], name: str, last: int) -> DataFrame:
     )
 
 
-def _lifetime_features(
-    lots: DataFrame, orders: DataFrame, days: DataFrame, wanted: DataFrame, dates: list[date], parts: int
-) -> DataFrame:
-    """Lifetime totals and cadence, carried along the snapshot index of each customer.
+def _lifetime_features(lots: DataFrame, orders: DataFrame, days: DataFrame, wanted: DataFrame, dates: list[date]) -> DataFrame:
+    """Lifetime totals and cadence, carried along the snapshot index of each customer, beside the columns of `wanted`.
 
     Units never cancelled count from their first snapshot on; units cancelled later count at
     each snapshot in between, so no value is ever added and subtracted again.
@@ -159,7 +160,7 @@ def _lifetime_features(
         *AT, F.col("units").alias("passing_units"), F.col("monetary").alias("passing_value")
     )
     changes = (
-        wanted.select(*AT, F.lit(1).alias("wanted"))
+        wanted.withColumn("wanted", F.lit(1))
         .unionByName(kept, allowMissingColumns=True)
         .unionByName(passing, allowMissingColumns=True)
         .unionByName(_cover(orders, ["customer_id", "invoice"], "order_steps", last), allowMissingColumns=True)
@@ -170,13 +171,13 @@ def _lifetime_features(
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (
         "wanted", "kept_units", "kept_value", "passing_units", "passing_value", "order_steps", "product_steps",
     )]
-    # Another number of parts than the branches have: Spark 4.1 takes their union for dealt by customer already, leaves
-    # this shuffle out, and then joins the branches' parts one after the other. At most one row per customer and index carries a state.
-    at = changes.repartition(parts + 1, "customer_id").groupBy(*AT).agg(*sums, *[F.max(c).alias(c) for c in state])
+    # At most one row per customer and index is wanted, and one carries a state.
+    carried = [c for c in wanted.columns if c not in AT]
+    at = changes.groupBy(*AT).agg(*sums, *[F.max(c).alias(c) for c in [*state, *carried]])
     run = W.partitionBy("customer_id").orderBy("_index").rowsBetween(W.unboundedPreceding, 0)
     at = at.withColumn("_state", F.when(F.col("open_days").isNotNull(), F.struct(*state))).drop(*state)
     totals = at.select(
-        *AT, "wanted",
+        *AT, "wanted", *carried,
         F.sum("order_steps").over(run).alias("lifetime_orders"),
         (F.sum("kept_value").over(run) + F.col("passing_value")).alias("lifetime_monetary"),
         (F.sum("kept_units").over(run) + F.col("passing_units")).alias("lifetime_units"),
@@ -195,10 +196,9 @@ def _lifetime_features(
 
 def _cancellation_features(lines: DataFrame, dates: list[date], longest: int, parts: int) -> DataFrame:
     quantity = F.col("quantity")
-    # Dealt before they are summed: the engine sizes the parts of a sum by packed bytes. Lines are dealt by day as well, so
-    # that no task gets all lines of a customer.
+    # Dealt before they are summed: the engine sizes the parts of a sum by packed bytes.
     dealt = lines.select("customer_id", F.to_date("invoice_date").alias("_day"), "quantity", "price").repartition(
-        parts, "customer_id", "_day"
+        parts, "customer_id"
     )
     daily = dealt.groupBy("customer_id", "_day").agg(
         count_if(quantity < 0).alias("rows"),
@@ -206,7 +206,7 @@ def _cancellation_features(lines: DataFrame, dates: list[date], longest: int, pa
         F.sum(cancelled_units(quantity) * F.col("price")).alias("value"),
         F.sum(sold_units(quantity)).alias("positive"),
     )
-    return recent_snapshots(daily.repartition(parts, "customer_id"), dates, "_day", longest).groupBy(*AT).agg(
+    return recent_snapshots(daily, dates, "_day", longest).groupBy(*AT).agg(
         F.sum("rows").alias(f"cancellation_rows_{longest}d"),
         F.sum("cancelled").alias(f"cancelled_units_{longest}d"),
         F.coalesce(F.sum("value"), F.lit(0.0)).alias(f"cancellation_value_{longest}d"),
@@ -230,10 +230,30 @@ def snapshot_features(
     )
 
 
+def _unpruned(df: DataFrame) -> DataFrame:
+    """Every branch that reads `df` asks for all its columns, so that the shuffle below is one and the same for all."""
+    # True for every row, and as it cannot be known before, it stays above the shuffle.
+    return df.filter((F.sqrt(F.rand(0)) < 2) | (F.xxhash64(*df.columns) == 0))
+
+
+def _together(branches: Sequence[DataFrame]) -> DataFrame:
+    """Rows of one customer and index side by side: `_0`, `_1`, ... hold a branch's columns, null where it has no row.
+
+    Each branch has at most one row per customer and index and is dealt by customer; such a union stays where it is,
+    while a join would deal its sides anew.
+    """
+    rows = None
+    for i, branch in enumerate(branches):
+        packed = branch.select(*AT, F.struct(*[c for c in branch.columns if c not in AT]).alias(f"_{i}"))
+        rows = packed if rows is None else rows.unionByName(packed, allowMissingColumns=True)
+    return rows.groupBy(*AT).agg(*[F.first(f"_{i}", ignorenulls=True).alias(f"_{i}") for i in range(len(branches))])
+
+
 def _indexed_features(
-    lines: DataFrame, snapshots: Sequence, windows: Sequence[int], lots: DataFrame | None, order: Sequence[str]
+    lines: DataFrame, snapshots: Sequence, windows: Sequence[int], lots: DataFrame | None, order: Sequence[str],
+    target: DataFrame | None = None,
 ) -> DataFrame:
-    """The features, still partitioned by customer and snapshot index."""
+    """The features by customer and snapshot index, once for each row of `target` where it is given, with its columns."""
     require_columns(lines, LINE_COLUMNS, "sales lines")
     require_positive(windows=list(windows))
     if not {90, 180} <= set(windows):
@@ -243,7 +263,8 @@ def _indexed_features(
     lots = written(lot_lifetimes(lines, order) if lots is None else lots)
     # Rows repeat per snapshot after they moved, so the parts follow the rows, not the packed bytes of what moves.
     parts = max(parts_for(lots.sparkSession, 2 * lots.count()), int(lots.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = lots.repartition(parts, "customer_id")
+    used = ("customer_id", "stock_code", "invoice", "open_day", "close_day", "price", "units")
+    dealt = _unpruned(lots.select(*used).repartition(parts, "customer_id"))
     lots = with_passed(with_passed(dealt, dates, "open_day", "_from"), dates, "close_day", "_to").filter(
         F.col("_from") < F.col("_to")
     )
@@ -251,13 +272,19 @@ def _indexed_features(
         F.sum("units").alias("units"), F.sum(F.col("units") * F.col("price")).alias("monetary")
     )
     days = orders.groupBy("customer_id", "open_day").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
-    recent_days = _recent_day_features(days, dates, windows)
-    branches = (
-        recent_days, _recent_order_features(orders, dates, windows),
-        _lifetime_features(lots, orders, days, recent_days.select(*AT), dates, parts), _cancellation_features(lines, dates, longest, parts),
-    )
-    first, recent, lifetime, cancelled = (b.repartition(parts, *AT) for b in branches)
-    table = first.join(recent, AT).join(lifetime, AT).join(cancelled, AT, "left")
+    branches = [
+        _lifetime_features(lots, orders, days, _recent_day_features(days, dates, windows), dates),
+        _recent_order_features(orders, dates, windows), _cancellation_features(lines, dates, longest, parts),
+    ]
+    if target is not None:
+        row = F.struct(*[c for c in target.columns if c not in AT])
+        branches.append(target.repartition(parts, "customer_id").groupBy(*AT).agg(F.collect_list(row).alias("rows")))
+    # Only customers who bought lately have the first two.
+    table = _together(branches).filter("customer_id is not null and _0 is not null and _1 is not null")
+    more = []
+    if target is not None:
+        table, more = table.withColumn("_row", F.explode("_3.rows")), ["_row"]
+    table = table.select(*AT, *more, "_0.*", "_1.*", "_2.*")
     cancelled = [f"{n}_{longest}d" for n in (
         "cancellation_rows", "cancelled_units", "cancellation_value", "positive_units",
     )]
@@ -276,11 +303,9 @@ def _indexed_features(
         "snapshot_quarter": F.quarter("snapshot_date"),
         "is_holiday_season": F.month("snapshot_date").isin(10, 11, 12).cast("int"),
     })
-    found = table.select(
-        *AT, "snapshot_date", *feature_columns(windows), "snapshot_quarter", "is_holiday_season"
+    return table.select(
+        *AT, *more, "snapshot_date", *feature_columns(windows), "snapshot_quarter", "is_holiday_season"
     )
-    found._parts = parts
-    return found
 
 
 def training_table(
@@ -302,12 +327,12 @@ def training_table(
     if snapshots is None:
         snapshots = [r.snapshot_date for r in target.select("snapshot_date").distinct().collect()]
     dates = as_dates(snapshots)
-    features = _indexed_features(lines, dates, windows, lots, order)
     if check:
+        features = _indexed_features(lines, dates, windows, lots, order)
         require_unique(target, keys, "labels")
         require_covered(target, features, keys, "labelled rows without features")
-    # Joining on the snapshot index keeps the wide rows where they are; only the labels move.
-    indexed = with_passed(target, dates, "snapshot_date", "_passed").withColumn("_index", F.col("_passed") - 1)
-    parts = features._parts
-    joined = indexed.drop("_passed").repartition(parts, *AT).join(features.drop("snapshot_date"), AT)
-    return joined.select(*keys, "churn", *features.columns[3:])
+    # The snapshot index takes the labels to the features; the wide rows stay where they are.
+    indexed = with_passed(target, dates, "snapshot_date", "_passed").withColumn("_index", F.col("_passed") - 1).drop("_passed")
+    indexed = indexed.select(*AT, "snapshot_date", "churn")
+    rows = _indexed_features(lines, dates, windows, lots, order, indexed)
+    return rows.select("customer_id", "_row.snapshot_date", "_row.churn", *rows.columns[4:])

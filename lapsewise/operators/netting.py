@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from lapsewise.operators.cleaning import cancelled_units, sold_units
 from lapsewise.operators.folds import Fold, RowFold, ordered_fold
-from lapsewise.operators.scans import Scan, lag, lead, ordered_scan, prefix, suffix, total
+from lapsewise.operators.scans import Scan, hot_groups, lag, lead, ordered_scan, prefix, spread, suffix, total
+from lapsewise.session import part_of, written
 
 KEYS = ("customer_id", "stock_code")
 ORDER = ("invoice_date", "row_seq")
@@ -61,7 +62,7 @@ def net_newest_at_price(lines: DataFrame, order: Sequence[str] = ORDER) -> DataF
             *lines.columns, "remaining_quantity"
         )
 
-    priced = lines.filter(F.col("price").isNotNull())
+    priced = part_of(lines, lines.filter(F.col("price").isNotNull()))
     netted = ordered_scan(priced, (*KEYS, "price"), order, run)
     # A missing price equals no price: such sales stay whole and such cancellations match nothing.
     if "price" in lines.columns and lines.schema["price"].nullable:
@@ -191,17 +192,26 @@ def lot_lifetimes(lines: DataFrame, order: Sequence[str] = ORDER, keep: Sequence
         )
 
     used = {*KEYS, "invoice", "quantity", "price", "invoice_date", *keep}
+    read = lines
     if all(isinstance(c, str) for c in order):
         # Only what the scan reads is written and moved.
-        lines = lines.select(*[c for c in lines.columns if c in used | set(order)])
-    return ordered_scan(lines.filter("quantity <> 0"), KEYS, order, run)
+        read = lines.select(*[c for c in lines.columns if c in used | set(order)])
+    return ordered_scan(part_of(lines, read.filter("quantity <> 0")), KEYS, order, run)
 
 
-def open_lots(lines: DataFrame, snapshots, order: Sequence[str] = ORDER) -> DataFrame:
-    """Open units per sale at each snapshot date, from events strictly before it."""
+def open_lots(lines: DataFrame, snapshots, order: Sequence[str] = ORDER, lots: DataFrame | None = None) -> DataFrame:
+    """Open units per sale at each snapshot date, from events strictly before it.
+
+    `lots` may pass sale lifetimes computed (and written) before; they must come from `lines`.
+    """
     from lapsewise.operators.snapshots import at_open_snapshots
 
-    lots = at_open_snapshots(lot_lifetimes(lines, order), snapshots, "open_day", "close_day")
+    if lots is None:
+        lots = lot_lifetimes(lines, order)
+    elif hot_groups(lots := written(lots), KEYS) is None:
+        # Dealt before they repeat, so that what repeats is summed where it is made.
+        lots = spread(lots, KEYS)
+    lots = at_open_snapshots(lots, snapshots, "open_day", "close_day")
     return lots.groupBy("snapshot_date", *KEYS, "invoice", "open_day", "price").agg(
         F.sum("units").alias("remaining_quantity")
     ).withColumn("net_revenue", F.col("remaining_quantity") * F.col("price"))

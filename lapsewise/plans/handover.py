@@ -1,7 +1,7 @@
 """Tables the batch jobs hand to each other, built from one folder of order tables.
 
-Cheap stages stay lazy. The four that several later jobs read (sale lifetimes, purchase days,
-labels, training table) are written once per session in the shared folder, as a monthly run
+Cheap stages stay lazy. Those that several later jobs read (the lines' narrow columns, sale lifetimes,
+purchase days, labels, training table) are written once per session in the shared folder, as a monthly run
 writes them once and reads them many times.
 """
 
@@ -18,6 +18,18 @@ from lapsewise.sources.retail import sales_lines
 
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
+# The order of the adapter's lines (`netting.ORDER`) by its single columns, so that none is kept and moved twice.
+SALES_ORDER = ("invoice_date", "invoice", "line", "part", "supplier", "quantity", "extended_price")
+
+
+def narrow_sales(lines: DataFrame) -> DataFrame:
+    """What netting, labels and features read of the adapter's lines."""
+    row = F.col("row_seq")
+    return lines.select(
+        *cleaning.LINE_COLUMNS, row.l_linenumber.alias("line"), row.l_partkey.alias("part"), row.l_suppkey.alias("supplier"),
+        row.l_extendedprice.alias("extended_price"),
+    )
+
 
 class Handover:
     def __init__(self, spark: SparkSession, folder: str):
@@ -45,15 +57,18 @@ class Handover:
         return netting.net_purchases(self.lines(country), policy)
 
     def rfm(self, policy: str = "fifo") -> DataFrame:
-        lines = self.lines().select(*netting.KEYS, *netting.ORDER, "invoice", "quantity", "price")
-        return rfm.rfm_table(netting.net_purchases(lines, policy), rfm.day_after_last(self.lines()))
+        return rfm.rfm_table(netting.net_purchases(self.sales(), policy, SALES_ORDER), rfm.day_after_last(self.sales()))
 
     def orders(self) -> DataFrame:
         return orders.order_table(self.purchases())
 
     # Written stages.
+    def sales(self) -> DataFrame:
+        """The lines in their narrow columns, in `SALES_ORDER`."""
+        return self._once("sales", lambda: narrow_sales(self.lines()))
+
     def lots(self) -> DataFrame:
-        return self._once("lots", lambda: netting.lot_lifetimes(self.lines()))
+        return self._once("lots", lambda: netting.lot_lifetimes(self.sales(), SALES_ORDER))
 
     def days(self) -> DataFrame:
         return self._once("days", lambda: orders.purchase_days_of_lots(self.lots()))
@@ -63,7 +78,7 @@ class Handover:
 
     def training(self) -> DataFrame:
         return self._once("training", lambda: features.training_table(
-            self.lines(), self.labels(), lots=self.lots(), snapshots=self.snapshots(), check=False
+            self.sales(), self.labels(), lots=self.lots(), snapshots=self.snapshots(), check=False
         ))
 
     def rfm_written(self) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 from contextlib import contextmanager
+from threading import Lock
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 GROUP_ROWS = "spark.lapsewise.groupRows"
 
 _DEFAULTS = {GROUP_ROWS: "4000000"}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "lapsewise") -> SparkSession:
@@ -58,10 +60,12 @@ def materialise(df: DataFrame, **options: str) -> DataFrame:
 
     Cuts the lineage: later steps see exactly the rows (and partition numbers) this step saw, also
     after executors were lost. Unlike a row checkpoint the table keeps column pruning, filter
-    pushdown and true size statistics. Options go to the Parquet writer.
+    pushdown and true size statistics. What the step shuffled is deleted once the table is written. Options go
+    to the Parquet writer.
     """
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid4()}"
-    df.write.options(**options).parquet(path)
+    with shuffles_deleted(df.sparkSession):
+        df.write.options(**{"compression": "zstd"} | options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written_at = path
     for paths in _scratches:
@@ -74,6 +78,41 @@ def written(df: DataFrame) -> DataFrame:
     return df if getattr(df, "_written_at", None) else materialise(df)
 
 
+def part_of(table: DataFrame, part: DataFrame) -> DataFrame:
+    """`part`, some columns or filtered rows of `table`, counts as written where `table` does: reading it again costs no step."""
+    if place := getattr(table, "_written_at", None):
+        part._written_at = place
+    return part
+
+
+_cleaning: dict[str, tuple[int, str | None]] = {}  # writes under way and the setting before them, by session
+_lock = Lock()
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession):
+    """Delete shuffle files when the action that wrote them ends, and not only when the driver collects its garbage.
+
+    Plans that run again write them anew. Writes of several threads may overlap.
+    """
+    key = str(spark._jsparkSession.sessionUUID())
+    with _lock:
+        count, before = _cleaning.get(key, (0, spark.conf.get(_CLEANUP, None)))
+        _cleaning[key] = (count + 1, before)
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            count, before = _cleaning.pop(key)
+            if count > 1:
+                _cleaning[key] = (count - 1, before)
+            elif before is None:
+                spark.conf.unset(_CLEANUP)
+            else:
+                spark.conf.set(_CLEANUP, before)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it lies."""
     jvm = spark.sparkContext._jvm
