@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lapsewise.functions.checks import require_columns
 from lapsewise.operators.netting import KEYS, ORDER, lot_lifetimes
-from lapsewise.session import delete_folder, materialise, replace_folder
+from lapsewise.session import delete_folder, materialise, part_of, replace_folder, scratch, shuffles_deleted, written
 
 PARTS = 64
 COLUMNS = ("customer_id", "stock_code", "invoice", "quantity", "price", "invoice_date", "row_seq")
@@ -49,7 +49,9 @@ class LotStore:
 
     def _write(self, df: DataFrame, name: str, generation: int, by_part: bool = True) -> None:
         writer = df.withColumn("part", _part()).repartition("part").write if by_part else df.write
-        (writer.partitionBy("part") if by_part else writer).mode("overwrite").parquet(f"{self.root}/{name}/generation={generation}")
+        writer = (writer.partitionBy("part") if by_part else writer).mode("overwrite").option("compression", "zstd")
+        with shuffles_deleted(self.spark):
+            writer.parquet(f"{self.root}/{name}/generation={generation}")
 
     def _read(self, name: str, generations: list[int], schema) -> DataFrame:
         found = None
@@ -59,19 +61,23 @@ class LotStore:
         return found
 
     def append(self, lines: DataFrame) -> int:
-        """Net new lines against the open units; returns the number of the generation."""
+        """Net new lines against the open units; returns the number of the generation. Its own tables go when it is done."""
         require_columns(lines, COLUMNS, "lines")
+        with scratch(self.spark):
+            return self._append(lines)
+
+    def _append(self, lines: DataFrame) -> int:
         done = self._done()
         generation = 1 + max((r.generation for r in done), default=0)
         for name in ("lines", "lots", "touched"):
             if self._exists(f"{name}/generation={generation}"):
                 delete_folder(self.spark, f"{self.root}/{name}/generation={generation}")
-        fresh = materialise(lines.select(*COLUMNS).filter("quantity <> 0"))
+        fresh = written(part_of(lines, lines.select(*COLUMNS).filter("quantity <> 0")))
         self._write(fresh, "lines", generation)
         parts = [r[0] for r in fresh.select(_part().alias("p")).distinct().collect()]
         before = [r.generation for r in done if r.rows]
         high = max((r.last_at for r in done if r.last_at), default=None)
-        touched, own = None, lot_lifetimes(fresh, keep=KEPT)
+        touched, netted = None, fresh
         if before:
             history = self._read("lines", before, self._schema(fresh)).filter(F.col("part").isin(parts)).select(*COLUMNS)
             late = materialise(self._late_groups(fresh, history, high))
@@ -80,9 +86,10 @@ class LotStore:
             cancelled = materialise(timely.filter("quantity < 0").select(*KEYS).distinct())
             still = self.lifetimes(parts).filter("close_day is null").join(cancelled, list(KEYS), "left_semi")
             reopened = still.select(*KEYS, "invoice", F.col("units").alias("quantity"), "price", *KEPT)
-            own = lot_lifetimes(again.unionByName(timely).unionByName(reopened), keep=KEPT)
+            netted = again.unionByName(timely).unionByName(reopened)
             touched = cancelled.withColumn("whole", F.lit(False)).unionByName(late.withColumn("whole", F.lit(True)))
-        self._write(own, "lots", generation)
+        # Written in between, so that the lines' shuffle is gone before the lots are dealt by part.
+        self._write(materialise(lot_lifetimes(netted, keep=KEPT)), "lots", generation)
         if touched is not None:
             self._write(touched, "touched", generation)
         rows, last = fresh.agg(F.count(F.lit(1)), F.max("invoice_date")).first()
