@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 from datetime import date, timedelta
 
@@ -46,18 +47,23 @@ def date_array(dates: Sequence[date]) -> Column:
     return F.array(*[F.lit(d) for d in dates])
 
 
+_calendars: dict[tuple, DataFrame] = {}
+
+
 def calendar(spark: SparkSession, dates: Sequence[date]) -> DataFrame:
     """One row per calendar day from the day before the first snapshot to the last: `day`, `passed`.
 
     `passed` counts the snapshots up to and including the day, so the first snapshot after
-    a day has index `passed`. The table has one row per day of the period, whatever the data.
+    a day has index `passed`. The table has one row per day of the period, whatever the data. Its values are
+    given: where they were computed, a condition on `passed` would be computed again for every row that looks a day up.
     """
-    first = dates[0] - timedelta(days=1)
-    days = (dates[-1] - first).days + 1
-    day = F.date_add(F.lit(first), F.col("id").cast("int"))
-    return spark.range(days).select(day.alias("day")).withColumn(
-        "passed", F.size(F.filter(date_array(dates), lambda d: d <= F.col("day")))
-    )
+    key = (spark.sparkContext.applicationId, str(spark._jsparkSession.sessionUUID()), *dates)
+    if key not in _calendars:
+        first = dates[0] - timedelta(days=1)
+        days = [first + timedelta(days=i) for i in range((dates[-1] - first).days + 1)]
+        rows = ", ".join(f"(DATE'{d}', {bisect_right(dates, d)})" for d in days)
+        _calendars[key] = spark.sql(f"SELECT * FROM VALUES {rows} AS t(day, passed)")
+    return _calendars[key]
 
 
 def with_passed(df: DataFrame, dates: Sequence[date], day: str, name: str) -> DataFrame:
